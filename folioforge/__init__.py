@@ -1 +1,10 @@
-"""Spark-first analytics over bibliographic records, notes, sessions and text corpora."""
+"""Spark-first analytics over bibliographic records, notes, sessions and text corpora.
+
+Functions of this package that run in Python workers travel by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
