@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioforge.llm import scans
+from folioforge.llm import boilerplate, residue, scans
 
-_MODULES = [scans]
+_MODULES = [scans, boilerplate, residue]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

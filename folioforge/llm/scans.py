@@ -54,38 +54,43 @@ def _fold(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", text.casefold()))
 
 
-def _resembles(core: str, known: str) -> bool:
-    """core is the beginning of known, or nearly so."""
-    if len(core) < 4 or not known:
+def _resembles(core: str, words: list[str], known: list[tuple[str, set[str]]]) -> bool:
+    """core is the beginning of a known text, or nearly so; only texts that share half of its words are compared letter by letter."""
+    if len(core) < 4:
         return False
-    head = known[: len(core) + 2]
-    if known.startswith(core):
-        return True
-    return len(core) >= 8 and max(difflib.SequenceMatcher(None, core, head[: len(core) + d], autojunk=False).ratio() for d in (0, 2)) >= 0.85
+    for text, parts in known:
+        if text.startswith(core):
+            return True
+        if len(core) >= 8 and 2 * sum(w in parts for w in words) >= len(words):
+            for d in (0, 2):
+                if difflib.SequenceMatcher(None, core, text[: len(core) + d], autojunk=False).ratio() >= 0.85:
+                    return True
+    return False
 
 
 def furniture(lines: list[str], known: list[str]) -> set[int]:
     """Positions of the lines that are only a running header, a running footer or a page number."""
     found, cores = set(), {}
+    pairs = [(x, set(x.split())) for x in known if x]
     for k, line in enumerate(lines):
         bare = line.strip()
-        if not bare:
+        if not bare or len(bare) > 110:
             continue
         if _BARE.match(bare) and any(c.isalnum() for c in bare) and (any(c.isdigit() for c in bare) or len(bare) < 12):
             found.add(k)
             continue
         core = _LEAD.sub("", bare, count=1)
         numbered = core != bare
-        short = _TAIL.sub("", core, count=1)
+        short = _TAIL.sub("", core, count=1) if bare[-1].isalnum() else core
         numbered |= short != core
         title = _VOL.sub("", short)
         numbered |= title != short and numbered
         text = _fold(title)
-        if not text or len(bare) > 110:
+        if not text:
             continue
         if numbered and len(title.split()) <= 14:
             found.add(k)
-        elif any(_resembles(text, x) for x in known):
+        elif _resembles(text, text.split(), pairs):
             found.add(k)
         if k in found or (bare[-1] not in ".,;:?!-‐¬\xad" and not re.match(r"\W*(\d+|[IVXLC]+|[A-Z])[.)]?\s", bare)):
             cores.setdefault(text, []).append(k)
@@ -101,7 +106,7 @@ def _title_words(*texts: str | None) -> set[str]:
 
 def _tokens(line: str):
     for raw in line.split():
-        for piece in re.split(r"’|(?<!\\)'", raw):
+        for piece in re.split(r"’|(?<!\\)'", raw) if "’" in raw or "'" in raw else (raw,):
             word = piece.strip(_EDGES).lstrip("-").lower()
             if len(word) > 1 and any(c.isalpha() for c in word) and not _ROMAN.match(word) and "@" not in word and "://" not in word:
                 yield word
@@ -116,7 +121,8 @@ def analyse(text: str, title: str | None, journal: str | None, authors: list[str
     body = [k for k, line in enumerate(lines) if line.strip() and k not in drop]
     words, breaks, cut_left, cut_right = [], [], set(), set()
     for at, k in enumerate(body[:-1]):
-        m = _BREAK.search(lines[k].rstrip())
+        bare = lines[k].rstrip()
+        m = bare[-1] in "-‐¬\xad" and _BREAK.search(bare.split()[-1])
         if not m:
             continue
         nxt = lines[body[at + 1]].split(maxsplit=1)[0]
@@ -253,7 +259,7 @@ def candidates(words: DataFrame, vocab: DataFrame, edits: int = MAX_EDITS) -> Da
         return pd.DataFrame(rows, columns=["word", "candidate", "cost", "docs"])
 
     keys = ["salt", "size", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "word string, candidate string, cost double, docs long")
+    return left.repartition(salts, *keys).groupBy(*keys).cogroup(right.repartition(salts, *keys).groupBy(*keys)).applyInPandas(search, "word string, candidate string, cost double, docs long")
 
 
 def _scans(sources: DataFrame) -> DataFrame:
