@@ -50,8 +50,13 @@ _ROMAN = re.compile(r"[ivxlc]+$", re.IGNORECASE)
 _EDGES = " \t\r\f.,;:!?()[]{}\"“”„«»‹›‘’—–…*<>=/+&%#§"
 
 
+_PLAIN = str.maketrans("0156 9†ſ".replace(" ", ""), "olsbgts")
+_HEADING = re.compile(r"\W*(?:\d+|[IVXLC]+|[A-Z])[.)]?\s")
+
+
 def _fold(text: str) -> str:
-    return " ".join(re.findall(r"[^\W_]+", text.casefold()))
+    """Words in lower case, with letters in place of the signs read for them."""
+    return " ".join(re.findall(r"[^\W_]+", text.translate(_PLAIN).casefold()))
 
 
 def _resembles(core: str, words: list[str], known: list[tuple[str, set[str]]]) -> bool:
@@ -92,11 +97,19 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
             found.add(k)
         elif _resembles(text, text.split(), pairs):
             found.add(k)
-        if k in found or (bare[-1] not in ".,;:?!-‐¬\xad" and not re.match(r"\W*(\d+|[IVXLC]+|[A-Z])[.)]?\s", bare)):
+        if k in found or (bare[-1] not in ".,;:?!-‐¬\xad" and not _HEADING.match(bare)):
             cores.setdefault(text, []).append(k)
-    for text, at in cores.items():  # what recurs at the edges of pages, or stands beside a found line under the same words
+    for text, at in cores.items():  # what recurs under the same words
         if len(at) > 1 and len(text) > 3:
             found.update(at)
+    filled = [k for k, line in enumerate(lines) if line.strip()]
+    width = sorted(len(lines[k]) for k in filled)[len(filled) // 2]
+    single = {k for at in cores.values() for k in at} - found
+    for n, k in enumerate(filled):  # at the edge of a page, a line that ends early and not as a sentence does
+        if k in single and len(lines[k].strip()) < 0.8 * width:
+            before, after = filled[n - 1] if n else None, filled[n + 1] if n + 1 < len(filled) else None
+            if before is None or after is None or before in found or after in found or "\f" in lines[k] or "\f" in lines[after]:
+                found.add(k)
     return found
 
 
