@@ -50,7 +50,7 @@ _ROMAN = re.compile(r"[ivxlc]+$", re.IGNORECASE)
 _EDGES = " \t\r\f.,;:!?()[]{}\"“”„«»‹›‘’—–…*<>=/+&%#§"
 
 
-_PLAIN = str.maketrans("0156 9†ſ".replace(" ", ""), "olsbgts")
+_PLAIN = str.maketrans("01569†ſ", "olsbgts")
 _HEADING = re.compile(r"\W*(?:\d+|[IVXLC]+|[A-Z])[.)]?\s")
 
 
@@ -106,7 +106,7 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
     width = sorted(len(lines[k]) for k in filled)[len(filled) // 2]
     single = {k for at in cores.values() for k in at} - found
     for n, k in enumerate(filled):  # at the edge of a page, a line that ends early and not as a sentence does
-        if k in single and len(lines[k].strip()) < 0.8 * width:
+        if k in single and lines[k].lstrip("\f")[0] not in " \t" and len(lines[k].strip()) < 0.8 * width and not re.search(r"[^\W\d_]{3}[.;,] ", lines[k]):
             before, after = filled[n - 1] if n else None, filled[n + 1] if n + 1 < len(filled) else None
             if before is None or after is None or before in found or after in found or "\f" in lines[k] or "\f" in lines[after]:
                 found.add(k)
