@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioforge.llm import boilerplate, residue, scans
+from folioforge.llm import boilerplate, mixing, quality, residue, scans, tokenize
 
-_MODULES = [scans, boilerplate, residue]
+_MODULES = [scans, boilerplate, residue, tokenize, mixing, quality]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
