@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioforge.llm import boilerplate, mixing, quality, records, residue, scans, tokenize
+from folioforge.llm import boilerplate, mixing, names, quality, records, residue, scans, survivors, tokenize
 
-_MODULES = [scans, records, boilerplate, residue, tokenize, mixing, quality]
+_MODULES = [scans, records, names, survivors, boilerplate, residue, tokenize, mixing, quality]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
