@@ -32,9 +32,6 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
-_DECODER = json.JSONDecoder(parse_constant=_no_constant)
-
-
 def _flat_parse(text: str) -> object:
     """JSON without recursion, for texts nested deeper than the C parser follows; _INVALID if text is none."""
     root: list = []
@@ -106,7 +103,7 @@ def parse_text(text: str) -> object:
     if not bare.startswith(_OPENS) or bare[-1] not in '}]"':
         return _INVALID
     try:
-        return _DECODER.decode(bare)
+        return json.loads(bare, parse_constant=_no_constant)
     except RecursionError:
         return _flat_parse(bare)
     except ValueError:
