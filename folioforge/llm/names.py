@@ -67,16 +67,16 @@ def deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 else {word}
 
 
-def organisation(name: str) -> str | None:
-    """The canonical word list of an organisation, or nothing for a person."""
+def organisation(name: str) -> tuple[str, str] | None:
+    """The canonical word list of an organisation, and the same words as typed but folded; nothing for a person."""
     words = [w for w in re.findall(r"[a-z]+", fold(name).lower()) if w]
     full = [_EXPAND.get(w, w) for w in words]
     if not any(w in _TELLING for w in full) or len(full) < 2:
         return None
     if "," in name and not any(w in _TELLING for w in full[:1]) and len(full) == 2:
         return None
-    kept = sorted(w.replace("oe", "o").replace("ae", "a").replace("ue", "u") for w in full if w not in _LEGAL and len(w) > 1)
-    return " ".join(kept)
+    kept = sorted((w.replace("oe", "o").replace("ae", "a").replace("ue", "u"), w) for w in full if w not in _LEGAL and len(w) > 1)
+    return " ".join(x for x, _ in kept), " ".join(w for _, w in kept)
 
 
 def names_nobody(name: str | None) -> bool:
@@ -84,8 +84,8 @@ def names_nobody(name: str | None) -> bool:
     return not words or " ".join(words) in _NOBODY or len("".join(words)) < 3
 
 
-def person(name: str, given: frozenset[str]) -> list[tuple[str, str, str]]:
-    """Readings of a person's name, likeliest first: surname with particles, given name (or ''), initials."""
+def person(name: str, given: frozenset[str]) -> list[tuple[str, str, str, str]]:
+    """Readings of a person's name, likeliest first: surname with particles, given name (or ''), initials, surname as typed but folded."""
     text = " ".join(_ROLES.sub(" ", name).replace(" ,", ",").split())
     text = re.sub(r",(?=\S)", ", ", text).strip(" ,;")
     if not text:
@@ -98,11 +98,11 @@ def person(name: str, given: frozenset[str]) -> list[tuple[str, str, str]]:
     def short(w: str) -> bool:
         return bool(re.fullmatch(r"(?:[^\W\d_]\.?-?){1,3}", w)) and (w.isupper() or "." in w or len(w) == 1) and not (len(w) > 1 and w.islower())
 
-    def reading(last: list[str], first: list[str]) -> tuple[str, str, str] | None:
+    def reading(last: list[str], first: list[str]) -> tuple[str, str, str, str] | None:
         surname = "".join(flat(w) for w in last)
         initials = "".join(flat(w)[:1] if not short(w) else re.sub(r"[^a-z]", "", fold(w).lower()) for w in first)
         long_ = [plain(w) for w in first if not short(w) and len(plain(w)) > 1]
-        return (surname, long_[0] if long_ else "", initials) if len(surname) > 1 else None
+        return (surname, long_[0] if long_ else "", initials, "".join(plain(w) for w in last)) if len(surname) > 1 else None
 
     if "," in text:
         last, _, first = text.partition(",")
@@ -111,7 +111,7 @@ def person(name: str, given: frozenset[str]) -> list[tuple[str, str, str]]:
         return [x for x in found if x]
     words = text.split()
     if len(words) == 1:
-        return [(flat(words[0]), "", "")] if len(flat(words[0])) > 3 else []
+        return [(flat(words[0]), "", "", plain(words[0]))] if len(flat(words[0])) > 3 else []
     if short(words[-1]) and not short(words[0]):
         own = words[:-1]
         while len(own) > 1 and short(own[-1]):
@@ -162,8 +162,8 @@ def _given_tokens(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["token", "beside"])
 
 
-_KEYS = pa.schema([("name", pa.string()), ("kind", pa.string()), ("pk", pa.int64()), ("rank", pa.int32()), ("surname", pa.string()), ("given", pa.string()), ("initials", pa.string())])
-_KEYS_SQL = "name string, kind string, pk long, rank int, surname string, given string, initials string"
+_KEYS = pa.schema([("name", pa.string()), ("kind", pa.string()), ("pk", pa.int64()), ("rank", pa.int32()), ("surname", pa.string()), ("given", pa.string()), ("initials", pa.string()), ("raw", pa.string())])
+_KEYS_SQL = "name string, kind string, pk long, rank int, surname string, given string, initials string, raw string"
 
 
 def _readings(given: frozenset[str]):
@@ -174,20 +174,20 @@ def _readings(given: frozenset[str]):
                 if names_nobody(name):
                     continue
                 if org := organisation(name):
-                    rows.append((name, "org", _hash("o", org), 0, org, "", ""))
+                    rows.append((name, "org", _hash("o", org[0]), 0, org[0], "", "", org[1]))
                     continue
                 rank = 0
-                for surname, first, initials in person(name, given):
+                for surname, first, initials, raw in person(name, given):
                     if first:
                         for f in formal(first):
-                            rows.append((name, "person", _hash("p", surname, f), rank, surname, f, initials))
+                            rows.append((name, "person", _hash("p", surname, f), rank, surname, f, initials, raw))
                             rank += 1
                     elif initials:
-                        rows.append((name, "initials", _hash("i", surname, initials), rank, surname, "", initials))
+                        rows.append((name, "initials", _hash("i", surname, initials), rank, surname, "", initials, raw))
                         rank += 1
                     else:
-                        rows.append((name, "single", _hash("s", surname), rank, surname, "", ""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, _KEYS, strict=True)], schema=_KEYS)
+                        rows.append((name, "single", _hash("s", surname), rank, surname, "", "", raw))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, _KEYS, strict=True)], schema=_KEYS)
 
     return run
 
@@ -198,16 +198,18 @@ def _misspellings(known: frozenset[str]):
     def run(batches):
         for batch in batches:
             pks, forms, rules = [], [], []
-            for pk, kind, surname, given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for pk, kind, surname, given, raws in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found: list[tuple[int, str]] = []
                 if kind == "person":
-                    found += [(_hash("ds", d, given), "surname") for d in deletions(surname)]
+                    spelt = set().union(*(deletions(x) for x in {surname, *raws}))
+                    found += [(_hash("ds", d, given), "surname") for d in spelt]
                     found += [(_hash("dg", surname, d), "known" if given in known else "given") for d in deletions(given)]
                 elif kind == "org":
-                    words = surname.split()
+                    words, typed = surname.split(), [r.split() for r in raws]
                     for k, w in enumerate(words):
                         if w not in ORGANISATION:
-                            found += [(_hash("do", " ".join(words[:k] + words[k + 1 :]), d), "org") for d in deletions(w)]
+                            spelt = set().union(*(deletions(x) for x in {w, *(t[k] for t in typed)}))
+                            found += [(_hash("do", " ".join(words[:k] + words[k + 1 :]), d), "org") for d in spelt]
                 pks += [pk] * len(found)
                 forms += [f for f, _ in found]
                 rules += [r for _, r in found]
@@ -227,13 +229,13 @@ def name_clusters(sources: DataFrame, column: str = "authors") -> DataFrame:
     # one reading a name: the one most names attest, then the likeliest
     attested = read.groupBy("pk").agg(F.countDistinct("name").alias("support"), F.sum("rank").alias("doubt"))
     scored = read.join(attested, "pk").withColumn("met", F.when(F.col("support") > 1, F.col("support")).otherwise(0))
-    best = scored.groupBy("name").agg(F.max(F.struct("met", F.when(F.col("met") > 0, -F.col("doubt")).otherwise(-F.col("rank")).alias("likely"), "pk", "kind", "surname", "given", "initials")).alias("r"))
-    best = cut(best.select("name", "r.pk", "r.kind", "r.surname", "r.given", "r.initials"))
-    keys = cut(best.groupBy("pk", "kind", "surname", "given").agg(F.count("*").alias("support")))
+    best = scored.groupBy("name").agg(F.max(F.struct("met", F.when(F.col("met") > 0, -F.col("doubt")).otherwise(-F.col("rank")).alias("likely"), "pk", "kind", "surname", "given", "initials", "raw")).alias("r"))
+    best = cut(best.select("name", "r.pk", "r.kind", "r.surname", "r.given", "r.initials", "r.raw"))
+    keys = cut(best.groupBy("pk", "kind", "surname", "given").agg(F.count("*").alias("support"), F.array(F.min("raw"), F.max("raw")).alias("raws")))
 
     # misspellings: each key to the best attested of those one letter away
     known = frozenset(given)
-    forms = keys.filter(F.col("kind").isin("person", "org")).select("pk", "kind", "surname", "given").mapInArrow(_misspellings(known), "pk long, form long, rule string")
+    forms = keys.filter(F.col("kind").isin("person", "org")).select("pk", "kind", "surname", "given", "raws").mapInArrow(_misspellings(known), "pk long, form long, rule string")
     forms = forms.join(keys.select("pk", "support"), "pk")
     met = cut(forms.withColumn("well", (F.col("rule") == "known").cast("int")))
     top = met.groupBy("form").agg(F.max(F.struct("support", "well", "pk")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("form", F.col("top.pk").alias("root"))

@@ -148,7 +148,8 @@ def analyse(text: str, title: str | None, journal: str | None, authors: list[str
     for k in body:
         line = lines[k].split()
         line = line[1 if k in cut_right else 0 : len(line) - (k in cut_left)]
-        words.extend((k, w) for w in _tokens(" ".join(line)) if w not in own)
+        found = list(_tokens(" ".join(line)))
+        words.extend((k, w, p) for p, w in zip(["", *found], found, strict=False) if w not in own)
     return lines, drop, words, breaks
 
 
@@ -164,7 +165,7 @@ def _analyse_batches(batches):
                 continue
             _, drop, words, breaks = analyse(text, title, journal, authors)
             out.extend((i, k + 1, "running", None, None, None, None, None) for k in drop)
-            out.extend((i, k + 1, "word", w, None, None, None, None) for k, w in dict.fromkeys(words))
+            out.extend((i, k + 1, "word", w, p, None, None, None) for k, w, p in dict.fromkeys(words))
             out.extend((i, k + 1, "break" if sign == "-" or sign == "‐" else "sign", left + right, f"{left}-{right}", left, right, nxt + 1) for k, sign, left, right, nxt in breaks)
         yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*out, strict=True) if out else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
 
@@ -279,47 +280,139 @@ def _scans(sources: DataFrame) -> DataFrame:
     return sources.filter(F.col("body_source").startswith("pdf_ocr"))
 
 
-def diagnose(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of p2_found, the candidates of each misread word, and the vocabulary."""
+def _flag(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """column_known: whether the word in the column is in the vocabulary."""
+    asked = known.select(F.col("word").alias("asked_"), F.lit(True).alias(f"{column}_known"))
+    out = join_small(df.withColumnRenamed(column, "asked_"), asked, "asked_").withColumnRenamed("asked_", column)
+    return out.withColumn(f"{column}_known", F.coalesce(f"{column}_known", F.lit(False)))
+
+
+def study(sources: DataFrame) -> dict[str, DataFrame]:
+    """All that is found out about the scans: furniture, misread words with their candidates, words torn by line ends."""
     trusted = sources.filter(~F.col("body_source").startswith("pdf_ocr") & F.col("body_text").isNotNull())
     vocab = cut(vocabulary(trusted))
     sent = _scans(sources).select(F.col("id").cast("long"), "body_text", "title", "journal", "authors")
     rows = cut(sent.mapInArrow(_analyse_batches, _ROWS))
-    known = vocab.select("word", F.lit(True).alias("known"))
-
-    def flag(df: DataFrame, column: str) -> DataFrame:
-        return join_small(df.withColumnRenamed(column, "word_"), known.select(F.col("word").alias("word_"), F.col("known").alias(f"{column}_known")), "word_").withColumnRenamed("word_", column).withColumn(f"{column}_known", F.coalesce(f"{column}_known", F.lit(False)))
 
-    words = join_small(rows.filter(F.col("kind") == "word").select("source_id", "line_no", "word"), known.select("word"), "word", "left_anti")
-    parts = words.select("source_id", "line_no", "word", F.posexplode_outer(F.when(F.col("word").contains("-"), F.split("word", "-"))).alias("n", "part"))
-    parts = flag(parts, "part").groupBy("source_id", "line_no", "word").agg(F.bool_and(F.coalesce("part_known", F.lit(False)) & F.col("part").isNotNull()).alias("all_known"))
-    unknown = parts.filter(~F.col("all_known")).select("source_id", "line_no", "word")
+    words = rows.filter(F.col("kind") == "word").select("source_id", "line_no", "word", F.col("compound").alias("before"))
+    words = join_small(words, vocab.select("word"), "word", "left_anti")
+    parts = words.select("source_id", "line_no", "word", "before", F.posexplode_outer(F.when(F.col("word").contains("-"), F.split("word", "-"))).alias("n", "part"))
+    parts = _flag(parts, "part", vocab).groupBy("source_id", "line_no", "word", "before").agg(F.bool_and(F.col("part_known") & F.col("part").isNotNull()).alias("all_known"))
+    unknown = parts.filter(~F.col("all_known")).select("source_id", "line_no", "word", "before")
 
     ends = rows.filter(F.col("kind").isin("break", "sign")).select("source_id", "line_no", "kind", "word", "compound", "lead", "rest", "next_no")
     for c in ("word", "compound", "lead", "rest"):
-        ends = flag(ends, c)
+        ends = _flag(ends, c, vocab)
     own = (F.col("kind") == "break") & ~F.col("word_known") & (F.col("compound_known") | F.col("lead_known") & F.col("rest_known"))
     ends = cut(ends.withColumn("own", own))
     torn = ends.filter(~F.col("word_known") & ~F.col("own"))
-    wanted = cut(unknown.select("word").unionByName(torn.select("word")).unionByName(torn.filter(F.col("lead").rlike("...")).select(F.col("compound").alias("word"))).distinct())
+    wanted = cut(unknown.select("word").unionByName(torn.select("word")).unionByName(torn.filter(F.length("lead") >= 3).select(F.col("compound").alias("word"))).distinct())
     found = cut(candidates(wanted, vocab))
     best = found.groupBy("word").agg(F.min(F.struct("cost", (-F.col("docs")).alias("rare"), "candidate")).alias("best")).select("word", "best.candidate", "best.cost")
 
-    hits = join_small(unknown, best.select("word"), "word", "left_semi").select("source_id", "line_no", F.lit("chars").alias("kind"))
     torn = torn.join(best.select("word", F.col("candidate").alias("whole"), F.col("cost").alias("whole_cost")), "word", "left").join(best.select(F.col("word").alias("compound"), F.col("candidate").alias("joined"), F.col("cost").alias("joined_cost")), "compound", "left")
     kept = F.col("joined").contains("-") & (F.coalesce("joined_cost", F.lit(9.0)) <= F.coalesce("whole_cost", F.lit(9.0))) & (F.col("kind") == "break")
     torn = torn.withColumn("kept", F.coalesce(kept, F.lit(False))).withColumn("truth", F.when(F.col("kept"), F.col("joined")).otherwise(F.col("whole")))
+    return {"trusted": trusted, "rows": rows, "unknown": unknown, "ends": ends, "torn": torn, "found": found, "best": best}
+
+
+def damaged_lines(s: dict[str, DataFrame]) -> DataFrame:
+    """source_id, line_no, kind of what was found out."""
+    hits = join_small(s["unknown"], s["best"].select("word"), "word", "left_semi").select("source_id", "line_no", F.lit("chars").alias("kind"))
+    torn = s["torn"]
     in_lead = ~F.expr("startswith(truth, lead)")
-    damaged = torn.filter(F.col("truth").isNotNull()).select("source_id", F.when(in_lead, F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"), F.lit("chars").alias("kind"))
-    whole = ends.filter(F.col("word_known") & ~F.col("own")).select("source_id", "line_no", F.lit("hyphen").alias("kind"))
+    misread = torn.filter(F.col("truth").isNotNull()).select("source_id", F.when(in_lead, F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"), F.lit("chars").alias("kind"))
+    whole = s["ends"].filter(F.col("word_known") & ~F.col("own")).select("source_id", "line_no", F.lit("hyphen").alias("kind"))
     whole = whole.unionByName(torn.filter(~F.col("kept")).select("source_id", "line_no", F.lit("hyphen").alias("kind")))
-    running = rows.filter(F.col("kind") == "running").select("source_id", "line_no", "kind")
-    return running.unionByName(hits).unionByName(damaged).unionByName(whole).distinct(), found, vocab
+    running = s["rows"].filter(F.col("kind") == "running").select("source_id", "line_no", "kind")
+    return running.unionByName(hits).unionByName(misread).unionByName(whole).distinct()
+
+
+def diagnose(sources: DataFrame) -> DataFrame:
+    """source_id, line_no, kind: one row a damaged line and kind of damage."""
+    return damaged_lines(study(sources))
+
+
+def ranked(s: dict[str, DataFrame]) -> DataFrame:
+    """source_id, line_no, word, candidate: of the candidates as good as the best by cost, the one that most often follows the word before, then the most frequent."""
+    found, least = s["found"], s["found"].groupBy("word").agg(F.min("cost").alias("least"))
+    close = cut(found.join(least, "word").filter(F.col("cost") <= F.col("least") + 0.05).select("word", "candidate", "docs"))
+    several = close.select("candidate").distinct()
+    tokens = F.filter(F.split(F.lower("body_text"), r"[^\p{L}-]+"), lambda w: w != "")
+    pairs = s["trusted"].select(F.explode(F.transform(tokens, lambda w, i: F.struct(F.get(tokens, i - 1).alias("before"), w.alias("candidate")))).alias("p")).select("p.*").filter("before is not null")
+    pairs = join_small(pairs, several, "candidate", "left_semi").groupBy("before", "candidate").agg(F.count("*").alias("pairs"))
+    both = s["unknown"].join(close, "word").join(pairs, ["before", "candidate"], "left")
+    pick = F.max(F.struct(F.coalesce("pairs", F.lit(0)).alias("pairs"), "docs", "candidate"))["candidate"]
+    return both.groupBy("source_id", "line_no", "word").agg(pick.alias("candidate"))
+
+
+def reflow(text: str, drop: set[int], joins: dict[int, bool], words: dict[tuple[int, str], str]) -> str:
+    """Paragraphs of a scan: furniture out, words mended, torn words joined (with their hyphen if it is their own), lines run on."""
+    out: list[str] = []
+    tie, gap = "", False
+    for k, line in enumerate(text.split("\n"), 1):
+        if k in drop:
+            continue
+        bare = line.strip()
+        if not bare:
+            gap = True
+            continue
+        fresh = line.lstrip("\f").startswith("  ") or bool(_HEADING.match(bare)) and len(bare) < 40 and bare[-1] not in ".,;-"
+        mended = []
+        for raw in bare.split():
+            word = raw.strip(_EDGES).lower()
+            new = words.get((k, word))
+            if new and word:
+                at = raw.lower().find(word)
+                new = new.capitalize() if raw[at : at + 1].isupper() else new
+                raw = raw[:at] + new + raw[at + len(word) :]
+            mended.append(raw)
+        piece = " ".join(mended)
+        ended = not out or out[-1][-1:] in ".!?:”\"" or fresh
+        if tie == "":
+            if out and not fresh and not (gap and ended):
+                out[-1] += " " + piece
+            else:
+                out.append(piece)
+        else:
+            out[-1] += piece
+        tie, gap = "", fresh and bool(_HEADING.match(bare)) and not line.startswith("  ")
+        if k in joins:
+            out[-1] = out[-1] if joins[k] else out[-1][:-1]
+            tie = "-"
+    return "\n\n".join(out)
+
+
+def _reflow_batches(batches):
+    for batch in batches:
+        ids, texts = [], []
+        for i, text, drop, joins, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids.append(i)
+            texts.append(None if text is None else reflow(text, set(drop or ()), {x["line_no"]: x["own"] for x in joins or ()}, {(x["line_no"], x["word"]): x["candidate"] for x in words or ()}))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["source_id", "text"])
+
+
+def repair(sources: DataFrame) -> DataFrame:
+    """source_id, text of each scan: continuous paragraphs. What is gathered is bounded by a document."""
+    s = study(sources)
+    per = lambda df, c: df.groupBy("source_id").agg(F.collect_list(F.struct(*[x for x in df.columns if x != "source_id"])).alias(c))
+    running = s["rows"].filter(F.col("kind") == "running").groupBy("source_id").agg(F.collect_list("line_no").alias("furniture"))
+    kept = s["torn"].select("source_id", "line_no", "kept")
+    joins = s["ends"].join(kept, ["source_id", "line_no"], "left").select("source_id", "line_no", (F.col("own") | F.coalesce("kept", F.lit(False))).alias("own"))
+    halves = s["torn"].filter("truth is not null and not startswith(truth, lead) and length(truth) > length(rest)")
+    lead = halves.select("source_id", "line_no", F.concat("lead", F.lit("-")).alias("word"), F.expr("concat(left(truth, length(truth) - length(rest)), '-')").alias("candidate"))
+    texts = _scans(sources).select(F.col("id").cast("long").alias("source_id"), "body_text")
+    joined = texts.join(running, "source_id", "left").join(per(joins, "joins"), "source_id", "left").join(per(ranked(s).unionByName(lead), "words"), "source_id", "left")
+    return joined.select("source_id", "body_text", "furniture", "joins", "words").mapInArrow(_reflow_batches, "source_id long, text string")
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
-    return diagnose(table(spark, directory, "sources"))[0]
+    return diagnose(table(spark, directory, "sources"))
+
+
+def p2_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    return repair(table(spark, directory, "sources"))
 
 
-QUERIES = {"p2_found": p2_found}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired}
 SQL: dict[str, str] = {}
