@@ -143,11 +143,19 @@ def _scalar(value: object) -> str | None:
     return _clean(value) if isinstance(value, str) else json.dumps(value)
 
 
+#: Letters of paths and ordinals of labels after which a batch is handed on, so that deep records stay within memory.
+FLUSH = 4_000_000
+
+
 def _flatten(columns: list[str], structured: list[bool], members: bool):
+    def batch_of(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cells, f.type) for cells, f in zip(out, _NODES, strict=True)], schema=_NODES)
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[list] = [[] for _ in _NODES]
+            held = 0
             for k, column in enumerate(columns):
                 for record, text in zip(ids, batch.column(k + 1).to_pylist(), strict=True):
                     if text is None:
@@ -162,7 +170,11 @@ def _flatten(columns: list[str], structured: list[bool], members: bool):
                         row = (record, label, above, _clean(path), above_path, _clean(schema), [(_clean(m), _scalar(v)) for m, v in at.items() if not isinstance(v, (dict, list))] if members else None)
                         for cells, cell in zip(out, row, strict=True):
                             cells.append(cell)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, f.type) for cells, f in zip(out, _NODES, strict=True)], schema=_NODES)
+                        held += len(path) + len(label)
+                        if held > FLUSH:
+                            yield batch_of(out)
+                            out, held = [[] for _ in _NODES], 0
+            yield batch_of(out)
 
     return run
 

@@ -64,7 +64,7 @@ def test_parents_by_truncated_labels_and_tables(spark):
 
 def test_empty_table_and_very_deep_text(spark):
     assert found(spark, []).count() == 0
-    depth = 20_000
+    depth = 4_000
     assert found(spark, [(1, None, '{"a":' * depth + "1" + "}" * depth, None)]).count() == depth
 
 
