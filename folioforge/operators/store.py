@@ -6,7 +6,7 @@ a payload are settled before the join (the last by the order given), so no join
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import trim
@@ -84,10 +84,40 @@ def fill_defaults(settings: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def markdown_mirror() -> Column:
-    """A record as a small document: heading, authors and year, notes."""
-    return F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit(""))), F.lit(""), F.concat(F.lit("- Authors: "), F.array_join(F.coalesce("authors", F.array().cast("array<string>")), "; ")), F.concat(F.lit("- Year: "), F.coalesce("year", F.lit(""))), F.concat(F.lit("- DOI: "), F.coalesce("doi", F.lit(""))), F.lit(""), F.coalesce("notes", F.lit("")))
+    """A record as a small document."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # The labels, in their order.
+    labels = [("Type", "type"), ("Authors", None), ("Year", "year"), ("Journal", "journal"), ("Publisher", "publisher"), ("Volume", "volume"), ("Issue", "issue"), ("Pages", "pages"), ("DOI", "doi"), ("ISBN", "isbn"), ("URL", "url"), ("Accessed At", "accessed_at"), ("Updated", "updated_at")]
+    authors = F.array_join(F.coalesce("authors", F.array().cast("array<string>")), ", ", "")
+    lines = [F.concat(F.lit("# "), F.when(text("title") != "", text("title")).otherwise("Untitled Source")), F.lit(""), F.concat(F.lit("- ID: "), text("id"))]
+    lines += [F.concat(F.lit(f"- {label}: "), text(c) if c else authors) for label, c in labels]
+    return F.concat_ws("\n", *lines, F.lit(""), F.lit("## Notes"), F.lit(""), text("notes"), F.lit(""), F.lit("## Raw Input"), F.lit(""), text("raw_input"), F.lit(""))
 
 
 def write_mirrors(df: DataFrame, path: str) -> None:
-    """One text a record, as rows of a text table by id; files of their own would be too many at scale."""
+    """One document a record, as rows of a table by id; a file each would be too many at scale."""
     df.select("id", markdown_mirror().alias("markdown")).write.mode("overwrite").parquet(path)
+
+
+def staged_names(media: DataFrame) -> DataFrame:
+    """archive_path, staged_name of media (path, content): safe names, equal contents of a name staged once, others numbered in order of path."""
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    stem = F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"\.[^.]*$", "")
+    safe = F.btrim(F.regexp_replace(stem, r"[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
+    rows = media.select("path", F.when(safe == "", "image").otherwise(safe).alias("base"), extension.alias("ext"), F.sha2("content", 256).alias("h"))
+    once = rows.groupBy("base", "ext", "h").agg(F.min("path").alias("first"))
+    once = once.withColumn("n", F.row_number().over(Window.partitionBy("base", "ext").orderBy("first")) - 1)
+    name = F.concat("base", F.when(F.col("n") > 0, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""), F.lit("."), F.col("ext"))
+    return rows.join(once, ["base", "ext", "h"]).select(F.col("path").alias("archive_path"), name.alias("staged_name"))
+
+
+def persist_syntheses(sources: DataFrame, syntheses: DataFrame) -> DataFrame:
+    """Each synthesis (ids, synthesis, created_at) into the records of its ids; of several the newest."""
+    new = first_by(syntheses.select(F.explode(F.array_distinct("ids")).alias("id"), "synthesis", "created_at"), ["id"], F.desc("created_at")).select("id", "synthesis")
+    joined = sources.join(new, "id", "left")
+    return joined.select(*[F.coalesce("synthesis", c).alias(c) if c == "reader_synthesis" else F.col(c) for c in sources.columns])
+
+
+def suggestions(items: Column, most: int = 15) -> Column:
+    """Proposed items trimmed, blanks and repeats out, at most so many."""
+    return F.slice(F.array_distinct(F.filter(F.transform(items, trim), lambda x: x != "")), 1, most)

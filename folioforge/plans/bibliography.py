@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import citations as C
 from folioforge.functions import scores, text
+from folioforge.functions.guide import complete_guide
 from folioforge.operators.dedupe import newest_first
 from folioforge.operators.notes import clean_note
+from folioforge.operators.store import markdown_mirror
 from folioforge.plans import sql as Q
 from folioforge.runtime import table
 
@@ -170,6 +172,17 @@ def unsynced(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources").filter(text.blank("zotero_item_key")).select("id")
 
 
+def guides_complete(spark: SparkSession, d: str) -> DataFrame:
+    plain = F.filter(F.coalesce("ai_claims", F.array().cast("array<string>")), lambda x: ~x.rlike(r"^\s*[\[{]"))
+    g = complete_guide(F.col("ai_summary"), plain, F.col("ai_methods"), F.col("ai_limitations"))
+    return table(spark, d, "sources").select("id", F.length(g).alias("n"), F.md5(g).alias("guide_md5"))
+
+
+def markdown_mirrors(spark: SparkSession, d: str) -> DataFrame:
+    m = markdown_mirror()
+    return table(spark, d, "sources").withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss")).select("id", F.length(m).alias("n"), F.md5(m).alias("mirror_md5"))
+
+
 def guide_sections(spark: SparkSession, d: str) -> DataFrame:
     """Headed sections of a reading guide."""
     raw = text.trim(F.regexp_replace(F.coalesce("ai_summary", F.lit("")), r"\r\n|\r", "\n"))
@@ -179,7 +192,7 @@ def guide_sections(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "pos", text.trim(F.substring_index(cut, "\n", 1)).alias("heading"), F.length(text.trim(F.when(F.contains(cut, F.lit("\n")), F.regexp_replace(cut, r"^[^\n]*\n", "")).otherwise(""))).alias("body_len"))
 
 
-QUERIES = {f.__name__: f for f in (list_sources_newest, list_projects, source_lookup, projects_for_sources, note_counts, home_listing, text_and_collection_filter, notes_public, theme_clusters, digest_input, bibliography_text, citation_cache_size, quality_score, survival_score, citation_qa, fold_types, body_preview, picker_labels, embedding_input, fingerprints, identifiers, norm_text, significant_words, accessed_dates, safe_urls, body_text_plain, body_clean, unsynced, guide_sections)}
+QUERIES = {f.__name__: f for f in (list_sources_newest, list_projects, source_lookup, projects_for_sources, note_counts, home_listing, text_and_collection_filter, notes_public, theme_clusters, digest_input, bibliography_text, citation_cache_size, quality_score, survival_score, citation_qa, fold_types, body_preview, picker_labels, embedding_input, fingerprints, identifiers, norm_text, significant_words, accessed_dates, safe_urls, body_text_plain, body_clean, unsynced, guides_complete, markdown_mirrors, guide_sections)}
 QUERIES |= {f"citations_{s}": _citations(s) for s in C.STYLES}
 
 _T = {c: Q.trim(c) for c in ("title", "journal", "publisher", "year", "volume", "issue", "pages", "doi", "url")}
@@ -217,7 +230,21 @@ _SURVIVE = " + ".join(f"(CASE WHEN {Q.trim(f)} <> '' THEN 1.0::DOUBLE ELSE 0 END
 SURVIVAL = f"(least(2.0::DOUBLE, len(coalesce(authors, [])) * 0.5::DOUBLE) + {_SURVIVE} + (CASE WHEN {Q.trim('zotero_item_key')} <> '' THEN 1.5::DOUBLE ELSE 0 END) + (CASE WHEN {Q.trim('origin_provider')} = 'zotero' THEN 0.5::DOUBLE ELSE 0 END))"
 _PROJECTS = "SELECT source_id, string_agg(name, '; ' ORDER BY name, project_id) AS projects FROM (SELECT DISTINCT source_id, project_id FROM source_project) l JOIN projects p ON p.id = l.project_id GROUP BY source_id"
 _FOLDED = "replace(replace(coalesce({0}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_C = {c: f"coalesce({c}, '')" for c in ("title", "type", "year", "journal", "publisher", "volume", "issue", "pages", "doi", "isbn", "url", "accessed_at", "notes", "raw_input")}
+_MIRROR = "concat_ws(chr(10), '# ' || CASE WHEN {title} <> '' THEN {title} ELSE 'Untitled Source' END, '', '- ID: ' || id, '- Type: ' || {type}, '- Authors: ' || array_to_string(list_transform(coalesce(authors, []), lambda x: coalesce(x, '')), ', '), '- Year: ' || {year}, '- Journal: ' || {journal}, '- Publisher: ' || {publisher}, '- Volume: ' || {volume}, '- Issue: ' || {issue}, '- Pages: ' || {pages}, '- DOI: ' || {doi}, '- ISBN: ' || {isbn}, '- URL: ' || {url}, '- Accessed At: ' || {accessed_at}, '- Updated: ' || coalesce(strftime(updated_at, '%Y-%m-%d %H:%M:%S'), ''), '', '## Notes', '', {notes}, '', '## Raw Input', '', {raw_input}, '')".format(**_C)
+
+
+def _section(text: str, title: str, items: str) -> str:
+    clean = f"list_filter(list_transform(coalesce({items}, []), lambda x: {Q.trim('x')}), lambda x: x <> '')"
+    quoted = title.replace("/", "\\/")
+    return f"(CASE WHEN regexp_matches({text}, '(?i)(^|\\n)\\s{{0,3}}#{{2,6}}\\s+{quoted}\\s*(\\n|$)') OR len({clean}) = 0 THEN {text} ELSE {text} || chr(10) || chr(10) || '## {title}' || chr(10) || chr(10) || array_to_string(list_transform({clean}, lambda x: '- ' || regexp_replace(x, '\\s+', ' ', 'g')), chr(10) || chr(10)) END)"
+
+
+_GUIDE = f"""WITH a AS (SELECT id, ai_methods, ai_limitations, list_filter(coalesce(ai_claims, []), lambda x: NOT regexp_matches(x, '^\\s*[\\[{{]')) AS claims, CASE WHEN {Q.trim('ai_summary')} = '' THEN '' ELSE rtrim(ai_summary, {Q.WS}) END AS t FROM sources),
+    b AS (SELECT *, {_section('t', 'Key claims', 'claims')} AS u FROM a), c AS (SELECT *, {_section('u', 'Methods / approach', 'ai_methods')} AS v FROM b), e AS (SELECT id, {_section('v', 'Limitations', 'ai_limitations')} AS g FROM c) SELECT id, length(g) AS n, md5(g) AS guide_md5 FROM e"""
 SQL = {
+    "guides_complete": _GUIDE,
+    "markdown_mirrors": f"SELECT id, length({_MIRROR}) AS n, md5({_MIRROR}) AS mirror_md5 FROM sources",
     "list_sources_newest": "SELECT id, title, created_at FROM sources",
     "list_projects": "SELECT id, name, coalesce(description, '') AS description FROM projects",
     "source_lookup": "SELECT id, title, year, doi FROM sources WHERE id = 1002",

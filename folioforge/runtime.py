@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast after it was counted; a row here is a few dozen bytes.
 BROADCAST_ROWS = 200_000
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -36,9 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that cut() has written in this process; for when no frame built on them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.clear()
+
+
 def join_small(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a written side, broadcast if its row count is within the bound, else by shuffle."""
     return df.join(F.broadcast(side) if side.count() <= rows else side, on, how)

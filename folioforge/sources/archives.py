@@ -19,7 +19,7 @@ from folioforge.functions.markup import tex_to_text
 
 # Bounds of an archive.
 MAX_FILES, MAX_TOTAL, MAX_TEX, MAX_IMAGE = 4000, 80 << 20, 8 << 20, 24 << 20
-TEX_NAMES, IMAGE_NAMES = (".tex", ".ltx"), (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".pdf", ".eps", ".ps")
+TEX_NAMES, IMAGE_NAMES = (".tex", ".ltx"), (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".avif", ".pdf", ".eps", ".ps")
 PREFERRED = ("main.tex", "paper.tex", "manuscript.tex", "ms.tex", "arxiv.tex")
 
 
@@ -114,13 +114,59 @@ def inline(text: str, start: str, files: dict[str, str], seen: frozenset[str] =
     return re.sub(r"\\(?:input|include|subfile)\s*\{([^}]+)\}", part, text)
 
 
+def find_image(start: str, target: str, images: dict[str, object]) -> str:
+    """The image a command means: as written, beside the file, with a known extension, else by base name in any case."""
+    clean = target.strip().replace("\\", "/").lstrip("./")
+    if not clean:
+        return ""
+    folder = posixpath.dirname(start).strip("/")
+    bases = [clean, *([f"{folder}/{clean}"] if folder not in ("", ".") else [])]
+    bare = not posixpath.splitext(clean)[1]
+    for base in bases:
+        for name in (base, *([base + x for x in IMAGE_NAMES] if bare else [])):
+            if name in images:
+                return name
+    wanted = posixpath.basename(clean).lower()
+    return next((i for i in images if (posixpath.splitext(posixpath.basename(i).lower())[0] if bare else posixpath.basename(i).lower()) == wanted), "")
+
+
+_FIGURES = ("figure", "figure*", "wrapfigure", "sidewaysfigure", "SCfigure", "subfigure", "minipage")
+_GRAPHICS = re.compile(r"\\includegraphics(?:\s*\[[^\]]*\])?\s*\{([^}]+)\}")
+_CAPTION = re.compile(r"\\caption(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}")
+
+
+def substitute_figures(tex: str, main: str, images: dict[str, object], base: str = "") -> str:
+    """Figures as image lines with their captions; images that are not there leave the caption alone. Without images nothing changes."""
+    if not images:
+        return tex
+
+    def picture(path: str, caption: str) -> str:
+        found = find_image(main, path, images)
+        if not found:
+            return ""
+        label = re.sub(r"[\r\n\[\]]+", " ", caption).strip() or posixpath.basename(found)
+        return f"[Figure: {label}]({base}{found})" if found.lower().endswith((".pdf", ".eps", ".ps")) else f"![{label}]({base}{found})"
+
+    def block(m: re.Match) -> str:
+        caption = " / ".join(c for c in (tex_to_text(x) for x in _CAPTION.findall(m[1])) if c)
+        lines = [p for p in (picture(x, caption) for x in _GRAPHICS.findall(m[1])) if p]
+        if not lines:
+            return f"\n\nFigure: {caption}\n\n" if caption else "\n\n"
+        return "\n\n" + "\n\n".join(lines) + "\n\n" + (f"Caption: {caption}\n\n" if caption else "")
+
+    for name in _FIGURES:
+        tex = re.sub(rf"\\begin\{{{re.escape(name)}\}}(?:\[[^\]]*\])?(?:\{{[^}}]*\}})?(.*?)\\end\{{{re.escape(name)}\}}", block, tex, flags=re.DOTALL)
+    return _GRAPHICS.sub(lambda m: f"\n\n{p}\n\n" if (p := picture(m[1], "")) else "", tex)
+
+
 def archive_text(data: bytes) -> tuple[str, str]:
     """Main file and text of an archive, both '' without TeX files."""
-    files = {p: decode(b) for p, b in members(data) if p.lower().endswith(TEX_NAMES)}
+    parts = dict(members(data))
+    files = {p: decode(b) for p, b in parts.items() if p.lower().endswith(TEX_NAMES)}
     if not files:
         return "", ""
     main = main_file(files)
-    return main, tex_to_text(inline(files[main], main, files))
+    return main, tex_to_text(substitute_figures(inline(files[main], main, files), main, {p: b for p, b in parts.items() if p not in files}))
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

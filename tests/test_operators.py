@@ -9,6 +9,7 @@ import zipfile
 import numpy as np
 from pyspark.sql import functions as F
 
+from folioforge.functions.guide import complete_guide, natural_key
 from folioforge.functions.similarity import ratio
 from folioforge.functions.text import norm_text
 from folioforge.operators import activity, dedupe, notes, reader, store, vectors
@@ -202,6 +203,23 @@ def test_archives(spark, tmp_path):
     assert sorted(r.k for r in kinds.collect()) == ["tar.gz", "zip", "zip"]
 
 
+def test_figures_and_staging(spark):
+    tex = "\\begin{figure}[t]\\includegraphics[w]{img/A}\\caption{A \\emph{plot}}\\end{figure} \\includegraphics{none}"
+    out = archives.substitute_figures(tex, "m/main.tex", {"m/img/a.png": b""})
+    assert "![A *plot*](m/img/a.png)" in out and "Caption: A *plot*" in out and "includegraphics" not in out
+    assert archives.substitute_figures(tex, "m/main.tex", {}) == tex
+    media = spark.createDataFrame([("x/my fig.PNG", b"1"), ("y/my fig.png", b"2"), ("z/my fig.png", b"1"), ("q/___.eps", b"3")], "path string, content binary")
+    assert {r.archive_path: r.staged_name for r in store.staged_names(media).collect()} == {"x/my fig.PNG": "my_fig.png", "y/my fig.png": "my_fig-1.png", "z/my fig.png": "my_fig.png", "q/___.eps": "image.eps"}
+
+
+def test_guides_and_natural_order(spark):
+    df = spark.createDataFrame([(" s\n\n## KEY CLAIMS\n\n- a ", ["b"], [" m\n1 ", "", None], None)], "s string, c array<string>, m array<string>, l array<string>")
+    got = df.select(complete_guide(F.col("s"), F.col("c"), F.col("m"), F.col("l")).alias("g")).first().g
+    assert got == " s\n\n## KEY CLAIMS\n\n- a\n\n## Methods / approach\n\n- m 1"
+    names = spark.createDataFrame([("x10",), ("X9",), ("x1a",)], "n string")
+    assert [r.n for r in names.orderBy(natural_key(F.col("n"))).collect()] == ["x1a", "X9", "x10"]
+
+
 def test_stream_counts_a_session_once(spark, tmp_path):
     rows = [(1, "work", True, 60, dt.datetime(2024, 1, 1, 9)), (1, "work", True, 60, dt.datetime(2024, 1, 1, 9)), (2, "WORK ", True, 30, dt.datetime(2024, 1, 1, 10)), (3, "work", False, 30, dt.datetime(2024, 1, 1, 11)), (4, "work", True, 5, dt.datetime(2024, 2, 1))]
     schema = "id long, type string, completed boolean, duration_sec int, started_at timestamp"
