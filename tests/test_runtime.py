@@ -2,15 +2,16 @@
 
 from pathlib import Path
 
-from folioforge.runtime import clear, cut, join_small, shared_dir
+from folioforge import runtime
+from folioforge.runtime import clear, cut, join_small
 
 
 def test_cut_and_clear(spark):
     df = cut(spark.range(10).withColumnRenamed("id", "k"))
-    folder = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
-    assert df.count() == 10 and any(p.name.startswith("cut-") for p in folder.iterdir())
+    folder = Path(runtime._WRITTEN[-1].removeprefix("file://").removeprefix("file:"))
+    assert df.count() == 10 and folder.exists()
     clear(spark)
-    assert not any(p.name.startswith("cut-") for p in folder.iterdir())
+    assert not folder.exists() and not runtime._WRITTEN
 
 
 def test_join_small_either_way(spark):
