@@ -61,12 +61,22 @@ def near_title(line: str, title: str) -> bool:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.75 or len(x & y) >= 0.8 * max(len(x), len(y))
 
 
+def own_title(texts: list[str], title: str | None, prose: list[bool], recurs: list[int]) -> int | None:
+    """Which line is the page's own title: the first that resembles the record's, else, above the prose, the first that looks like one and recurs on no other pages."""
+    near = next((k for k, x in enumerate(texts) if near_title(x, title or "")), None)
+    if near is not None or True not in prose:
+        return near
+    above = texts[: prose.index(True)]
+    return next((k for k, x in enumerate(above) if not recurs[k] and len(x.split()) >= 5 and not re.search(r"[.!:;…]$", x) and not FURNISHING.search(x) and not _SEPARATED.search(x) and " / " not in x and not evidence(x)), None)
+
+
 def features(lines: list[str], title: str | None, recurs: dict[int, int]) -> tuple[list[int], np.ndarray, list[bool]]:
     """Numbers of the non-blank lines, their feature indices (padded with WIDTH), and which of them are prose."""
     at = [k for k, x in enumerate(lines) if x.strip()]
     texts = [lines[k].strip() for k in at]
     prose = [is_content(x) for x in texts]
-    own = [near_title(x, title or "") for x in texts]
+    mine = own_title(texts, title, prose, [recurs.get(k, 0) for k in at])
+    own = [k == mine for k in range(len(at))]
     where = [k for k, p in enumerate(prose) if p]
     first, last = (where[0], where[-1]) if where else (len(at), -1)
     titled = next((k for k, o in enumerate(own) if o), len(at))
@@ -92,18 +102,18 @@ def features(lines: list[str], title: str | None, recurs: dict[int, int]) -> tup
     return at, out, prose
 
 
-def label(lines: list[str], title: str | None) -> list[int]:
+def label(lines: list[str], title: str | None, recurs: dict[int, int]) -> list[int]:
     """1 for each non-blank line of main content, by rules of a page's anatomy; for the pages of the sample only."""
     out = []
-    texts = [x.strip() for x in lines if x.strip()]
+    at = [k for k, x in enumerate(lines) if x.strip()]
+    texts = [lines[k].strip() for k in at]
     prose = [is_content(x) for x in texts]
-    own_seen = False
+    mine = own_title(texts, title, prose, [recurs.get(k, 0) for k in at])
     for k, text in enumerate(texts):
         bare = _NUMBERED.sub("", text)
         if prose[k]:
             out.append(1)
-        elif near_title(text, title or "") and not own_seen:
-            own_seen = True
+        elif k == mine:
             out.append(1)
         elif _CAPTION.match(text):
             out.append(1)
@@ -211,7 +221,7 @@ def fit(pages: DataFrame, bound: int = SAMPLE_PAGES) -> tuple[np.ndarray, np.nda
         lines = text.split("\n")
         _, x, prose = features(lines, title, recurs or {})
         if any(prose):
-            found.append((x, np.array(label(lines, title))))
+            found.append((x, np.array(label(lines, title, recurs or {}))))
     return train(found)
 
 
