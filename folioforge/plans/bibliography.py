@@ -286,3 +286,5 @@ SQL = {
     "citations_mla": f"SELECT id, {MLA} AS citation FROM sources",
     "citations_chicago18": _chicago(),
 }
+_BARE = "SELECT * REPLACE ('' AS pages) FROM sources"
+SQL["citation_cache_size"] = f"WITH apa AS (SELECT id, length({APA}) AS n FROM ({_BARE})), mla AS (SELECT id, length({MLA}) AS n FROM ({_BARE})), ch AS (SELECT id, length(citation) AS n FROM ({_chicago().replace('FROM sources)', f'FROM ({_BARE}))')})) SELECT id, 'apa' AS style, n FROM apa UNION ALL SELECT id, 'mla', n FROM mla UNION ALL SELECT id, 'chicago18', n FROM ch UNION ALL SELECT id, 'chicago', n FROM ch"

@@ -182,7 +182,38 @@ def _top(k: int) -> str:
     return f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 12) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE {{}}) WHERE rank <= {k}"
 
 
+_ITEMS = """i AS (SELECT id, raw_input::JSON AS j FROM sources WHERE json_valid(raw_input) AND CASE WHEN json_valid(raw_input) THEN json_type(raw_input) = 'OBJECT' AND json_type(raw_input, '$.key') = 'VARCHAR' AND json_type(raw_input, '$.data') = 'OBJECT' ELSE FALSE END)"""
+
+
+def _listed(path: str) -> str:
+    return f"(CASE WHEN json_type(j, '{path}') = 'ARRAY' THEN from_json(j -> '{path}', '[\"JSON\"]') ELSE []::JSON[] END)"
+
+
+_NAME = f"CASE WHEN coalesce(c ->> '$.name', '') NOT IN ('', '0') THEN c ->> '$.name' ELSE {Q.trim("coalesce(c ->> '$.lastName', '') || ', ' || coalesce(c ->> '$.firstName', '')")} END"
+_ITEM_AUTHORS = f"list_filter(list_transform(list_filter({_listed('$.data.creators')}, lambda c: json_type(c) = 'OBJECT'), lambda c: {Q.trim(_NAME)}), lambda x: x <> '')"
+_ITEM_TYPE = "CASE " + " ".join(f"WHEN lower(j ->> '$.data.itemType') = '{k}' THEN '{v}'" for k, v in library.ITEM_TYPES.items()) + " ELSE 'other' END"
+
+
+def _tag(*tags: str) -> str:
+    return Q.first_said(*[f"{Q.trim(f"regexp_extract(list_filter(ls, lambda l: regexp_matches(l, '^\\s*{t}\\s*-'))[1], '^\\s*{t}\\s*-\\s*(.*)$', 1)")}" for t in tags])
+
+
+def _tags(tag: str) -> str:
+    return f"list_transform(list_filter(ls, lambda l: regexp_matches(l, '^\\s*{tag}\\s*-')), lambda l: {Q.trim(f"regexp_extract(l, '^\\s*{tag}\\s*-\\s*(.*)$', 1)")})"
+
+
+def _words(x: str, least: int) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({Q.trim(x)}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda w: strlen(w) >= {least}))"
+
+
 SQL = {
+    "item_records": f"WITH {_ITEMS} SELECT id, {_ITEM_TYPE} AS type, coalesce(j ->> '$.data.title', '') AS title, array_to_string({_ITEM_AUTHORS}, '; ') AS authors, regexp_extract(coalesce(j ->> '$.data.date', ''), '\\b(19|20)\\d{{2}}\\b') AS year, coalesce(j ->> '$.data.DOI', '') AS doi, {Q.trim("'Imported from Zotero. ' || coalesce(j ->> '$.data.extra', '')")} AS notes, j ->> '$.key' AS zotero_item_key, array_to_string(list_transform({_listed('$.data.collections')}, lambda c: c ->> '$'), ',') AS collections FROM i",
+    "collection_links": f"WITH {_ITEMS}, c AS (SELECT id, unnest(list_transform({_listed('$.data.collections')}, lambda c: c ->> '$')) AS x FROM i), p AS (SELECT DISTINCT external_id FROM projects WHERE external_id <> '') SELECT id, count(*) AS collections, count(external_id) AS known FROM c LEFT JOIN p ON external_id = x GROUP BY 1",
+    "ris_records": f"""WITH r AS (SELECT id, regexp_split_to_array(raw_input, '\\r\\n|[\\n\\x0B\\f\\r]') AS ls FROM sources WHERE regexp_matches(raw_input, '(^|\\n)\\s*TY\\s*-'))
+        SELECT id, CASE lower({_tag('TY')}) WHEN 'book' THEN 'book' WHEN 'jour' THEN 'article' WHEN 'jfull' THEN 'article' WHEN 'video' THEN 'video' ELSE 'other' END AS type, {_tag('TI', 'T1')} AS title, array_to_string(list_filter(list_concat({_tags('AU')}, {_tags('A1')}), lambda x: x NOT IN ('', '0')), '; ') AS authors, regexp_extract({_tag('PY', 'Y1')}, '\\b(19|20)\\d{{2}}\\b') AS year FROM r""",
+    "consistency": f"""WITH {_ITEMS}, s AS (SELECT s.id, title, coalesce(authors, []) AS a1, coalesce(j ->> '$.data.title', '') AS t2, {_ITEM_AUTHORS} AS a2 FROM i JOIN (SELECT id, title, authors FROM sources) s ON s.id = i.id),
+        w AS (SELECT *, list_filter(flatten(list_transform(a1, lambda n: regexp_split_to_array(lower({Q.trim('n')}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'))), lambda p: strlen(p) > 2) AS ps, lower(array_to_string(a2, ' ')) AS blob, lower({Q.trim('title')}) AS x, lower({Q.trim('t2')}) AS y, {_words('title', 4)} AS wx, {_words('t2', 4)} AS wy FROM s),
+        m AS (SELECT *, len(a1) = 0 OR len(a2) = 0 OR len(ps) = 0 OR len(list_filter(ps, lambda p: contains(blob, p))) > 0 AS am, len(list_intersect(wx, wy)) AS n FROM w) SELECT id, am AS authors_match, x = '' OR y = '' OR contains(x, y) OR contains(y, x) OR n >= 2 OR (n = 1 AND (len(wx) = 1 OR len(wy) = 1 OR am)) AS titles_match FROM m""",
     "input_classify": f"SELECT id, {_KIND} AS kind FROM sources",
     "import_match": f"""WITH i AS (SELECT id, raw_input::JSON AS j FROM sources WHERE json_valid(raw_input) AND CASE WHEN json_valid(raw_input) THEN json_type(raw_input) = 'OBJECT' AND json_type(raw_input, '$.key') = 'VARCHAR' AND json_type(raw_input, '$.data') = 'OBJECT' ELSE FALSE END),
         a AS (SELECT id, j, CASE WHEN json_type(j, '$.data.creators') = 'ARRAY' THEN j -> '$.data.creators[0]' END AS c FROM i),

@@ -202,6 +202,9 @@ QUERIES = {f.__name__: f for f in (session_history, session_stats, session_days,
 _KIND = f"(CASE WHEN lower({Q.trim('type')}) IN ('work', 'short_break', 'long_break') THEN lower({Q.trim('type')}) ELSE 'work' END)"
 _SYNTH = "(SELECT s.id, reader_synthesis AS r, CASE WHEN l.source_id IS NULL THEN []::BIGINT[] ELSE [s.id] END AS v FROM sources s LEFT JOIN (SELECT DISTINCT source_id FROM source_project) l ON l.source_id = s.id WHERE reader_synthesis IS NOT NULL)"
 SQL = {
+    "highlight_pieces": """WITH n AS (SELECT DISTINCT source_id AS id, start_offset AS a, end_offset AS b FROM source_notes WHERE note_scope = 'body' AND end_offset > start_offset), t AS (SELECT id, length(body_text) AS len FROM sources WHERE length(body_text) > 0), c AS (SELECT n.id, least(greatest(a, 0), len) AS a, least(greatest(b, 0), len) AS b, n.a AS ra, n.b AS rb, len FROM n JOIN t ON t.id = n.id),
+        e AS (SELECT id, a AS e FROM c UNION SELECT id, b FROM c UNION SELECT id, 0 FROM c UNION SELECT id, len FROM c), p AS (SELECT id, e AS s, lead(e) OVER (PARTITION BY id ORDER BY e) AS t FROM e), q AS (SELECT * FROM p WHERE t IS NOT NULL)
+        SELECT id, count(*) AS pieces, coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.id = q.id AND ra <= s AND rb >= t) THEN t - s ELSE 0 END), 0)::BIGINT AS highlighted FROM q GROUP BY 1""",
     "session_history": "SELECT p.id, task_label, type, started_at, coalesce(title, '') AS source_title FROM (SELECT DISTINCT id, task_label, type, started_at, source_id FROM (SELECT DISTINCT * FROM pomodoro_sessions)) p LEFT JOIN (SELECT id, title FROM sources) s ON s.id = p.source_id ORDER BY started_at DESC, p.id DESC LIMIT 50",
     "session_stats": f"SELECT count(*) FILTER (WHERE completed AND type = 'work') AS completed_count, round(coalesce(sum(duration_sec) FILTER (WHERE completed AND type = 'work'), 0) / 60.0)::INTEGER AS focused_minutes, count(*) FILTER (WHERE abandoned AND type = 'work') AS abandoned_count FROM pomodoro_sessions WHERE started_at >= date_trunc('day', TIMESTAMP '{NOW}')",
     "session_days": f"SELECT started_at::DATE AS day, count(*) FILTER (WHERE completed AND {_KIND} = 'work') AS completed_count, round(coalesce(sum(duration_sec) FILTER (WHERE completed AND {_KIND} = 'work'), 0) / 60.0)::INTEGER AS focused_minutes FROM (SELECT DISTINCT * FROM pomodoro_sessions) GROUP BY 1",
