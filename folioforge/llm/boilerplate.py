@@ -29,7 +29,7 @@ from folioforge.runtime import cut, join_small, table
 
 SAMPLE_PAGES = 600
 BUCKETS = 2048
-EPOCHS = 120
+EPOCHS = 250
 RECURS = 4
 
 # Headings by which sample pages are labelled.
