@@ -153,8 +153,8 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> t
             beta[:, k] = np.where(mask[:, k + 1, None], np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:]), 0.0)
         z = np.logaddexp(*np.moveaxis(alpha[:, 0] + beta[:, 0], 1, 0))
         p = np.exp(alpha + beta - z[:, None, None])[lines]
-        gw = np.zeros_like(w)
-        np.add.at(gw, flat, (truth - p)[:, None, :])
+        miss = truth - p
+        gw = np.stack([np.bincount(flat.ravel(), weights=np.repeat(miss[:, c], PER_LINE), minlength=WIDTH + 1) for c in (0, 1)], axis=1)
         pair = np.exp(alpha[:, :-1, :, None] + t + (score + beta)[:, 1:, None, :] - z[:, None, None, None])
         gt = seen - (pair * both[:, :, None, None]).sum((0, 1))
         for j, (param, grad) in enumerate(((w, gw / total - 1e-5 * w), (t, gt / total - 1e-5 * t))):

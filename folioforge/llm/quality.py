@@ -47,9 +47,10 @@ def _top_ngram(words: list[str]) -> float:
         runs = Counter(zip(*(words[k:] for k in range(n)), strict=False))
         if not runs:
             break
-        run, times = max(runs.items(), key=lambda x: (x[1] * sum(map(len, x[0])), x[0]))
-        if times >= 3:
-            best = max(best, min(total, times * sum(map(len, run))))
+        often = [(run, times) for run, times in runs.items() if times >= 3]
+        if not often:
+            break  # a longer run comes no more often than its parts
+        best = max(best, min(total, max(times * sum(map(len, run)) for run, times in often)))
     return best / total
 
 
