@@ -2,7 +2,7 @@
 
 A body holds the text of the page's leaf blocks, one a line, without tags; text features, position, neighbours
 and recurrence over the corpus stand in for ancestor tags. The field is trained by gradient ascent on at most
-SAMPLE_PAGES pages (a documented bound; the pages of smallest hash) whose lines are labelled by rules of a
+SAMPLE_PAGES pages (a documented bound; the pages of smallest hash, none over SAMPLE_LETTERS letters) whose lines are labelled by rules of a
 page's anatomy, and decodes every page by Viterbi.
 
 Scale: one scan with a join of recurring lines; the weights are a few KB. Line recurrence is counted over all
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.webtext import _ENDED, _SEPARATED, FURNISHING, evidence, is_content, line_key
 from folioforge.runtime import cut, join_small, table
 
-SAMPLE_PAGES = 600
+SAMPLE_PAGES, SAMPLE_LETTERS = 600, 50_000
 BUCKETS = 2048
 EPOCHS = 250
 RECURS = 4
@@ -215,7 +215,7 @@ def _decode(w: np.ndarray, t: np.ndarray):
 
 def fit(pages: DataFrame, bound: int = SAMPLE_PAGES) -> tuple[np.ndarray, np.ndarray]:
     """Train on at most bound pages, those of smallest hash."""
-    sample = pages.orderBy(F.xxhash64("source_id"), "source_id").limit(bound).select("title", "body_text", "recurs").collect()
+    sample = pages.filter(F.length("body_text") <= SAMPLE_LETTERS).orderBy(F.xxhash64("source_id"), "source_id").limit(bound).select("title", "body_text", "recurs").collect()
     found = []
     for title, text, recurs in sample:
         lines = text.split("\n")
