@@ -81,7 +81,7 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
         bare = line.strip()
         if not bare or len(bare) > 110:
             continue
-        if _BARE.match(bare) and any(c.isalnum() for c in bare) and (any(c.isdigit() for c in bare) or len(bare) < 12):
+        if bare[-1] not in ".,;:?!" and _BARE.match(bare) and any(c.isalnum() for c in bare) and (any(c.isdigit() for c in bare) or len(bare) < 12):
             found.add(k)
             continue
         core = _LEAD.sub("", bare, count=1)
@@ -95,7 +95,7 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
             continue
         if numbered and len(title.split()) <= 14:
             found.add(k)
-        elif _resembles(text, text.split(), pairs):
+        elif (bare[-1] != "." or len(bare.split()) > 3 or re.search(r"\b[A-Z]\.$", bare)) and _resembles(text, text.split(), pairs):
             found.add(k)
         if k in found or (bare[-1] not in ".,;:?!-‐¬\xad" and not _HEADING.match(bare)):
             cores.setdefault(text, []).append(k)
