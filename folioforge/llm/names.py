@@ -38,7 +38,7 @@ _EXPAND = {short: full for full, shorts in ORGANISATION.items() for short in sho
 _TELLING = {w for w in ORGANISATION if w not in ("studies", "research", "history", "science", "national", "international", "school", "min")} - {"press"} | {"press"}
 _LEGAL = frozenset("inc ltd llc gmbh ag plc corp ev sa bv co the of for and in at f fur für".split())
 _NOBODY = frozenset("anonymous|anon|et al|etal|unknown|unbekannt|n n|nn|n a|na|none|null|various|various authors|others|and others|author|authors|staff|editor|editors|ed|eds|u a|s n|sn|no author|not available|tba|tbd|anonyme|anónimo|undefined|nan|author unknown|verfasser unbekannt|collective".split("|"))
-_ROLES = re.compile(r"\((?:eds?|hrsg|hg|dir|trans|coord|comp)\.?\)|\b(?:dr|prof|professor|mr|mrs|ms|sir|dame|rev|hon)\.\s*(?:med\.|phil\.)?|,?\s+(?:jr|sr|ph\.?d|m\.d|esq|iii?|iv)\.?$|\b(?:eds?|hrsg)\.\s*$", re.IGNORECASE)
+_ROLES = re.compile(r"(?i:\((?:eds?|hrsg|hg|dir|trans|coord|comp)\.?\))|\b(?i:dr|prof|professor|mr|mrs|ms|sir|dame|rev|hon)\.\s*(?:med\.|phil\.)?|,\s*(?i:jr|sr|ph\.?d|m\.?d|esq|iii?|iv)\.?$|\s+(?:Jr|Sr|III|Ph\.?D|Esq)\.?$|\b(?i:eds?|hrsg)\.\s*$")
 _PARTICLES = frozenset("van von de del der den la le di da dos das ten ter af zu zum al el du des della vom vna vno dle".split())
 _FORMAL: dict[str, list[str]] = {}
 for _entry in NICKNAMES.split(";"):
