@@ -4,19 +4,27 @@ Two records are likely duplicates if identifier, book number or external key agr
 are at least 0.90 alike, or the first author agrees and titles are at least 0.97 alike. Each rule joins on a key.
 Equal keys link every record to the first of its class (no pairs within a class); titles are compared once a class
 of equal titles. Pairs are oriented newest first.
+
+Titles of one key (a year may hold very many) are dealt into blocks of BLOCK; for each pair of blocks the letters that two
+titles can have in common at most are counted by matrix operations, and only the few pairs that can reach the
+threshold are compared letter by letter.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.scores import duplicate_signal, survival_score
-from folioforge.functions.similarity import title_similarity
+from folioforge.functions.similarity import ratio, title_similarity
 from folioforge.functions.text import first_author, norm_text, normalize_isbn, trim
 from folioforge.operators.graphs import components
 from folioforge.runtime import cut
 
+BLOCK = 1500
+LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
 FIELDS = ["id", "title", "authors", "year", "doi", "isbn", "zotero_item_key", "created_at"]
 
 
@@ -33,19 +41,81 @@ def exact_links(sources: DataFrame) -> DataFrame:
     return keyed.join(newest, ["rule", "value"]).filter("id <> left_id").select("left_id", F.col("id").alias("right_id"), "rule")
 
 
+def letter_counts(titles: list[str]) -> np.ndarray:
+    return np.array([[t.count(c) for c in LETTERS] for t in titles], dtype=np.int16).reshape(len(titles), len(LETTERS))
+
+
+def can_reach(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Positions (in a, in b) of pairs that share letters enough for the threshold, in any order."""
+    x, y = letter_counts(a), letter_counts(b)
+    shared = np.zeros((len(a), len(b)), dtype=np.int16)
+    for k in range(len(LETTERS)):
+        shared += np.minimum.outer(x[:, k], y[:, k])
+    return np.argwhere(2 * shared >= least * (x.sum(1)[:, None] + y.sum(1)[None, :]) - 1e-9)
+
+
+def _compare(least: float):
+    def run(batches):
+        held: list = [None, []]
+        out: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            rows = held[1]
+            left, right = ([r for r in rows if r[3] != 1], [r for r in rows if r[3] == 1])
+            within = not right and all(r[3] == 2 for r in rows)
+            right = left if within else right
+            if len(rows) < 2 or not right:
+                return
+            for i, j in can_reach([r[0] for r in left], [r[0] for r in right], least).tolist():
+                if within and i >= j:
+                    continue
+                p, q = left[i], right[j]
+                if (p[2], p[1]) < (q[2], q[1]):
+                    p, q = q, p
+                if p[1] != q[1] and ratio(p[0], q[0]) >= least:
+                    out.append((p[1], q[1]))
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["left_id", "right_id"])
+            out.clear()
+            return made
+
+        for batch in batches:
+            for key, t, rep, created, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != held[0]:
+                    flush()
+                    held = [key, []]
+                held[1].append((t, rep, created, side))
+            yield batch_of()
+        flush()
+        yield batch_of()
+
+    return run
+
+
+def near_titles(classes: DataFrame, least: float) -> DataFrame:
+    """left_id, right_id of classes (k, t, rep, created) whose titles are at least so alike under one key."""
+    sizes = classes.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = classes.join(sizes, "k").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    key = F.concat_ws("\x1f", "k", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    dealt = rows.select(key.alias("key"), "t", "rep", "created", side.alias("side")).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_compare(least), "left_id long, right_id long")
+
+
 def similar_links(sources: DataFrame) -> DataFrame:
     """left_id, right_id, rule: pairs of classes of equal titles by their newest records, and the other records of a class with it."""
     rows = sources.select("id", "created_at", norm_text("title").alias("t"), trim("year").alias("year"), first_author("authors").alias("author")).filter("t <> ''")
     found = None
     for rule, key, least in (("year", "year", 0.90), ("author", "author", 0.97)):
-        classes = rows.filter(F.col(key) != "").groupBy(F.col(key).alias("k"), "t").agg(F.max(_rank()).alias("first"))
-        classes = classes.select("k", "t", F.col("first.i").alias("rep"), "first", F.length("t").alias("n"))
-        a, b = classes.select(*[F.col(c).alias(f"a_{c}") for c in classes.columns]), classes.select(*[F.col(c).alias(f"b_{c}") for c in classes.columns])
-        near = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_first") > F.col("b_first")) & (2 * F.least("a_n", "b_n") >= least * (F.col("a_n") + F.col("b_n"))))
-        pairs = near.withColumn("s", title_similarity(F.col("a_t"), F.col("b_t"), least)).filter(F.col("s") >= least)
-        links = pairs.select(F.col("a_rep").alias("left_id"), F.col("b_rep").alias("right_id"), F.lit(rule).alias("rule"))
-        same = rows.filter(F.col(key) != "").withColumnRenamed(key, "k").join(classes.select("k", "t", "rep"), ["k", "t"]).filter("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(rule).alias("rule"))
-        found = links.unionByName(same) if found is None else found.unionByName(links).unionByName(same)
+        keyed = rows.filter(F.col(key) != "").withColumnRenamed(key, "k").select("id", "created_at", "t", "k")
+        classes = keyed.groupBy("k", "t").agg(F.max(_rank()).alias("first"))
+        classes = classes.select("k", "t", F.col("first.i").alias("rep"), F.expr("unix_micros(cast(first.created as timestamp))").alias("created"))
+        links = near_titles(classes, least).withColumn("rule", F.lit(rule))
+        same = keyed.join(classes.select("k", "t", "rep"), ["k", "t"]).filter("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(rule).alias("rule"))
+        both = links.unionByName(same)
+        found = both if found is None else found.unionByName(both)
     return found
 
 

@@ -86,6 +86,21 @@ def test_duplicate_groups_equal_nested_loop(spark):
     assert {r.id: r.group_id for r in dedupe.duplicate_groups(df).collect()} == want
 
 
+def test_similar_titles_in_blocks_equal_nested_loop(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = ["what the harbours of nerereltor tell us", "on the map of bribegrucka and its dialects", "a wholly other thing"]
+    titles = sorted({"".join(c for k, c in enumerate(b) if k not in set(rng.integers(0, len(b), rng.integers(0, 4)))) for b in base for _ in range(15)})
+    rows = [(i, t, i * 7 % 11) for i, t in enumerate(titles)]
+    classes = spark.createDataFrame([("1999", t, i, c) for i, t, c in rows] + [("2001", "on the map", 99, 1)], "k string, t string, rep long, created long")
+    order = lambda p, q: (p, q) if (p[2], p[0]) > (q[2], q[0]) else (q, p)
+    for block in (4, 1500):
+        monkeypatch.setattr(dedupe, "BLOCK", block)
+        for least in (0.9, 0.97):
+            want = {(p[0], q[0]) for p, q in (order(*x) for x in itertools.combinations(rows, 2)) if ratio(p[1], q[1]) >= least}
+            got = [tuple(r) for r in dedupe.near_titles(classes, least).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_merge_fills_blanks_and_notes(spark):
     cols = [*dedupe.MERGED, "zotero_item_key", "notes", "origin_provider"]
     base = dict.fromkeys(cols, "")
