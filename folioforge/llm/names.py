@@ -29,9 +29,10 @@ from folioforge.runtime import cut, table
 
 GIVEN_SHARE = 0.001
 GIVEN_LEAST = 8
+OWN_NAME = 0.5
 
 # Given names and their familiar forms.
-NICKNAMES = """alexander: alex al sandy sasha lex; alexandra: alex sandra sasha; andrea: andy drea; andrew: andy drew; anthony: tony ant; anton: toni tony; antonia: toni; barbara: barb barbie babs; beatrice: bea trixie bee; benjamin: ben benny benji; catherine: cathy kate kathy; charles: charlie chuck chas; christina: chris tina; christopher: chris kit topher; clara: clare; conrad: con kurt; daniel: dan danny; david: dave davy; deborah: deb debbie; dorothy: dot dottie dolly dora; edith: edie; edward: ed eddie ted ned; eleanor: ellie nora nell; elizabeth: betty liz beth lizzie eliza bess betsy libby; emil: milo; frederick: fred freddie fritz; frida: fri; gabriel: gabe; gerda: gerdi; gregory: greg; helena: helen lena nell leni; henrik: henk rik hank; henry: harry hank; ingrid: inga; isabel: izzy bella isa belle; ivan: vanya; jacob: jake; james: jim jimmy jamie; jennifer: jen jenny; johanna: hanna jo hannah; john: jack johnny; jonas: jon; jonathan: jon jonny nathan; joseph: joe joey jos; julia: jule jules; katherine: kate kathy kat katie kay; kenneth: ken; lawrence: larry; leopold: leo poldi; lucia: lucy luz; lukas: luke luk; margaret: peggy maggie meg marge greta daisy; martin: marty; matthew: matt matty; michael: mike mick mickey; miriam: mim miri; nadia: nadi; nicholas: nick; nikolai: kolya nik niko; olga: olya; oskar: ossi; patricia: pat trish patty tricia; patrick: pat paddy; paula: pauli; peter: pete; philip: phil pip; rebecca: becky becca; richard: dick rick rich ricky; robert: bob rob bobby robbie bert; ronald: ron; rosa: rosie; rupert: rupe; samuel: sam sammy; stefan: steve stef; stephen: steve; susan: sue susie suzy; teresa: tess terry tessa resi; theodore: ted theo teddy; thomas: tom tommy; timothy: tim; viktor: vic vik; walter: walt wally; wanda: wandi; william: will bill billy willy liam; yusuf: joe; zofia: zosia"""
+NICKNAMES = """alexander: alex sasha; andrea: andy; andrew: andy drew; anthony: tony; anton: toni; barbara: barb; beatrice: bea trixie; benjamin: ben; catherine: cathy kate; charles: charlie chuck; christopher: chris kit; daniel: dan danny; david: dave; dorothy: dot dolly; edward: ed ned ted; elizabeth: betty beth liz; frederick: fred fritz; gregory: greg; henry: hank harry; isabel: bella izzy; jacob: jake; james: jamie jim; jennifer: jen jenny; johanna: hanna; john: jack johnny; jonathan: jon; joseph: joe; katherine: kate kathy; kenneth: ken; lawrence: larry; leopold: leo; margaret: maggie meg peggy; matthew: matt; michael: mick mike; nicholas: nick; nikolai: kolya; patricia: pat trish; patrick: paddy pat; peter: pete; philip: phil; rebecca: becky; richard: dick rick; robert: bob rob; ronald: ron; samuel: sam; stephen: steve; susan: sue susie; teresa: tess; theodore: ted theo; thomas: tom; timothy: tim; viktor: vic; walter: walt; william: bill will"""
 # Words by which an organisation is told, with their abbreviations.
 ORGANISATION = {"institute": "inst", "university": "univ uni", "department": "dept dep", "museum": "mus", "society": "soc", "consortium": "cons", "association": "assoc assn", "academy": "acad", "college": "coll", "centre": "center ctr cent", "laboratory": "lab labs", "library": "lib libr", "archive": "arch archives", "foundation": "found fdn", "committee": "comm cttee", "council": "", "office": "", "group": "grp", "agency": "", "ministry": "min", "school": "sch", "faculty": "fac", "press": "", "survey": "surv", "project": "proj", "team": "", "network": "", "commission": "", "board": "", "bureau": "", "company": "co", "studies": "stud", "research": "res", "history": "hist", "science": "sci sciences", "national": "natl nat", "international": "intl int"}
 _EXPAND = {short: full for full, shorts in ORGANISATION.items() for short in shorts.split()}
@@ -137,8 +138,10 @@ def person(name: str, given: frozenset[str]) -> list[tuple[str, str, str, str]]:
     return [x for x in (straight, turned) if x]
 
 
-def formal(given: str) -> list[str]:
-    return _FORMAL.get(given, [given])
+def formal(given: str, beside: dict[str, int]) -> list[str]:
+    """The names a familiar form stands for. A form that goes with half as many surnames as its formal name is a name of its own."""
+    meant = [f for f in _FORMAL.get(given, [given]) if f == given or beside.get(given, 0) < max(4, OWN_NAME * beside.get(f, 0))]
+    return meant or [given]
 
 
 _H = xxhash.xxh64_intdigest
@@ -166,7 +169,7 @@ _KEYS = pa.schema([("name", pa.string()), ("kind", pa.string()), ("pk", pa.int64
 _KEYS_SQL = "name string, kind string, pk long, rank int, surname string, given string, initials string, raw string"
 
 
-def _readings(given: frozenset[str]):
+def _readings(given: frozenset[str], counts: dict[str, int]):
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
@@ -179,7 +182,7 @@ def _readings(given: frozenset[str]):
                 rank = 0
                 for surname, first, initials, raw in person(name, given):
                     if first:
-                        for f in formal(first):
+                        for f in formal(first, counts):
                             rows.append((name, "person", _hash("p", surname, f), rank, surname, f, initials, raw))
                             rank += 1
                     elif initials:
@@ -223,8 +226,9 @@ def name_clusters(sources: DataFrame, column: str = "authors") -> DataFrame:
     names = cut(sources.select(F.explode(column).alias("name")).filter(F.trim("name") != "").distinct())
     total = names.count()
     beside = names.mapInArrow(_given_tokens, "token string, beside string").distinct().groupBy("token").agg(F.count("*").alias("n"))
-    given = frozenset(r[0] for r in beside.filter(F.col("n") >= max(GIVEN_LEAST, GIVEN_SHARE * total)).select("token").collect()) | frozenset(_FORMAL)
-    read = cut(names.mapInArrow(_readings(given), _KEYS_SQL))
+    counts = {r[0]: r[1] for r in beside.filter(F.col("token").isin(*_FORMAL) | (F.col("n") >= max(GIVEN_LEAST, GIVEN_SHARE * total))).collect()}
+    given = frozenset(t for t, n in counts.items() if n >= max(GIVEN_LEAST, GIVEN_SHARE * total)) | frozenset(_FORMAL)
+    read = cut(names.mapInArrow(_readings(given, counts), _KEYS_SQL))
 
     # one reading a name: the one most names attest, then the likeliest
     attested = read.groupBy("pk").agg(F.countDistinct("name").alias("support"), F.sum("rank").alias("doubt"))

@@ -134,6 +134,11 @@ def test_skyline_keeps_what_nothing_dominates(spark):
     assert {tuple(x) for x in survivors.skyline(spark.createDataFrame(pts, "group_id long, field string, worth long, recency long, source_id long"), 3).collect()} == want
 
 
+def test_a_familiar_form_may_be_a_name_of_its_own():
+    assert names.formal("joe", {"joe": 12, "joseph": 100}) == ["joseph"] and names.formal("joe", {"joe": 90, "joseph": 100}) == ["joe"]
+    assert names.formal("ted", {}) == ["edward", "theodore"] and names.formal("marta", {"marta": 5}) == ["marta"]
+
+
 @pytest.mark.parametrize("name", ["et al.", "Anonymous", "0", "", None, "N.N.", "Unknown"])
 def test_nobody(name):
     assert names.names_nobody(name)
