@@ -7,7 +7,7 @@ over the languages given, of words that, stripped of signs at both ends, are fre
 the language is not taken from the row, where it is often wrong. dup_line_share and dup_para_share: share of
 non-blank lines and paragraphs that repeat an earlier one. top_ngram_share: share of the signs of words covered by
 the most frequent run of one to four words, if it comes at least three times. prose_share: share of signs in
-lines that hold three words and more and frequent words among them.
+lines that hold three words and more, frequent words among them and not mostly figures.
 
 Scale: one scan without a shuffle; the frequent words are a fixed table of a few KB. Memory is that of one text.
 
@@ -68,7 +68,8 @@ def statistics(text: str | None, common: list[frozenset[str]]) -> tuple:
         own = _WORD_SPACE.split(line)
         hits = sum(_STRIP.sub("", w).lower() in every for w in own)
         signs += len(line)
-        if len(own) >= 3 and hits >= 0.15 * len(own):
+        figures = sum(any(c.isdigit() for c in w) for w in own)
+        if len(own) >= 3 and hits >= 0.15 * len(own) and figures < 0.4 * len(own):
             prose += len(line)
     return (len(words), sum(map(len, words)) / len(words), len(_SYMBOL.findall(text)) / len(text), sum(x.endswith(_ENDS) for x in lines) / len(lines), max((sum(w in c for w in bare) for c in common), default=0) / len(words), _repeated(lines), _repeated(paragraphs), _top_ngram([w.lower() for w in words]), prose / signs)
 
@@ -90,10 +91,11 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
 
 def not_prose() -> F.Column:
-    """Combined rules: mostly lines without a language's frequent words; or one run of words throughout; or hardly a letter."""
+    """Combined rules: mostly lines without a language's frequent words, or hardly any in the whole; or one run of words throughout; or hardly a letter."""
     few = F.col("words") < 4
     return (F.col("words") > 0) & (
         (~few & (F.col("prose_share") < 0.5))
+        | ((F.col("words") >= 8) & (F.col("common_share") < 0.2))
         | ((F.col("words") >= 6) & (F.col("top_ngram_share") > 0.6) & (F.col("common_share") < 0.5))
         | (F.col("symbol_ratio") > 0.4)
         | (F.col("mean_word_len") > 25)
