@@ -95,7 +95,7 @@ def not_prose() -> F.Column:
     few = F.col("words") < 4
     return (F.col("words") > 0) & (
         (~few & (F.col("prose_share") < 0.5))
-        | ((F.col("words") >= 8) & (F.col("common_share") < 0.2))
+        | ((F.col("words") >= 25) & (F.col("common_share") < 0.2))
         | ((F.col("words") >= 6) & (F.col("top_ngram_share") > 0.6) & (F.col("common_share") < 0.5))
         | (F.col("symbol_ratio") > 0.4)
         | (F.col("mean_word_len") > 25)
