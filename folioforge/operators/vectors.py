@@ -88,4 +88,4 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", v
     pairs = _blocks(queries, key, vector, "q_").crossJoin(_blocks(vectors, key, vector, "v_"))
     partial = pairs.mapInArrow(_best(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return partial.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)

@@ -86,7 +86,7 @@ def bibliography_text(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_cache_size(spark: SparkSession, d: str) -> DataFrame:
     cache = C.citation_cache(include_pages=False)
-    return table(spark, d, "sources").select("id", F.explode(cache).alias("style", "citation")).select("id", "style", F.length("citation").alias("n"))
+    return table(spark, d, "sources").select("id", F.explode(cache).alias("style", "citation")).select("id", "style", F.length("citation").cast("bigint").alias("n"))
 
 
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ def body_preview(spark: SparkSession, d: str) -> DataFrame:
     shown = F.concat(cut, F.when(F.octet_length(b) > F.length(cut), "\n[truncated]").otherwise(""))
     excerpt = F.coalesce(text.falsy_null("provenance_summary"), text.falsy_null("notes"), b)
     short = F.when(F.length(excerpt) > 220, F.concat(F.substring(excerpt, 1, 220), F.lit("..."))).otherwise(excerpt)
-    return table(spark, d, "sources").select("id", F.md5(shown).alias("preview_md5"), F.length(shown).alias("preview_len"), F.md5(short).alias("excerpt_md5"))
+    return table(spark, d, "sources").select("id", F.md5(shown).alias("preview_md5"), F.length(shown).cast("bigint").alias("preview_len"), F.md5(short).alias("excerpt_md5"))
 
 
 def picker_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +156,7 @@ def safe_urls(spark: SparkSession, d: str) -> DataFrame:
 
 def body_text_plain(spark: SparkSession, d: str) -> DataFrame:
     t = text.html_to_text("body_text", 12_000)
-    return table(spark, d, "sources").select("id", F.length(t).alias("n"), F.md5(t).alias("text_md5"))
+    return table(spark, d, "sources").select("id", F.length(t).cast("bigint").alias("n"), F.md5(t).alias("text_md5"))
 
 
 def body_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ def body_clean(spark: SparkSession, d: str) -> DataFrame:
     t = F.regexp_replace(F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"[ \t]+\n", "\n")
     t = F.regexp_replace(text.trim(t), r"\n{4,}", "\n\n\n")
     edited = F.when(F.col("body_source").contains("manual_edit"), F.col("body_source")).when(F.col("body_source") != "", F.concat("body_source", F.lit("+manual_edit"))).otherwise("manual_edit")
-    return table(spark, d, "sources").select("id", F.length(t).alias("n"), F.md5(t).alias("text_md5"), (F.length(t) > 120_000).alias("truncated"), edited.alias("label_after_edit"))
+    return table(spark, d, "sources").select("id", F.length(t).cast("bigint").alias("n"), F.md5(t).alias("text_md5"), (F.length(t) > 120_000).alias("truncated"), edited.alias("label_after_edit"))
 
 
 def unsynced(spark: SparkSession, d: str) -> DataFrame:
@@ -175,12 +175,12 @@ def unsynced(spark: SparkSession, d: str) -> DataFrame:
 def guides_complete(spark: SparkSession, d: str) -> DataFrame:
     plain = F.filter(F.coalesce("ai_claims", F.array().cast("array<string>")), lambda x: ~x.rlike(r"^\s*[\[{]"))
     g = complete_guide(F.col("ai_summary"), plain, F.col("ai_methods"), F.col("ai_limitations"))
-    return table(spark, d, "sources").select("id", F.length(g).alias("n"), F.md5(g).alias("guide_md5"))
+    return table(spark, d, "sources").select("id", F.length(g).cast("bigint").alias("n"), F.md5(g).alias("guide_md5"))
 
 
 def markdown_mirrors(spark: SparkSession, d: str) -> DataFrame:
     m = markdown_mirror()
-    return table(spark, d, "sources").withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss")).select("id", F.length(m).alias("n"), F.md5(m).alias("mirror_md5"))
+    return table(spark, d, "sources").withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss")).select("id", F.length(m).cast("bigint").alias("n"), F.md5(m).alias("mirror_md5"))
 
 
 def guide_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +189,7 @@ def guide_sections(spark: SparkSession, d: str) -> DataFrame:
     parts = F.filter(F.split(raw, r"\n##\s+"), lambda x: x != "")
     s = table(spark, d, "sources").filter(F.contains(raw, F.lit("\n## "))).select("id", F.posexplode(parts).alias("pos", "part")).filter("pos > 0")
     cut = F.regexp_replace("part", r"^\s+", "")
-    return s.select("id", "pos", text.trim(F.substring_index(cut, "\n", 1)).alias("heading"), F.length(text.trim(F.when(F.contains(cut, F.lit("\n")), F.regexp_replace(cut, r"^[^\n]*\n", "")).otherwise(""))).alias("body_len"))
+    return s.select("id", "pos", text.trim(F.substring_index(cut, "\n", 1)).alias("heading"), F.length(text.trim(F.when(F.contains(cut, F.lit("\n")), F.regexp_replace(cut, r"^[^\n]*\n", "")).otherwise(""))).cast("bigint").alias("body_len"))
 
 
 QUERIES = {f.__name__: f for f in (list_sources_newest, list_projects, source_lookup, projects_for_sources, note_counts, home_listing, text_and_collection_filter, notes_public, theme_clusters, digest_input, bibliography_text, citation_cache_size, quality_score, survival_score, citation_qa, fold_types, body_preview, picker_labels, embedding_input, fingerprints, identifiers, norm_text, significant_words, accessed_dates, safe_urls, body_text_plain, body_clean, unsynced, guides_complete, markdown_mirrors, guide_sections)}

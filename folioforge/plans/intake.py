@@ -160,7 +160,7 @@ def claim_links_top3(spark: SparkSession, d: str) -> DataFrame:
 def claim_lines(spark: SparkSession, d: str) -> DataFrame:
     """Non-empty lines of drafts, the claims that are linked."""
     t = table(spark, d, "documents").filter("source = 'claim_drafts'").select("doc_id", F.posexplode(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]"), text.trim), lambda x: x != "")).alias("pos", "claim"))
-    return t.groupBy("doc_id").agg(F.count("*").alias("claims"), F.max(F.length("claim")).alias("longest"))
+    return t.groupBy("doc_id").agg(F.count("*").alias("claims"), F.max(F.length("claim")).cast("bigint").alias("longest"))
 
 
 QUERIES = {f.__name__: f for f in (input_classify, bibtex_records, ris_records, item_records, import_match, collection_links, candidate_merge, low_confidence, grounded_records, consistency, trace_summaries, trace_cascade, free_text_queries, dedupe_exact, dedupe_similar, dedupe_scored, dedupe_components, dedupe_keep, dedupe_merge, semantic_topk, similar_sources, claim_links_top3, claim_lines)}
