@@ -250,13 +250,14 @@ def name_clusters(sources: DataFrame, column: str = "authors") -> DataFrame:
 
     # initials: to the one person of the surname that bears them
     full = placed.filter("kind = 'person'").select("root", "surname", F.substring("given", 1, 1).alias("g"), F.substring("initials", 2, 1).alias("middle"))
-    bearers = full.groupBy("surname", "g", "root").agg(F.max(F.col("middle")).alias("middle"))
+    bearers = full.groupBy("surname", "g", "root").agg(F.max(F.col("middle")).alias("middle")).groupBy("surname", "g", "middle").agg(F.count("*").alias("n"), F.min("root").alias("root"))
     short = placed.filter("kind = 'initials'").select("pk", "surname", "initials").distinct()
-    joined = short.withColumn("g", F.substring("initials", 1, 1)).join(bearers, ["surname", "g"])
+    joined = short.withColumn("g", F.substring("initials", 1, 1)).join(bearers, ["surname", "g"])  # a row a second initial, however many bear the surname
     exact = F.substring("initials", 2, 1) == F.col("middle")
     loose = (F.length("initials") == 1) | (F.col("middle") == "")
-    chosen = joined.groupBy("pk").agg(F.sum(exact.cast("int")).alias("exacts"), F.min(F.when(exact, F.col("root"))).alias("exact"), F.sum(loose.cast("int")).alias("looses"), F.min(F.when(loose, F.col("root"))).alias("loose"))
-    chosen = chosen.select("pk", F.when(F.col("exacts") == 1, F.col("exact")).when((F.col("exacts") == 0) & (F.col("looses") == 1), F.col("loose")).alias("bearer"), F.lit(True).alias("met"))
+    fits = lambda test, c: F.when(test, F.col(c))
+    chosen = joined.groupBy("pk").agg(F.sum(fits(exact, "n")).alias("exacts"), F.min(fits(exact, "root")).alias("exact"), F.sum(fits(loose, "n")).alias("looses"), F.min(fits(loose, "root")).alias("loose"))
+    chosen = chosen.select("pk", F.when(F.col("exacts") == 1, F.col("exact")).when(F.col("exacts").isNull() & (F.col("looses") == 1), F.col("loose")).alias("bearer"), F.lit(True).alias("met"))
     linked = placed.join(chosen, "pk", "left")
     several = (F.col("kind") == "initials") & F.col("met").isNotNull() & F.col("bearer").isNull()
     return linked.select("name", F.when(several, F.xxhash64("name")).otherwise(F.coalesce("bearer", "root")).alias("cluster"))
