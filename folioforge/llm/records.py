@@ -4,7 +4,8 @@ Each record gets a 64-bit fingerprint of the letter trigrams of its title, weigh
 and of the names of its authors. Fingerprints of unrelated records lie 32 bits apart give or take 4, so that balls
 of the radius needed (RADIUS) reach nearly every part of a tree over all records (measured: see README);
 therefore records are first sharded: by combinations of their rarest tokens (words of the title, of the names, the
-identifier), as many in one key as make it selective. Every record lies in the shards of all its combinations,
+identifier), as many in one key as make it selective, by such combinations of the words of the title alone, and by the
+identifier alone. Every record lies in the shards of all its combinations,
 so shards overlap. In each shard a vantage-point tree is built and queried with the triangle bounds; pairs within
 the radius are exact. A shard beyond SHARD records is dealt into blocks, and each pair of blocks searched by
 itself. Pairs are then checked on the fields themselves and grouped by connected components.
@@ -152,26 +153,41 @@ def fingerprint(plain: str, names: list[str], counts: np.ndarray, total: int) ->
     return int.from_bytes(np.packbits(heavy @ bits > heavy.sum() / 2).tobytes(), "big", signed=True)
 
 
-def shard_keys(tokens: list[str], counts: np.ndarray, total: int) -> list[int]:
-    """Keys of the combinations of the rarest tokens: pairs, widened by a further token while more than EXPECTED records would share them by chance."""
-    ranked = sorted((int(counts[bucket(t)]), t) for t in tokens)[:RAREST]
-    keys, wide = [], []
+def _combinations(ranked: list[tuple[int, str]], total: int, least: int | None = None) -> list[tuple[tuple[int, str], ...]]:
+    """Pairs, widened by a further token while more than EXPECTED records would share them by chance.
+
+    Widened ones count as well if they end in the last token, or (least) if they have so many tokens at least.
+    """
+    found, wide = [], [((x,), k, float(total) * min(1.0, x[0] / max(1, total))) for k, x in enumerate(ranked)]
     for size in (2, 3, 4):
-        source = itertools.combinations(ranked, 2) if size == 2 else wide
         wide_next = []
-        for combo in source:
-            expected = total
-            for n, _ in combo:
-                expected *= min(1.0, n / max(1, total))
-            if expected <= EXPECTED or size == 4 or len(ranked) <= size:
-                keys.append(xxhash.xxh64_intdigest("\x1f".join(sorted(t for _, t in combo))) - (1 << 63))
-            else:
-                last = ranked.index(combo[-1])
-                wide_next.extend((*combo, x) for x in ranked[last + 1 :])
-                if last == len(ranked) - 1:
-                    keys.append(xxhash.xxh64_intdigest("\x1f".join(sorted(t for _, t in combo))) - (1 << 63))
+        for combo, at, expected in wide:
+            for k in range(at + 1, len(ranked)):
+                longer, chance = (*combo, ranked[k]), expected * min(1.0, ranked[k][0] / max(1, total))
+                if chance <= EXPECTED or size == 4 or len(ranked) <= size:
+                    found.append(longer)
+                else:
+                    wide_next.append((longer, k, chance))
+                    if k == len(ranked) - 1 if least is None else size >= least:
+                        found.append(longer)
         wide = wide_next
-    return list(dict.fromkeys(keys))
+    return found
+
+
+def shard_keys(tokens: list[str], counts: np.ndarray, total: int, generic: bool = False) -> list[int]:
+    """Keys of the combinations of the rarest tokens of all kinds, of the rarest words of the title alone, and the identifier.
+
+    The keys of the title do not depend on how many names a record has: two records that have four words in common, and
+    at most four others each, share one; shorter titles also if each has two words that the other lacks (all words, and
+    all but one or two, are keys however frequent they are). A generic title is no key by itself, as it never links alone.
+    """
+    ranked = sorted((int(counts[bucket(t)]), t) for t in tokens)
+    title = [x for x in ranked if x[1][0] == "t"]
+    found = _combinations(ranked[:RAREST], total)
+    if not generic:
+        found += _combinations(title[:RAREST], total, len(title) - 2)
+    found += [(x,) for x in ranked if x[1][0] == "d"]
+    return [xxhash.xxh64_intdigest("\x1f".join(sorted(t for _, t in combo))) - (1 << 63) for combo in dict.fromkeys(found)]
 
 
 def _count_tokens(batches):
@@ -201,7 +217,7 @@ def _shard(counts, total: int):
             prints: list[int] = []
             facts: list[int] = []
             for i, plain, names, tail, year in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = shard_keys(tokens_of(plain, names, tail), table_, total)
+                own = shard_keys(tokens_of(plain, names, tail), table_, total, plain in GENERIC)
                 if own:
                     keys.extend(own)
                     ids.extend([i] * len(own))

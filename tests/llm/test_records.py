@@ -70,6 +70,38 @@ def test_a_hot_key_is_searched_in_blocks(spark, monkeypatch):
     assert len(got) == 90 and {r.group_id for r in got} == {1}
 
 
+def hot_edits(rng):
+    """A third of 240 records are edits of one work with four words; some name four authors, some nobody."""
+    hot = ["Harbour", "Customs", "Weaving", "Ledgers"]
+    people = ["Gregritemp, Joseph", "Brigurbas, Conrad", "Habrieth, Lukas", "Legamur, Nadia"]
+    rows = []
+    for i in range(80):
+        at = i % 5
+        title = " ".join(w[:2] + rng.choice("qxz") + w[2:] if k == at else w for k, w in enumerate(hot))
+        rows.append((i + 1, title, people if i % 2 else [], "1990", ""))
+    return rows + [(1000 + i, *w) for i, w in enumerate(works(rng, 160))]
+
+
+def test_a_hot_work_shares_keys_whatever_its_authors(spark):
+    rows = hot_edits(random.Random(8))
+    ready = {r[0]: records.prepare(*r[1:]) for r in rows}
+    tokens = {i: records.tokens_of(r[0], r[3], r[5]) for i, r in ready.items()}
+    counts = np.zeros(records.BUCKETS, dtype=np.int64)
+    for own in tokens.values():
+        for t in own:
+            counts[records.bucket(t)] += 1
+    keys = {i: set(records.shard_keys(own, counts, len(rows))) for i, own in tokens.items()}
+    assert all(keys[a] & keys[b] for a, b in itertools.combinations(range(1, 81), 2))
+    got = {r.id for r in records.work_groups(spark.createDataFrame(rows, SCHEMA)).filter("group_id = 1").collect()}
+    assert got == set(range(1, 81))
+
+
+def test_an_identifier_is_a_key_alone():
+    counts = np.full(records.BUCKETS, 5, dtype=np.int64)
+    a = records.shard_keys(["tharbour", "tledgers", "dx.000001", *(f"nname{k}" for k in range(9))], counts, 90)
+    assert set(a) & set(records.shard_keys(["tquite", "tother", "twords", "dx.000001"], counts, 90))
+
+
 def test_titles():
     assert records.normal_title("Review of “Quiet Rivers”")[1] == "review" and records.normal_title("Quiet Rivers, Part II")[1] == "part 2" and records.normal_title("Quiet Rivers (2nd edition)") == ("quiet rivers", "edition 2")
     assert records.normal_title("Quiet Rivers [PDF]: a study") == ("quiet rivers", "") and records.normal_title(None) == ("", "")
