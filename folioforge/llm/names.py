@@ -4,7 +4,8 @@ Each distinct name is rewritten by rules: case, accents and transliterated umlau
 order of parts, nicknames, initials, legal forms and abbreviations of organisations, and every deletion of one
 letter (two names within one edit or swap share one). Equal forms link. A link is scored by the rarity of its
 rewriting: a form that many names attest is a name of its own and no misspelling of another; an initial links
-only if one person of the surname bears it.
+only if one person of the surname bears it, or, if the surname so spelt has no bearer, if the bearers one letter away
+have one given name and only one spelling of the surname, of all that meet, is attested by many.
 
 Scale: works on distinct names, never on their occurrences. Forms are hashes; each group of equal forms links to its
 best attested member only (a star), so nothing is gathered or paired within a group; stars are merged by
@@ -30,6 +31,7 @@ from folioforge.runtime import cut, table
 GIVEN_SHARE = 0.001
 GIVEN_LEAST = 8
 OWN_NAME = 0.5
+FEW = 2
 
 # Given names and their familiar forms.
 NICKNAMES = """alexander: alex sasha; andrea: andy; andrew: andy drew; anthony: tony; anton: toni; barbara: barb; beatrice: bea trixie; benjamin: ben; catherine: cathy kate; charles: charlie chuck; christopher: chris kit; daniel: dan danny; david: dave; dorothy: dot dolly; edward: ed ned ted; elizabeth: betty beth liz; frederick: fred fritz; gregory: greg; henry: hank harry; isabel: bella izzy; jacob: jake; james: jamie jim; jennifer: jen jenny; johanna: hanna; john: jack johnny; jonathan: jon; joseph: joe; katherine: kate kathy; kenneth: ken; lawrence: larry; leopold: leo; margaret: maggie meg peggy; matthew: matt; michael: mick mike; nicholas: nick; nikolai: kolya; patricia: pat trish; patrick: paddy pat; peter: pete; philip: phil; rebecca: becky; richard: dick rick; robert: bob rob; ronald: ron; samuel: sam; stephen: steve; susan: sue susie; teresa: tess; theodore: ted theo; thomas: tom; timothy: tim; viktor: vic; walter: walt; william: bill will"""
@@ -196,17 +198,20 @@ def _readings(given: frozenset[str], counts: dict[str, int]):
 
 
 def _misspellings(known: frozenset[str]):
-    """Forms of each key under which a key one letter away meets it: kind, surname, given -> pk, form, rule."""
+    """Forms of each key under which a key one letter away meets it: kind, surname, given, initials -> pk, form, rule."""
 
     def run(batches):
         for batch in batches:
             pks, forms, rules = [], [], []
-            for pk, kind, surname, given, raws in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for pk, kind, surname, given, initials, raws in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found: list[tuple[int, str]] = []
                 if kind == "person":
                     spelt = set().union(*(deletions(x) for x in {surname, *raws}))
                     found += [(_hash("ds", d, given), "surname") for d in spelt]
                     found += [(_hash("dg", surname, d), "known" if given in known else "given") for d in deletions(given)]
+                elif kind in ("initials", "single"):
+                    spelt = set().union(*(deletions(x) for x in {surname, *raws}))
+                    found += [(_hash("d" + kind[0], d, initials), "short") for d in spelt]
                 elif kind == "org":
                     words, typed = surname.split(), [r.split() for r in raws]
                     for k, w in enumerate(words):
@@ -221,6 +226,35 @@ def _misspellings(known: frozenset[str]):
     return run
 
 
+def _surname_forms(batches):
+    """surname, raw, g and more -> the same and the forms under which surnames one letter away meet, by initial."""
+    for batch in batches:
+        at, forms = [], []
+        for k, (surname, raw, g) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("surname", "raw", "g")), strict=True)):
+            own = {_hash("n", d, g) for d in deletions(surname) | deletions(raw)}
+            at += [k] * len(own)
+            forms += own
+        yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int32())).columns, pa.array(forms, pa.int64())], [*batch.schema.names, "form"])
+
+
+def near_bearers(lone: DataFrame, full: DataFrame) -> DataFrame:
+    """own, root: initials whose surname nobody bears as spelt, with the bearers one letter away if these have one given name.
+
+    lone has own, surname, raw, initials, attested; full has root, surname, raw, g, middle, meant, attested.
+    """
+    lone = lone.withColumn("g", F.substring("initials", 1, 1)).mapInArrow(_surname_forms, "own long, surname string, raw string, initials string, attested long, g string, form long")
+    full = full.mapInArrow(_surname_forms, "root long, surname string, raw string, g string, middle string, meant string, attested long, form long")
+    spelt = full.groupBy("form", F.col("surname").alias("theirs"), "middle").agg(F.min("meant").alias("lo"), F.max("meant").alias("hi"), F.min("root").alias("root"), F.max("attested").alias("many"))  # a row a spelling and second initial
+    met = lone.join(spelt, "form").select("own", "initials", "attested", "theirs", "middle", "lo", "hi", "root", "many").distinct()
+    met = cut(met.filter((F.least("attested", "many") <= FEW) & ((F.length("initials") == 1) | (F.col("middle") == "") | (F.substring("initials", 2, 1) == F.col("middle")))))
+    middle, strong = F.when(F.col("middle") != "", F.col("middle")), F.when(F.col("many") > FEW, F.col("root"))
+    exact = (F.length("initials") > 1) & (F.col("middle") != "")
+    picked = met.groupBy("own").agg(F.min("lo").alias("lo_"), F.max("hi").alias("hi_"), F.min(F.when(exact, F.col("lo"))).alias("exact_lo"), F.max(F.when(exact, F.col("hi"))).alias("exact_hi"), F.min(middle).alias("m"), F.max(middle).alias("n"), F.min(strong).alias("s"), F.max(strong).alias("t"))
+    picked = picked.withColumn("one", F.when(F.coalesce("exact_lo", "lo_") == F.coalesce("exact_hi", "hi_"), F.coalesce("exact_lo", "lo_")))
+    picked = picked.filter(F.col("one").isNotNull() & (F.coalesce("m", F.lit("")) == F.coalesce("n", F.lit(""))) & (F.coalesce("s", F.lit(0)) == F.coalesce("t", F.lit(0)))).select("own", "one")
+    return met.join(picked, "own").filter("lo = one and hi = one").select("own", "root").distinct()
+
+
 def name_clusters(sources: DataFrame, column: str = "authors") -> DataFrame:
     """name, cluster: each name that names somebody; equal clusters name one person or organisation."""
     names = cut(sources.select(F.explode(column).alias("name")).filter(F.trim("name") != "").distinct())
@@ -235,15 +269,17 @@ def name_clusters(sources: DataFrame, column: str = "authors") -> DataFrame:
     scored = read.join(attested, "pk").withColumn("met", F.when(F.col("support") > 1, F.col("support")).otherwise(0))
     best = scored.groupBy("name").agg(F.max(F.struct("met", F.when(F.col("met") > 0, -F.col("doubt")).otherwise(-F.col("rank")).alias("likely"), "pk", "kind", "surname", "given", "initials", "raw")).alias("r"))
     best = cut(best.select("name", "r.pk", "r.kind", "r.surname", "r.given", "r.initials", "r.raw"))
-    keys = cut(best.groupBy("pk", "kind", "surname", "given").agg(F.count("*").alias("support"), F.array(F.min("raw"), F.max("raw")).alias("raws")))
+    keys = cut(best.groupBy("pk", "kind", "surname", "given").agg(F.count("*").alias("support"), F.min("initials").alias("initials"), F.array(F.min("raw"), F.max("raw")).alias("raws")))
+    spelt = cut(best.filter("kind <> 'org'").groupBy("surname").agg(F.count("*").alias("attested")))
 
     # misspellings: each key to the best attested of those one letter away
     known = frozenset(given)
-    forms = keys.filter(F.col("kind").isin("person", "org")).select("pk", "kind", "surname", "given", "raws").mapInArrow(_misspellings(known), "pk long, form long, rule string")
-    forms = forms.join(keys.select("pk", "support"), "pk")
+    forms = keys.select("pk", "kind", "surname", "given", "initials", "raws").mapInArrow(_misspellings(known), "pk long, form long, rule string")
+    own = keys.join(spelt, "surname", "left").select("pk", F.when(F.col("kind").isin("initials", "single"), F.greatest("support", "attested")).otherwise(F.col("support")).alias("support"))
+    forms = forms.join(own, "pk")
     met = cut(forms.withColumn("well", (F.col("rule") == "known").cast("int")))
     top = met.groupBy("form").agg(F.max(F.struct("support", "well", "pk")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("form", F.col("top.pk").alias("root"))
-    weak = met.filter("rule <> 'known' and support <= 2").join(top, "form").filter("pk <> root")
+    weak = met.filter(f"rule <> 'known' and support <= {FEW}").join(top, "form").filter("pk <> root")
     roots = cut(components(weak.select("pk", "root"), "pk", "root").withColumnRenamed("node", "pk"))
     placed = best.join(roots, "pk", "left").withColumn("root", F.coalesce("root", "pk"))
     placed = cut(placed)
@@ -259,8 +295,15 @@ def name_clusters(sources: DataFrame, column: str = "authors") -> DataFrame:
     chosen = joined.groupBy("pk").agg(F.sum(fits(exact, "n")).alias("exacts"), F.min(fits(exact, "root")).alias("exact"), F.sum(fits(loose, "n")).alias("looses"), F.min(fits(loose, "root")).alias("loose"))
     chosen = chosen.select("pk", F.when(F.col("exacts") == 1, F.col("exact")).when(F.col("exacts").isNull() & (F.col("looses") == 1), F.col("loose")).alias("bearer"), F.lit(True).alias("met"))
     linked = placed.join(chosen, "pk", "left")
+
+    # initials of a surname nobody bears as spelt: to the bearers one letter away
+    lone = placed.filter("kind = 'initials'").join(chosen, "pk", "left_anti").join(spelt, "surname").select(F.col("root").alias("own"), "surname", "raw", "initials", "attested").distinct()
+    meant = keys.select(F.col("pk").alias("root"), F.col("given").alias("meant"))
+    borne = placed.filter("kind = 'person'").join(meant, "root").join(spelt, "surname").select("root", "surname", "raw", F.substring("given", 1, 1).alias("g"), F.substring("initials", 2, 1).alias("middle"), "meant", "attested").distinct()
+    merged = components(near_bearers(lone, borne), "own", "root").select(F.col("node").alias("at"), F.col("root").alias("whole"))
     several = (F.col("kind") == "initials") & F.col("met").isNotNull() & F.col("bearer").isNull()
-    return linked.select("name", F.when(several, F.xxhash64("name")).otherwise(F.coalesce("bearer", "root")).alias("cluster"))
+    linked = linked.withColumn("at", F.when(several, F.xxhash64("name")).otherwise(F.coalesce("bearer", "root"))).join(cut(merged), "at", "left")
+    return linked.select("name", F.coalesce("whole", "at").alias("cluster"))
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:

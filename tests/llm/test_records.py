@@ -132,6 +132,23 @@ def test_name_pairs(spark):
     assert names.name_clusters(spark.createDataFrame([], "authors array<string>")).count() == 0
 
 
+def test_initials_and_single_names_one_letter_off(spark):
+    groups = [
+        ["Habrileth, L. C.", "Habrieth, Lukas C.", "Lukas Habrilfth"],
+        ["N. Legamur", "Nadia Legmur"],
+        ["Brigubras, C.", "Brigurbas, Conrad", "Conrad Brigurbas"],
+        ["Kesihiff, D. M.", "Kesihff D. M."],
+        ["Aristobrek", "Aristobrk"],
+    ]
+    alone = ["T. Morvandel", "Tilda Morvandl", "Tobias Morvadel", "P. Q. Zestirom", "Paul R. Zestirm", "Brigubras, Emil", "Brigubras, Frida"]
+    many = [["Johann Meyerlin", "Meyerlin, Johann", "Meyerlin, Otto"], ["J. Meierlin"], ["Anna Meierlin", "Meierlin, Anna"], ["Meierlin, Bert"]]
+    apart = [("Johann Meyerlin", "J. Meierlin")]
+    found = {r["name"]: r.cluster for r in names.name_clusters(spark.createDataFrame([([n for g in groups + many for n in g] + alone,)], "authors array<string>")).collect()}
+    assert [len({found[n] for n in g}) for g in groups] == [1] * len(groups)
+    assert len({found[g[0]] for g in groups} | {found[n] for n in alone}) == len(groups) + len(alone)
+    assert all(found[a] != found[b] for a, b in apart)
+
+
 def brute(groups, rows):
     out = set()
     for field in survivors.FIELDS:
