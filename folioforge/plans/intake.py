@@ -126,6 +126,15 @@ def dedupe_keep(spark: SparkSession, d: str) -> DataFrame:
     return D.keep_choice(cut(D.duplicate_groups(s, D.exact_links(s))), s)
 
 
+def dedupe_scan_components(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by all five rules, similar titles among them."""
+    return D.duplicate_groups(table(spark, d, "sources"))
+
+
+def dedupe_scan_keep(spark: SparkSession, d: str) -> DataFrame:
+    return D.scan(table(spark, d, "sources"))[1]
+
+
 def dedupe_merge(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sources")
     groups = cut(D.duplicate_groups(s))
@@ -163,7 +172,7 @@ def claim_lines(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("doc_id").agg(F.count("*").alias("claims"), F.max(F.length("claim")).cast("bigint").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (input_classify, bibtex_records, ris_records, item_records, import_match, collection_links, candidate_merge, low_confidence, grounded_records, consistency, trace_summaries, trace_cascade, free_text_queries, dedupe_exact, dedupe_similar, dedupe_scored, dedupe_components, dedupe_keep, dedupe_merge, semantic_topk, similar_sources, claim_links_top3, claim_lines)}
+QUERIES = {f.__name__: f for f in (input_classify, bibtex_records, ris_records, item_records, import_match, collection_links, candidate_merge, low_confidence, grounded_records, consistency, trace_summaries, trace_cascade, free_text_queries, dedupe_exact, dedupe_similar, dedupe_scored, dedupe_components, dedupe_keep, dedupe_scan_components, dedupe_scan_keep, dedupe_merge, semantic_topk, similar_sources, claim_links_top3, claim_lines)}
 _RAW = Q.trim("raw_input")
 _KIND = f"(CASE WHEN regexp_matches({_RAW}, '@\\w+\\s*\\{{') AND contains(lower({_RAW}), 'title') THEN 'bibtex' WHEN regexp_matches({_RAW}, '(^|\\n)\\s*TY\\s*-') THEN 'ris' WHEN regexp_matches({_RAW}, '(?i)10\\.\\d{{4,9}}/[-._;()/:A-Z0-9]+') THEN 'doi' WHEN regexp_matches({Q.isbn(_RAW)}, '^(97[89])?\\d{{9}}[\\dXx]$') THEN 'isbn' WHEN regexp_matches({_RAW}, '^(?i:[a-z][a-z0-9+.-]*)://\\S+$') THEN 'url' ELSE 'text' END)"
 

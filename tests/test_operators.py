@@ -14,6 +14,7 @@ from folioforge.functions.similarity import ratio
 from folioforge.functions.text import norm_text
 from folioforge.operators import activity, dedupe, notes, reader, store, vectors
 from folioforge.operators.graphs import components
+from folioforge.plans import intake
 from folioforge.sources import archives, formats, library, pages, providers
 from folioforge.streaming.sessions import focus_by_window
 
@@ -86,6 +87,21 @@ def test_duplicate_groups_equal_nested_loop(spark):
     assert {r.id: r.group_id for r in dedupe.duplicate_groups(df).collect()} == want
 
 
+def test_registered_scan_groups_by_all_rules(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    rows = [
+        (1, "deep rivers of the north", ["Doe, J"], "1999", "10.1/a", "", "", day), (2, "another thing altogether", ["Roe, R"], "2001", "10.1/A", "", "", day),
+        (3, "deep rivers of the northh", ["Poe, E"], "1999", "", "", "", day), (4, "on quiet markets", ["Moe, M"], "", "", "", "", day), (5, "On Quiet Markets!", ["Moe, M"], "", "", "", "", day), (6, "on quiet markets", ["Loe, L"], "", "", "", "", day),
+    ]
+    df = spark.createDataFrame(rows, "id long, title string, authors array<string>, year string, doi string, isbn string, zotero_item_key string, created_at timestamp")
+    others = {"origin_provider", "publisher", "journal", "volume", "issue", "pages", "url", "notes", "raw_input", "body_text", "body_source", "type", "accessed_at"}
+    df.withColumns({c: F.lit("") for c in others}).write.parquet(str(tmp_path / "sources.parquet"))
+    found = {r.id: r.group_id for r in intake.QUERIES["dedupe_scan_components"](spark, str(tmp_path)).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    kept = {r.group_id: r["size"] for r in intake.QUERIES["dedupe_scan_keep"](spark, str(tmp_path)).collect()}
+    assert kept == {1: 3, 4: 2}
+
+
 def test_similar_titles_in_blocks_equal_nested_loop(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = ["what the harbours of nerereltor tell us", "on the map of bribegrucka and its dialects", "a wholly other thing"]
