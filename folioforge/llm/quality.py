@@ -91,7 +91,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
 
 def not_prose() -> F.Column:
-    """Combined rules: mostly lines without a language's frequent words, or hardly any in the whole; or one run of words throughout; or hardly a letter."""
+    """Combined rules: mostly lines without a language's frequent words, or hardly any in the whole; or one run of words throughout; or hardly a letter; or mostly paragraphs that repeat others."""
     few = F.col("words") < 4
     return (F.col("words") > 0) & (
         (~few & (F.col("prose_share") < 0.5))
@@ -100,6 +100,7 @@ def not_prose() -> F.Column:
         | (F.col("symbol_ratio") > 0.4)
         | (F.col("mean_word_len") > 25)
         | (~few & (F.col("dup_line_share") > 0.8) & (F.col("punct_line_share") < 0.5))
+        | (~few & (F.col("dup_para_share") > 0.5))
     )
 
 
@@ -113,7 +114,13 @@ def p10_stats(spark: SparkSession, directory: str) -> DataFrame:
     return stats.select("doc_id", "words", *(F.round(c, 6).alias(c) for c in ("mean_word_len", "symbol_ratio", "punct_line_share", "common_share")))
 
 
-QUERIES = {"p10_found": p10_found, "p10_stats": p10_stats}
+def p10_repetition(spark: SparkSession, directory: str) -> DataFrame:
+    """The statistics on repetition and prose, which p10_stats does not hold."""
+    stats = text_statistics(table(spark, directory, "documents"), table(spark, directory, "common_words"))
+    return stats.select("doc_id", *(F.round(c, 6).alias(c) for c in ("dup_line_share", "dup_para_share", "top_ngram_share", "prose_share")))
+
+
+QUERIES = {"p10_found": p10_found, "p10_stats": p10_stats, "p10_repetition": p10_repetition}
 SQL = {
     "p10_stats": r"""
 WITH d AS (

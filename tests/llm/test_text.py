@@ -194,3 +194,14 @@ def test_quality(spark):
     assert s[3].words == s[4].words == s[5].words == 0 and s[3].common_share is None and s[6].top_ngram_share == 1.0 and s[1].words == 17 and s[8].dup_line_share == 0
     assert quality.text_statistics(df.limit(0), common).count() == 0 and quality.text_statistics(df, common.limit(0)).count() == len(rows)
     assert json.dumps(s[1].asDict())
+
+
+def test_repeated_paragraphs_are_found(spark, tmp_path):
+    one = "The river was known to the people of the north and they gave it a name."
+    other = "It was in the spring of that year that the first boats came to the harbour with salt."
+    rows = [(1, f"{one}\n\n{other}"), (2, "\n\n".join([one, other] * 3)), (3, f"{one}\n\n{other}\n\n{one}"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("en", w, k) for k, w in enumerate("the was to of and they it a in that first with".split())], "lang string, word string, word_rank int").write.parquet(str(tmp_path / "common_words.parquet"))
+    assert [r.doc_id for r in quality.QUERIES["p10_found"](spark, str(tmp_path)).collect()] == [2]
+    got = {r.doc_id: tuple(r)[1:] for r in quality.QUERIES["p10_repetition"](spark, str(tmp_path)).collect()}
+    assert got[2][1] == round(1 - 2 / 6, 6) and got[3][1] == round(1 - 2 / 3, 6) and got[1][:2] == (0.0, 0.0) and got[4] == (None,) * 4
