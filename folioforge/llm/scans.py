@@ -251,7 +251,7 @@ def plausible(cost: float, word: str) -> bool:
 def candidates(words: DataFrame, vocab: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """word, candidate, cost, docs: all vocabulary words that plausibly were misread as word, found by trie and automaton.
 
-    The distance grows from 1 to edits until a plausible candidate is found in the shard.
+    Every shard is searched up to the full distance, so what is found depends neither on the shards nor on other candidates.
     """
     spark = words.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -264,12 +264,8 @@ def candidates(words: DataFrame, vocab: DataFrame, edits: int = MAX_EDITS) -> Da
         if len(known) and len(asked):
             trie, docs = build_trie(known["word"].tolist()), dict(zip(known["word"], known["docs"], strict=True))
             for word in asked["word"]:
-                for k in range(max(1, abs(len(word) - int(known["size"].iloc[0]))), min(edits, 2 if len(word) < 8 else edits) + 1):
-                    near = [(word, c, misread_cost(word, c), docs[c]) for c in intersect(trie, word, k)]
-                    near = [x for x in near if plausible(x[2], word)]
-                    if near:
-                        rows.extend(near)
-                        break
+                near = [(word, c, misread_cost(word, c), docs[c]) for c in intersect(trie, word, edits)]
+                rows.extend(x for x in near if plausible(x[2], word))
         return pd.DataFrame(rows, columns=["word", "candidate", "cost", "docs"])
 
     keys = ["salt", "size", "part"]

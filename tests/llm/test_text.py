@@ -205,3 +205,12 @@ def test_repeated_paragraphs_are_found(spark, tmp_path):
     assert [r.doc_id for r in quality.QUERIES["p10_found"](spark, str(tmp_path)).collect()] == [2]
     got = {r.doc_id: tuple(r)[1:] for r in quality.QUERIES["p10_repetition"](spark, str(tmp_path)).collect()}
     assert got[2][1] == round(1 - 2 / 6, 6) and got[3][1] == round(1 - 2 / 3, 6) and got[1][:2] == (0.0, 0.0) and got[4] == (None,) * 4
+
+
+def test_candidates_at_any_distance(spark, monkeypatch):
+    vocab = spark.createDataFrame([("met", 9), ("rnet", 3), ("mct", 4), ("unrelated", 5)], "word string, docs long")
+    asked = spark.createDataFrame([("rnct",)], "word string")
+    want = {(c, cost) for c, cost in (("met", 0.6), ("rnet", 0.3), ("mct", 0.3))}
+    for words in (50_000, 1):
+        monkeypatch.setattr(scans, "SHARD_WORDS", words)
+        assert {(r.candidate, round(r.cost, 1)) for r in scans.candidates(asked, vocab).collect()} == want
