@@ -1,31 +1,37 @@
-"""Near-duplicate records with small edits: vantage-point trees over Hamming fingerprints, sharded.
-
-Each record gets a 64-bit fingerprint of the letter trigrams of its title, weighted by the rarity of their words,
-and of the names of its authors. Fingerprints of unrelated records lie 32 bits apart give or take 4, so that balls
-of the radius needed (RADIUS) reach nearly every part of a tree over all records (measured: see README);
-therefore records are first sharded: by combinations of their rarest tokens (words of the title, of the names, the
-identifier), as many in one key as make it selective, by such combinations of the words of the title alone, and by the
-identifier alone. Every record lies in the shards of all its combinations,
-so shards overlap. In each shard a vantage-point tree is built and queried with the triangle bounds; pairs within
-the radius are exact. A shard beyond SHARD records is dealt into blocks, and each pair of blocks searched by
-itself. Pairs are then checked on the fields themselves and grouped by connected components.
-
-Scale: exact copies are one row throughout. Token counts are hashed into BUCKETS counters, so what reaches the
-driver and is broadcast is 8 MB at any size. Keys are shuffled once with 32 bytes a row; records are joined
-to candidate pairs by shuffle.
+"""Near-duplicate records with small edits: vantage-point trees over Hamming fingerprints.
+
+Each record has several views: its title whole, cut after each of a ladder of word counts (titles are cut off), and
+each of these less one word (words are lost, added or mangled); its identifier; a one-word title beside each name.
+The fingerprint of a view is 128 bits: 96 for the counts of its letters, each in a cyclic code in which counts that
+differ by one differ in one bit, and 32 parities of its pairs of letters. One letter added, lost or swapped moves the
+letters by RADIUS at most and the pairs by PAIRED, moved words move neither, and a word that differs more is left out by one
+of the views; views of different titles lie 19 bits apart give or take 4, so that balls of RADIUS reach few branches
+and the triangle bound prunes.
+
+All views of all records lie in one vantage-point tree. Its top levels are built from a sample (SAMPLE records, a
+documented bound) and end in shards; every view is routed to its shard, and copied to each shard before it whose
+boundary its ball overlaps, so that no close pair is lost between shards. In a shard the tree goes on to leaves of LEAF,
+and all its views search it at once. Pairs within the radii are exact; there is no other source of candidates. They
+are then checked on the fields themselves and grouped by connected components.
+
+Scale: records with equal fields are one row throughout. A view is 32 bytes in one shuffle, times the copies (about 1.2
+a level of shards); shards are sized by SHARD, and one that stays larger, as when a third of all records
+have one view, is dealt into blocks, of which each pair is searched by itself. What reaches the driver is the sample and
+the tokens that more than COMMON of the records hold, at most a few thousand at any size.
 
 Defined cases: null fields are missing evidence; a blank, generic or meaningless title alone never links; empty
 tables give empty results; repeated ids are one record (smallest of its values); extra columns are ignored; very long
-titles are read whole.
+titles are read whole, with views in proportion to their words.
 """
 
 from __future__ import annotations
 
 import difflib
-import itertools
+import functools
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -38,13 +44,15 @@ from folioforge.llm.residue import title_is_residue
 from folioforge.operators.graphs import components
 from folioforge.runtime import cut, table
 
-RADIUS = 24
-RAREST = 8
-SHARD = 4000
-LEAF = 24
-BUCKETS = 1 << 20
-EXPECTED = 3.0
+RADIUS, PAIRED = 1, 6
+LEAST = 16
+SHARD = 1_000_000
+LEAST_SHARDS = 8
+LEAF = 64
+SAMPLE = 4096
+COMMON = 0.001
 RARE_SHARE = 0.004
+BLOCK = 2000
 
 # Titles that many works share.
 GENERIC = frozenset("book review|book reviews|review|reviews|editorial|introduction|einleitung|preface|foreword|vorwort|conclusion|conclusions|correspondence|letters|letter|notes|notes and comments|comments|abstract|contents|index|appendix|obituary|news|announcements|acknowledgements|references|bibliography|avant propos|introducción|prólogo|reseña|compte rendu|rezension|nachruf|titelei|front matter|back matter|untitled".split("|"))
@@ -114,219 +122,327 @@ def prepare(title: str | None, authors: list[str] | None, year: str | None, doi:
     return ("" if residue else plain, marks, generic, name_tokens(authors), *normal_doi(doi), year_of(year))
 
 
-_PREPARED = pa.schema([("id", pa.int64()), ("plain", pa.string()), ("marks", pa.string()), ("generic", pa.bool_()), ("names", pa.list_(pa.string())), ("whole", pa.string()), ("tail", pa.string()), ("year", pa.int32())])
-_PREPARED_SQL = "id long, plain string, marks string, generic boolean, names array<string>, whole string, tail string, year int"
-_FIELDS = _PREPARED.names[1:]
+_PREPARED = pa.schema([("id", pa.int64()), ("plain", pa.string()), ("marks", pa.string()), ("generic", pa.bool_()), ("names", pa.list_(pa.string())), ("whole", pa.string()), ("tail", pa.string()), ("year", pa.int32()), ("same", pa.string())])
+_PREPARED_SQL = "id long, plain string, marks string, generic boolean, names array<string>, whole string, tail string, year int, same string"
+_FIELDS = _PREPARED.names[1:-1]
 
 
 def _prepare(batches):
     for batch in batches:
         rows = [(i, *prepare(*x)) for i, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows = [(*r, xxhash.xxh128_hexdigest(repr(r[1:]))) for r in rows]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_PREPARED), _PREPARED, strict=True)], schema=_PREPARED)
 
 
-def tokens_of(plain: str, names: list[str], tail: str) -> list[str]:
-    words = [w for w in plain.split() if len(w) >= 3 and w not in _STOP]
-    return list(dict.fromkeys([f"t{w}" for w in words] + [f"n{w}" for w in names] + ([f"d{tail}"] if tail else [])))
+def _tokens(plain: str, names: list[str]) -> list[str]:
+    return [*(f"t{w}" for w in set(plain.split()) if len(w) >= 3 and w not in _STOP), *(f"n{w}" for w in set(names))]
 
 
-def bucket(token: str) -> int:
-    return xxhash.xxh64_intdigest(token) & (BUCKETS - 1)
+def _count_tokens(batches):
+    for batch in batches:
+        found: Counter = Counter()
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.update(_tokens(*row))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
+
+
+def common_tokens(records: DataFrame, total: int) -> dict[str, float]:
+    """Share of the records that hold each token, of those that COMMON of them and more hold: as many as tokens a record / COMMON at most."""
+    counted = records.select("plain", "names").mapInArrow(_count_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return {r.token: r.n / total for r in counted.filter(F.col("n") >= COMMON * total).collect()}
+
+
+_LETTERS = 24
+_BUCKET = {c: k for k, c in enumerate("etaoinsrhldcumgpbfkvwyzj")} | {"q": 18, "x": 22}
+#: Cyclic code of counts: neighbours differ in one bit.
+_CYCLE = np.array([0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000], dtype=np.uint64)
+_PAIR_BITS = np.uint64(0xFFFFFFFF)
+_LETTER_BITS = np.uint64(0xFFFFFFFF00000000)
+
+
+@functools.lru_cache(1 << 16)
+def _word_code(word: str) -> tuple[bytes, int]:
+    """Letter counts (modulo 256) and parities of the letter pairs of a word."""
+    counts, pairs = [0] * _LETTERS, 0
+    for c in word:
+        k = _BUCKET.get(c)
+        counts[zlib.crc32(c.encode("utf-8", "replace")) % _LETTERS if k is None else k] += 1
+    padded = f"^{word}$"
+    for k in range(len(padded) - 1):
+        pairs ^= 1 << zlib.crc32(padded[k : k + 2].encode("utf-8", "replace")) % 32
+    return bytes(x & 255 for x in counts), pairs
+
+
+def _encode(counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the fingerprints of views, from their letter counts and pair parities."""
+    codes = _CYCLE[counts & 7]
+    low, high = np.zeros(len(counts), dtype=np.uint64), pairs.astype(np.uint64)
+    for k in range(16):
+        low |= codes[:, k] << np.uint64(4 * k)
+    for k in range(16, _LETTERS):
+        high |= codes[:, k] << np.uint64(4 * k - 32)
+    return low, high
+
+
+def ladder(n: int) -> list[int]:
+    """Word counts after which titles of n words are cut: n, and those of a ladder common to all titles that lie between half of n and n."""
+    steps, k, by = [], 2, 1
+    while k < n:
+        if 2 * (k + by - 1) >= n - 1:
+            steps.append(k)
+        k += by
+        if k >= 8 * by:
+            by *= 2
+    return [*steps, n]
+
+
+def content_words(plain: str) -> list[str]:
+    words = plain.split()
+    return [w for w in words if w not in _STOP and not w.isdigit()] or words
+
+
+def views(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Record, low and high of each view of titles of the given words."""
+    found: list[list[np.ndarray]] = [[], [], []]
+    by_size: dict[int, list[int]] = {}
+    for k, own in enumerate(words):
+        if own:
+            by_size.setdefault(len(own), []).append(k)
+
+    def put(at: np.ndarray, counts: np.ndarray, pairs: np.ndarray, keep: np.ndarray) -> None:
+        low, high = _encode(counts[keep], pairs[keep])
+        for box, values in zip(found, (at[keep], low, high), strict=True):
+            box.append(values)
+
+    for n, whose in by_size.items():
+        step = max(1, 300_000 // n)
+        for start in range(0, len(whose), step):
+            at = np.array(whose[start : start + step])
+            coded = [_word_code(w) for k in at for w in words[k]]
+            counts = np.frombuffer(b"".join(c for c, _ in coded), dtype=np.uint8).reshape(len(at), n, _LETTERS)
+            pairs = np.array([p for _, p in coded], dtype=np.uint32).reshape(len(at), n)
+            sizes = np.array([len(w) for k in at for w in words[k]], dtype=np.int32).reshape(len(at), n)
+            sums, parities, lengths = np.cumsum(counts, 1, dtype=np.uint8), np.bitwise_xor.accumulate(pairs, 1), np.cumsum(sizes, 1)
+            for k in ladder(n):
+                put(at, sums[:, k - 1], parities[:, k - 1], np.full(len(at), True) if k == n else lengths[:, k - 1] >= LEAST)
+                if k >= 4 or k == n == 3:
+                    less = (sums[:, k - 1, None] - counts[:, :k]).reshape(-1, _LETTERS)
+                    put(np.repeat(at, k), less, (parities[:, k - 1, None] ^ pairs[:, :k]).ravel(), ((lengths[:, k - 1, None] - sizes[:, :k]) >= LEAST).ravel())
+    return tuple(np.concatenate(box) if box else np.zeros(0, dtype=t) for box, t in zip(found, (np.int64, np.uint64, np.uint64), strict=True))  # type: ignore[return-value]
+
+
+def record_views(plain: list[str], generic: list[bool], names: list[list[str]], tails: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Record, low and high of each view: of titles that stand for themselves, of other titles beside a name, of identifiers."""
+    at, low, high = views([[] if g else content_words(p) for p, g in zip(plain, generic, strict=True)])
+    beside = [(k, n) for k, (p, g) in enumerate(zip(plain, generic, strict=True)) if g and p and p not in GENERIC for n in names[k]]
+    by_name, name_low, name_high = views([["".join(plain[k].split()) + n] for k, n in beside])
+    whose = np.array([k for k, t in enumerate(tails) if t], dtype=np.int64)
+    hashed = np.frombuffer(b"".join(xxhash.xxh128_digest(t) for t in tails if t), dtype=np.uint64).reshape(-1, 2)
+    return np.concatenate([at, np.array([k for k, _ in beside], dtype=np.int64)[by_name], whose]), np.concatenate([low, name_low, hashed[:, 0]]), np.concatenate([high, name_high, hashed[:, 1]])
+
+
+def distance(low: np.ndarray, high: np.ndarray, to_low: np.uint64, to_high: np.uint64) -> np.ndarray:
+    """Hamming distance of the letters."""
+    return np.bitwise_count(low ^ to_low) + np.bitwise_count((high ^ to_high) & _LETTER_BITS)
+
+
+def _vantage(low: np.ndarray, high: np.ndarray, tries: int) -> tuple[np.uint64, np.uint64, int] | None:
+    """The vantage point and radius that leave the least to compare, that is few points in reach of both sides; none if no point splits them."""
+    best = None
+    step = max(1, len(low) // 512)
+    some_low, some_high = low[::step], high[::step]
+    for j in range(tries):
+        k = (2 * j + 1) * len(low) // (2 * tries)
+        upto = np.cumsum(np.bincount(distance(some_low, some_high, low[k], high[k]), minlength=4 * _LETTERS + 2 * RADIUS + 1)) / len(some_low)
+        inner = upto[RADIUS : 4 * _LETTERS + RADIUS]
+        work = inner * upto[2 * RADIUS : 4 * _LETTERS + 2 * RADIUS] + (1 - inner) * (1 - upto[: 4 * _LETTERS]) + 9 * ((inner <= 0.1) | (inner >= 0.9))
+        at = int(work.argmin())
+        if 0 < inner[at] < 1 and (best is None or work[at] < best[0]):
+            best = (work[at], low[k], high[k], at + RADIUS)
+    return best and best[1:]
+
+
+def close_pairs(low: np.ndarray, high: np.ndarray, own: np.ndarray, agree) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within the radii of which one at least is the shard's own, once each.
+
+    The tree of the own points and the search by all points go down together: a branch takes along the points whose
+    ball reaches it. agree(a, b) tells which pairs further evidence admits.
+    """
+    first: list[np.ndarray] = []
+    second: list[np.ndarray] = []
+    every = np.arange(len(low))
+    todo = [(every[own], every)]
+    while todo:
+        points, asking = todo.pop()
+        if not len(points) or not len(asking):
+            continue
+        split = _vantage(low[points], high[points], 4 if len(points) > 512 else 1) if len(points) > LEAF else None
+        if split:
+            d = distance(low[points], high[points], split[0], split[1])
+            inner = d <= split[2]
+            if inner.any() and not inner.all():
+                reach = distance(low[asking], high[asking], split[0], split[1])
+                todo.append((points[inner], asking[reach <= split[2] + RADIUS]))
+                todo.append((points[~inner], asking[reach > split[2] - RADIUS]))
+                continue
+        step = max(1, 2_000_000 // len(points))
+        for start in range(0, len(asking), step):
+            q = asking[start : start + step]
+            near = np.flatnonzero(np.bitwise_count(low[q][:, None] ^ low[points]) <= RADIUS)  # the frequent letters tell most apart
+            a, b = q[near // len(points)], points[near % len(points)]
+            kept = ((a < b) | ~own[a]) & (distance(low[a], high[a], low[b], high[b]) <= RADIUS)
+            a, b = a[kept], b[kept]
+            kept = (np.bitwise_count((high[a] ^ high[b]) & _PAIR_BITS) <= PAIRED) & agree(a, b)
+            first.append(a[kept])
+            second.append(b[kept])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate(first) if first else none, np.concatenate(second) if second else none
+
+
+class TopTree:
+    """The top levels of the tree, built from a sample: routes views to shards, and copies across the boundaries they overlap."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, shards: int, blocks) -> None:
+        self.shards: list[int] = []  # blocks of each shard
+        self.root = self._grow(low, high, shards, len(low), blocks)
+
+    def _grow(self, low, high, shards: int, whole: int, blocks):
+        split = _vantage(low, high, 16) if shards > 1 and len(low) > 1 else None
+        inner = distance(low, high, split[0], split[1]) <= split[2] if split else None
+        if inner is None or inner.all() or not inner.any():
+            self.shards.append(blocks(len(low) / max(1, whole)))
+            return len(self.shards) - 1
+        return (*split, self._grow(low[inner], high[inner], -(-shards // 2), whole, blocks), self._grow(low[~inner], high[~inner], shards // 2, whole, blocks))
+
+    def route(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, shards, and whether the shard is the view's own."""
+        out: list[tuple[np.ndarray, int, bool]] = []
+        every = np.arange(len(low))
+        todo = [(self.root, every, every[:0])]
+        while todo:
+            node, mine, copied = todo.pop()
+            if isinstance(node, int):
+                out += [(mine, node, True), (copied, node, False)]
+                continue
+            to_low, to_high, middle, left, right = node
+            d, e = distance(low[mine], high[mine], to_low, to_high), distance(low[copied], high[copied], to_low, to_high)
+            across = mine[(d > middle) & (d <= middle + RADIUS)]
+            todo.append((left, mine[d <= middle], np.concatenate([copied[e <= middle + RADIUS], across])))
+            todo.append((right, mine[d > middle], copied[e > middle - RADIUS]))
+        return np.concatenate([x for x, _, _ in out]), np.concatenate([np.full(len(x), s, dtype=np.int32) for x, s, _ in out]), np.concatenate([np.full(len(x), o) for x, _, o in out])
 
 
-def fingerprint(plain: str, names: list[str], counts: np.ndarray, total: int) -> int:
-    """64-bit similarity hash of trigrams, weighted by the rarity of their words."""
-    grams: list[int] = []
-    weights: list[float] = []
-    for kind, parts, share in (("t", plain.split(), 1.0), ("n", names, 0.5)):
-        for w in parts:
-            if w in _STOP:
-                continue
-            padded = f"^{w}$"
-            n = len(padded) - 2
-            grams.extend(xxhash.xxh64_intdigest(padded[i : i + 3]) for i in range(n))
-            weights.extend([share * (0.5 + math.log(1 + total / (1 + counts[bucket(kind + w)])) / math.log(2 + total)) / n**0.5] * n)
-    if not grams:
-        return 0
-    bits = np.unpackbits(np.array(grams, dtype=np.uint64).view(np.uint8).reshape(-1, 8), axis=1)
-    heavy = np.array(weights)
-    return int.from_bytes(np.packbits(heavy @ bits > heavy.sum() / 2).tobytes(), "big", signed=True)
+def fact(marks: str, generic: bool, tail: str, year: int | None) -> int:
+    """Year, marks, whether generic and a hash of the identifier in one number; what pairs may be told apart by without their fields."""
+    return (year or 0) | (zlib.crc32(marks.encode()) & 4095) << 12 | int(generic) << 24 | ((xxhash.xxh32_intdigest(tail) | 1) << 25 if tail else 0)
 
 
-def _combinations(ranked: list[tuple[int, str]], total: int, least: int | None = None) -> list[tuple[tuple[int, str], ...]]:
-    """Pairs, widened by a further token while more than EXPECTED records would share them by chance.
+def may_agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False where no exact test on the fields can accept the pair: unless identifiers are equal, years lie apart or one is a part, reply or edition that the other is not."""
+    a, b = x & 4095, y & 4095
+    near = (abs(a - b) <= 1) | (a == 0) | (b == 0)
+    alike = (x >> 12 & 4095 == y >> 12 & 4095) | (x >> 24 & 1 == 1) | (y >> 24 & 1 == 1)
+    return near & alike | (x >> 25 == y >> 25) & (x >> 25 != 0)
 
-    Widened ones count as well if they end in the last token, or (least) if they have so many tokens at least.
-    """
-    found, wide = [], [((x,), k, float(total) * min(1.0, x[0] / max(1, total))) for k, x in enumerate(ranked)]
-    for size in (2, 3, 4):
-        wide_next = []
-        for combo, at, expected in wide:
-            for k in range(at + 1, len(ranked)):
-                longer, chance = (*combo, ranked[k]), expected * min(1.0, ranked[k][0] / max(1, total))
-                if chance <= EXPECTED or size == 4 or len(ranked) <= size:
-                    found.append(longer)
-                else:
-                    wide_next.append((longer, k, chance))
-                    if k == len(ranked) - 1 if least is None else size >= least:
-                        found.append(longer)
-        wide = wide_next
-    return found
-
-
-def shard_keys(tokens: list[str], counts: np.ndarray, total: int, generic: bool = False) -> list[int]:
-    """Keys of the combinations of the rarest tokens of all kinds, of the rarest words of the title alone, and the identifier.
-
-    The keys of the title do not depend on how many names a record has: two records that have four words in common, and
-    at most four others each, share one; shorter titles also if each has two words that the other lacks (all words, and
-    all but one or two, are keys however frequent they are). A generic title is no key by itself, as it never links alone.
-    """
-    ranked = sorted((int(counts[bucket(t)]), t) for t in tokens)
-    title = [x for x in ranked if x[1][0] == "t"]
-    found = _combinations(ranked[:RAREST], total)
-    if not generic:
-        found += _combinations(title[:RAREST], total, len(title) - 2)
-    found += [(x,) for x in ranked if x[1][0] == "d"]
-    return [xxhash.xxh64_intdigest("\x1f".join(sorted(t for _, t in combo))) - (1 << 63) for combo in dict.fromkeys(found)]
 
+_VIEW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("fact", pa.int64()), ("own", pa.bool_())])
+_VIEW_SQL = "key long, id long, low long, high long, fact long, own boolean"
 
-def _count_tokens(batches):
-    for batch in batches:
-        found: Counter = Counter()
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found.update(bucket(t) for t in tokens_of(*row))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["bucket", "n"])
 
+def _key(shard: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return shard.astype(np.int64) << 40 | one.astype(np.int64) << 20 | two
 
-def fact(tail: str, year: int | None) -> int:
-    """Year and a hash of the identifier in one number, 0 where there is none."""
-    return (year or 0) | (xxhash.xxh32_intdigest(tail) | 1) << 12 if tail else year or 0
 
+def _route(tree: TopTree):
+    """Rows a view and shard; in a shard of several blocks, a row for each pair of blocks with the view's own."""
 
-def may_agree(x: int, y: int) -> bool:
-    """No exact test on the fields can accept a pair whose years lie apart, unless the identifiers are equal."""
-    return abs((x & 4095) - (y & 4095)) <= 1 or not x & 4095 or not y & 4095 or (x >> 12 == y >> 12 != 0)
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            plain, marks, generic, names, tails, years = (batch.column(c).to_pylist() for c in ("plain", "marks", "generic", "names", "tail", "year"))
+            facts = np.array([fact(*x) for x in zip(marks, generic, tails, years, strict=True)], dtype=np.int64)
+            at, low, high = record_views(plain, generic, names, tails)
+            for start in range(0, max(1, len(at)), 200_000):
+                part = slice(start, start + 200_000)
+                view, shard, own = tree.route(low[part], high[part])
+                whose = at[part][view]
+                blocks = np.array(tree.shards, dtype=np.int64)[shard]
+                mine = _block(ids[whose], blocks)
+                again = np.repeat(np.arange(len(view)), blocks)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                key = _key(shard[again], np.minimum(mine[again], other), np.maximum(mine[again], other))
+                cells = (key, ids[whose][again], low[part][view][again].view(np.int64), high[part][view][again].view(np.int64), facts[whose][again], own[again])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _VIEW, strict=True)], schema=_VIEW)
+
+    return run
 
 
-def _shard(counts, total: int):
+def _block(ids: np.ndarray, blocks) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.asarray(blocks, dtype=np.uint64)).astype(np.int64)
+
+
+def _pairs(rows: pa.Table, blocks: int) -> pa.RecordBatch:
+    """a, b: the close pairs of one shard, or of one pair of its blocks."""
+    ids, low, high, facts = (rows.column(c).to_numpy() for c in ("id", "low", "high", "fact"))
+    key = rows.column("key")[0].as_py()
+    across = (key >> 20 & 0xFFFFF) != (key & 0xFFFFF)
+    own = rows.column("own").to_numpy()
+    side = _block(ids, blocks)
+
+    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        kept = (ids[a] != ids[b]) & may_agree(facts[a], facts[b])
+        return kept & (side[a] != side[b]) if across else kept
+
+    a, b = close_pairs(low.view(np.uint64), high.view(np.uint64), own, agree)
+    both = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
+
+
+def _search(shards: list[int]):
+    """Batches sorted by key: the pairs of each key; rows of a key may go on in the next batch."""
+
     def run(batches):
-        table_ = np.frombuffer(counts.value, dtype=np.int64)
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            return _pairs(pa.Table.from_batches(held), shards[held[0].column("key")[0].as_py() >> 40])
+
         for batch in batches:
-            keys: list[int] = []
-            ids: list[int] = []
-            prints: list[int] = []
-            facts: list[int] = []
-            for i, plain, names, tail, year in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = shard_keys(tokens_of(plain, names, tail), table_, total, plain in GENERIC)
-                if own:
-                    keys.extend(own)
-                    ids.extend([i] * len(own))
-                    prints.extend([fingerprint(plain, names, table_, total)] * len(own))
-                    facts.extend([fact(tail, year)] * len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, ids, prints, facts)], ["key", "id", "print", "fact"])
+            keys = batch.column("key").to_numpy()
+            ends = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for start, end in zip(ends, ends[1:], strict=False):
+                if end > start:
+                    if held and held[-1].column("key")[0].as_py() != keys[start]:
+                        yield flush()
+                        held = []
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield flush()
 
     return run
 
 
-class VantageTree:
-    """A vantage-point tree over 64-bit fingerprints; search() gives the positions within a radius."""
-
-    def __init__(self, prints: np.ndarray) -> None:
-        self.prints = prints.astype(np.int64).view(np.uint64)
-        self.root = self._build(np.arange(len(prints)))
-
-    def _build(self, at: np.ndarray):
-        if len(at) <= LEAF:
-            return at
-        distances = np.bitwise_count(self.prints[at] ^ self.prints[at[0]])
-        middle = int(np.median(distances))
-        inner = distances <= middle
-        if inner.all():
-            inner = distances < middle
-            if not inner.any():
-                return at  # all equally far: a leaf
-            middle -= 1
-        return (at[0], middle, self._build(at[inner]), self._build(at[~inner]))
-
-    def search(self, value: np.uint64, radius: int) -> np.ndarray:
-        found, todo = [], [self.root]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, np.ndarray):
-                found.append(node[np.bitwise_count(self.prints[node] ^ value) <= radius])
-                continue
-            point, middle, inner, outer = node
-            d = int(np.bitwise_count(self.prints[point] ^ value))
-            if d - radius <= middle:
-                todo.append(inner)
-            if d + radius > middle:
-                todo.append(outer)
-        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-
-
-def pairs_within(ids: list[int], prints: list[int], radius: int) -> list[tuple[int, int]]:
-    """All pairs of different ids within the radius, smaller id first."""
-    if len(ids) <= LEAF:
-        out = []
-        for k, a in enumerate(ids):
-            for m in range(k + 1, len(ids)):
-                b = ids[m]
-                if a != b and ((prints[k] ^ prints[m]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius:
-                    out.append((a, b) if a < b else (b, a))
-        return out
-    array = np.array(prints, dtype=np.int64)
-    tree, out = VantageTree(array), []
-    for k, value in enumerate(tree.prints):
-        out.extend((ids[k], ids[m]) for m in tree.search(value, radius).tolist() if ids[k] < ids[m])
-    return out
-
-
-def _search(batches):
-    """Batches sorted by key and side: the pairs of each shard; a shard may go on in the next batch."""
-    held: list = [None, [], [], [], []]
-
-    def flush(out: list) -> None:
-        key, ids, prints, facts, sides = held
-        if len(ids) < 2:
-            return
-        both = pairs_within(ids, prints, RADIUS)
-        if not both:
-            return
-        known = dict(zip(ids, facts, strict=True))
-        both = [p for p in both if may_agree(known[p[0]], known[p[1]])]
-        if sides[0] >= 0:  # a pair of blocks: only pairs across, or within when the blocks are one
-            side = dict(zip(ids, sides, strict=True))
-            both = [p for p in both if side[p[0]] != side[p[1]] or side[p[0]] == 2]
-        out.extend(both)
+def top_tree(records: DataFrame, total: int) -> TopTree:
+    """The top levels, from about SAMPLE records (the bound; those of lowest hash, none over 1,000 letters), sized by all."""
+    share = min(1.0, SAMPLE / max(1, total))
+    sample = records.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("plain") <= 1000)).select("plain", "generic", "names", "tail").limit(2 * SAMPLE).collect()
+    _, low, high = record_views(*([r[k] for r in sample] for k in range(4)))
+    rows = len(low) / share
+    whole = np.unique(np.stack([low, high], axis=1), axis=0)
+    tree = TopTree(whole[:, 0], whole[:, 1], max(LEAST_SHARDS, math.ceil(rows / SHARD)), lambda _: 1)
+    if len(low):
+        _, shard, own = tree.route(low, high)
+        loads = np.bincount(shard[own], minlength=len(tree.shards)) / len(low) * rows
+        tree.shards = [max(1, math.ceil(x / (2 * SHARD))) for x in loads]
+    return tree
 
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        for key, i, fp, told, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != held[0]:
-                flush(out)
-                held = [key, [], [], [], []]
-            held[1].append(i)
-            held[2].append(fp)
-            held[3].append(told)
-            held[4].append(side)
-        found = list(dict.fromkeys(out))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-    out = []
-    flush(out)
-    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-
-
-def candidate_pairs(records: DataFrame, counts, total: int) -> DataFrame:
-    """a, b: pairs of ids within RADIUS in some shard."""
-    keyed = cut(records.select("id", "plain", "names", "tail", "year").mapInArrow(_shard(counts, total), "key long, id long, print long, fact long"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    shared = cut(keyed.join(sizes, "key"))
-    plain = shared.filter(F.col("n") <= SHARD).select("key", "id", "print", "fact", F.lit(-1).alias("side"))
-    hot = shared.filter(F.col("n") > SHARD).withColumn("blocks", F.ceil(F.col("n") / F.lit(SHARD // 2)).cast("int"))
-    hot = hot.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    hot = hot.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "print", "fact", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = plain.unionByName(hot).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_search, "a long, b long").distinct()
+
+def candidate_pairs(records: DataFrame, total: int) -> DataFrame:
+    """a, b: pairs of ids that have a view within the radii."""
+    tree = top_tree(records, total)
+    tasks = sum(b * (b + 1) // 2 for b in tree.shards)
+    routed = records.select("id", "plain", "marks", "generic", "names", "tail", "year").mapInArrow(_route(tree), _VIEW_SQL)
+    return routed.repartition(4 * tasks, "key").sortWithinPartitions("key").mapInArrow(_search(tree.shards), "a long, b long").distinct()
 
 
 def _grams(plain: str) -> Counter:
@@ -393,16 +509,14 @@ def same_work(one: tuple, two: tuple, weight, rare=lambda word: False) -> bool:
     return agree >= (0.45 if alike else 0.75) or dice >= 0.95 and agree >= 0.3
 
 
-def _verify(counts, total: int):
-    def run(batches):
-        table_ = np.frombuffer(counts.value, dtype=np.int64)
+def _verify(common: dict[str, float]):
+    def weight(token: str) -> float:
+        return math.log(1 + 1 / common.get("n" + token, COMMON))
 
-        def weight(token: str) -> float:
-            return math.log(1 + total / (1 + table_[bucket("n" + token)]))
-
-        def rare(word: str) -> bool:
-            return table_[bucket("t" + word)] <= max(4, RARE_SHARE * total)
+    def rare(word: str) -> bool:
+        return common.get("t" + word, 0.0) <= RARE_SHARE
 
+    def run(batches):
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             one = zip(*(batch.column(f"{c}_a").to_pylist() for c in _FIELDS), strict=True)
@@ -415,29 +529,33 @@ def _verify(counts, total: int):
 
 def work_groups(sources: DataFrame) -> DataFrame:
     """id, group_id: the records of each work entered more than once; group_id is the smallest id."""
-    spark = sources.sparkSession
     fields = ["title", "authors", "year", "doi"]
-    keyed = sources.select(F.col("id").cast("long").alias("id"), *fields).filter("id is not null").withColumn("h", F.sha2(F.to_json(F.struct(*fields)), 256))
-    reps = cut(keyed.groupBy("h").agg(F.min(F.struct("id", *fields)).alias("r"), F.count("*").alias("n")).select("h", "r.*", "n"))
-    records = cut(reps.select("id", *fields).mapInArrow(_prepare, _PREPARED_SQL))
+    sent = sources.select(F.col("id").cast("long").alias("id"), *fields).filter("id is not null")
+    prepared = cut(sent.mapInArrow(_prepare, _PREPARED_SQL))
+    records = cut(prepared.groupBy("same").agg(F.min(F.struct("id", *_FIELDS)).alias("r"), F.countDistinct("id").alias("n")).select("same", "r.*", "n"))
     total = records.count()
-    found = records.select("plain", "names", "tail").mapInArrow(_count_tokens, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counters = np.zeros(BUCKETS, dtype=np.int64)
-    counters[found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    counts = spark.sparkContext.broadcast(counters.tobytes())
-    pairs = candidate_pairs(records, counts, total)
+    common = common_tokens(records, total)
     sides = [records.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _FIELDS]) for s in ("a", "b")]
-    edges = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(counts, total), "a long, b long")
-    copied = reps.filter("n > 1").join(records.filter("not generic or tail <> ''").select("id"), "id").select("h", F.col("id").alias("rep"))
-    copies = keyed.select("id", "h").join(copied, "h").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    edges = candidate_pairs(records, total).join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(common), "a long, b long")
+    alone = F.col("generic") & (F.col("tail") == "") & (F.col("plain").isin("", *GENERIC) | (F.size("names") == 0))
+    copied = records.filter((F.col("n") > 1) & ~alone).select("same", F.col("id").alias("rep"))
+    copies = prepared.select("id", "same").join(copied, "same").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     linked = components(edges.unionByName(copies))
     return linked.select(F.col("node").alias("id"), F.col("root").alias("group_id"))
 
 
+def pairs_in_groups(members: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
+    """first, second: all pairs of different values of each group, smaller first. Large groups are dealt into blocks, so that no task holds more than two of them."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(sizes.filter("blocks > 1"), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64(value), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = dealt.select(group, F.col(value).alias(first), F.col("mine").alias("x"), every.alias("y"))
+    two = dealt.select(group, F.col(value).alias(second), every.alias("x"), F.col("mine").alias("y"))
+    return one.join(two, [group, "x", "y"]).filter(F.col(first) < F.col(second)).select(first, second)
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    groups = cut(work_groups(table(spark, directory, "sources")))
-    other = groups.select(F.col("id").alias("id_b"), "group_id")
-    return groups.withColumnRenamed("id", "id_a").join(other, "group_id").filter("id_a < id_b").select("id_a", "id_b")
+    return pairs_in_groups(cut(work_groups(table(spark, directory, "sources"))), "group_id", "id", "id_a", "id_b")
 
 
 QUERIES = {"p3_found": p3_found}

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import itertools
+import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -17,14 +19,64 @@ def clashing(df):
     return df.withColumns({c: F.lit("x") for c in ("h", "r", "n", "a", "b", "key", "print", "group_id", "plain", "name", "pk", "root", "cluster", "field", "worth", "recency", "salt") if c not in df.columns})
 
 
-def test_tree_equals_brute_force():
-    rng = np.random.default_rng(3)
-    centres = rng.integers(-(2**63), 2**63 - 1, 12)
-    prints = [int(c) ^ sum(1 << int(b) for b in set(rng.integers(0, 63, rng.integers(0, 12)))) for c in centres for _ in range(40)] + [5] * 30
-    ids = list(range(len(prints)))
-    for radius in (0, 3, 10, 24):
-        want = {(a, b) for a, b in itertools.combinations(ids, 2) if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= radius}
-        assert set(records.pairs_within(ids, prints, radius)) == want
+def points(n=700):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdgkmnprstaeiou") for _ in range(rng.randint(4, 9)))
+    titles = [[word() for _ in range(rng.randint(3, 7))] for _ in range(n // 7)]
+    spelt = [[w[:1] + rng.choice("xyz") + w[1:] if rng.random() < 0.2 else w for w in rng.sample(t, len(t))] for t in titles for _ in range(6)] + [["quite", "the", "same"]] * 90
+    _, low, high = records.views(spelt)
+    return low, high
+
+
+def within(low, high, k, m):
+    letters = int(low[k] ^ low[m]).bit_count() + (int(high[k] ^ high[m]) >> 32).bit_count()
+    return letters <= records.RADIUS and (int(high[k] ^ high[m]) & 0xFFFFFFFF).bit_count() <= records.PAIRED
+
+
+def test_the_tree_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(records, "LEAF", 8)
+    low, high = (x[:2500] for x in points())
+    agree = lambda a, b: np.full(len(a), True)
+    a, b = records.close_pairs(low, high, np.full(len(low), True), agree)
+    got = list(zip(a.tolist(), b.tolist(), strict=True))
+    want = {(k, m) for k, m in itertools.combinations(range(len(low)), 2) if within(low, high, k, m)}
+    assert set(got) == want and len(got) == len(want) > 1000
+
+
+def test_shards_and_copies_across_boundaries_lose_no_pair():
+    low, high = (x[:2500] for x in points())
+    whole = np.full(len(low), True)
+    agree = lambda a, b: np.full(len(a), True)
+    want = {tuple(x) for x in np.stack(records.close_pairs(low, high, whole, agree), 1).tolist()}
+    tree = records.TopTree(low[::5], high[::5], 13, lambda _: 1)
+    at, shard, own = tree.route(low, high)
+    assert len(tree.shards) == 13 and sorted(at[own].tolist()) == list(range(len(low))) and len(at) < 4 * len(low)
+    got = set()
+    for s in range(13):
+        mine = at[shard == s]
+        a, b = records.close_pairs(low[mine], high[mine], own[shard == s], agree)
+        found = [tuple(sorted(x)) for x in zip(mine[a].tolist(), mine[b].tolist(), strict=True)]
+        assert not got & set(found)
+        got |= set(found)
+    assert got == want
+
+
+def test_small_edits_stay_within_the_radius():
+    close = lambda x, y: {(a, b) for _, a, b in zip(*records.views([x]), strict=True)} & {(a, b) for _, a, b in zip(*records.views([y]), strict=True)}
+    title = "harbour customs weaving ledgers kegekella archives".split()
+    assert close(title, title[::-1]) and close(title, title[:4]) and close(title, title[:2] + title[3:]) and close(title, [*title[:3], "ledgrse", *title[4:]])
+    assert not close(title, "petitions rivers grammars boundaries mivigrampic samples".split())
+    for other in ("waeving", "weavving", "weaing"):
+        at, low, high = records.views([title, [*title[:2], other, *title[3:]]])
+        assert any(at[k] != at[m] and within(low, high, k, m) and low[k] | high[k] for k, m in itertools.combinations(range(len(at)), 2))
+    assert len(records.views([["w%d" % k for k in range(3000)]])[0]) < 12_000 and not len(records.views([[]])[0])
+
+
+def test_ladder_is_common_to_titles_of_all_lengths():
+    assert records.ladder(5) == [2, 3, 4, 5] and records.ladder(1) == [1]
+    for n in range(3, 400):
+        for k in range(n // 2 + 1, n):
+            assert set(records.ladder(n)) & set(records.ladder(k))
 
 
 def works(rng, n):
@@ -61,12 +113,15 @@ def test_groups_of_edited_records(spark):
     assert records.work_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_a_hot_key_is_searched_in_blocks(spark, monkeypatch):
+def test_a_hot_shard_is_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(records, "SHARD", 20)
     rng = random.Random(5)
     base = works(rng, 1)[0]
     rows = [(i, *edit(rng, base)) for i in range(1, 61)] + [(100 + i, *base) for i in range(30)]
-    got = records.work_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    tree = records.top_tree(frame.select("id", "title", "authors", "year", "doi").mapInArrow(records._prepare, records._PREPARED_SQL), 90)
+    assert max(tree.shards) > 1
+    got = records.work_groups(frame).collect()
     assert len(got) == 90 and {r.group_id for r in got} == {1}
 
 
@@ -82,24 +137,31 @@ def hot_edits(rng):
     return rows + [(1000 + i, *w) for i, w in enumerate(works(rng, 160))]
 
 
-def test_a_hot_work_shares_keys_whatever_its_authors(spark):
-    rows = hot_edits(random.Random(8))
-    ready = {r[0]: records.prepare(*r[1:]) for r in rows}
-    tokens = {i: records.tokens_of(r[0], r[3], r[5]) for i, r in ready.items()}
-    counts = np.zeros(records.BUCKETS, dtype=np.int64)
-    for own in tokens.values():
-        for t in own:
-            counts[records.bucket(t)] += 1
-    keys = {i: set(records.shard_keys(own, counts, len(rows))) for i, own in tokens.items()}
-    assert all(keys[a] & keys[b] for a, b in itertools.combinations(range(1, 81), 2))
-    got = {r.id for r in records.work_groups(spark.createDataFrame(rows, SCHEMA)).filter("group_id = 1").collect()}
+def test_a_hot_work_is_one_group_whatever_its_authors(spark):
+    got = {r.id for r in records.work_groups(spark.createDataFrame(hot_edits(random.Random(8)), SCHEMA)).filter("group_id = 1").collect()}
     assert got == set(range(1, 81))
 
 
-def test_an_identifier_is_a_key_alone():
-    counts = np.full(records.BUCKETS, 5, dtype=np.int64)
-    a = records.shard_keys(["tharbour", "tledgers", "dx.000001", *(f"nname{k}" for k in range(9))], counts, 90)
-    assert set(a) & set(records.shard_keys(["tquite", "tother", "twords", "dx.000001"], counts, 90))
+def test_recall_against_all_pairs(spark):
+    """Of all pairs that the exact test on the fields accepts, those in one group: every pair of the records is tested."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/sources.parquet").select("id", "title", "authors", "year", "doi").collect() if os.path.exists("/root/testdata/sf0.001") else []
+    rng = random.Random(6)
+    rows += [(10_000 + k, *edit(rng, w)) for k, w in enumerate(w for w in works(rng, 60) for _ in range(3))]
+    frame = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    ready = {r[0]: records.prepare(*r[1:]) for r in rows}
+    common = {t: n / len(ready) for t, n in Counter(t for r in ready.values() for t in records._tokens(r[0], r[3])).items()}
+    weight, rare = (lambda x: np.log(1 + 1 / common.get("n" + x, records.COMMON))), (lambda x: common.get("t" + x, 0) <= records.RARE_SHARE)
+    want = [(a, b) for a, b in itertools.combinations(sorted(ready), 2) if records.same_work(ready[a], ready[b], weight, rare)]
+    group = {r.id: r.group_id for r in records.work_groups(frame).collect()}
+    found = sum(group.get(a, -1) == group.get(b, -2) for a, b in want)
+    assert len(want) > 150 and found >= 0.99 * len(want)
+
+
+def test_pairs_of_large_groups_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(records, "BLOCK", 7)
+    members = spark.createDataFrame([(i, 1) for i in range(50)] + [(i, 2) for i in range(100, 105)], "id long, g long")
+    got = [tuple(r) for r in records.pairs_in_groups(members, "g", "id", "a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == set(itertools.combinations(range(50), 2)) | set(itertools.combinations(range(100, 105), 2))
 
 
 def test_titles():
