@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.runtime import cut
+
 # Filler words of typesetters.
 FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 # Words that stand alone where a value was never filled in.
@@ -48,7 +50,7 @@ def shape(line: str) -> str:
 def line_key(line: Column) -> Column:
     """The same normal form for columns, hashed, with host names made alike."""
     plain = F.regexp_replace(F.lower(F.trim(line)), r"\d+", "#")
-    return F.xxhash64(F.regexp_replace(F.regexp_replace(plain, r"\b[a-z0-9-]+\.(test|example|com|org|net)\b", "@"), r"\s+", " "))
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(plain, r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", "@"), r"\s+", " "))
 
 
 def host_of(url: Column) -> Column:
@@ -102,9 +104,16 @@ def is_content(line: str) -> bool:
     return not evidence(bare)
 
 
-def recurrent_lines(sources: DataFrame, least: int = 3, least_overall: int = 5) -> DataFrame:
-    """host, key: lines that stand in several records of a host, counted over all texts; host '*' for lines recurring over all hosts."""
-    lines = sources.select(host_of(F.col("url")).alias("host"), F.explode(F.array_distinct(F.transform(F.split("body_text", "\n"), lambda x: line_key(x)))).alias("key"))
-    counted = lines.groupBy("host", "key").agg(F.count("*").alias("docs"))
-    everywhere = counted.groupBy("key").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_overall).select(F.lit("*").alias("host"), "key", "docs")
-    return counted.filter(F.col("docs") >= least).unionByName(everywhere)
+def recurrent_lines(sources: DataFrame, least: int = 3, share: float = 0.01, hosts: int = 3) -> DataFrame:
+    """host, key: lines that recur among the different texts of a host: in least of them, and that share of them; host '*' for lines that recur on so many hosts.
+
+    Sentences are counted once for all texts with the same sentences, so that copies of an article under other menus make none recur.
+    """
+    lines = F.split("body_text", "\n")
+    sentence = lambda x: x.rlike(r"[.!?…][\"”»)]?\s*$") & (F.size(F.split(F.trim(x), r"\s+")) >= 6)
+    texts = sources.select(host_of(F.col("url")).alias("host"), lines.alias("lines"), F.xxhash64("body_text").alias("body"), F.xxhash64(F.array_sort(F.array_distinct(F.filter(lines, sentence)))).alias("said"))
+    keyed = texts.select("host", "body", "said", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(line_key(x).alias("key"), sentence(x).alias("sentence"))))).alias("line"))
+    counted = cut(keyed.select("host", "line.key", F.when(F.col("line.sentence"), F.col("said")).otherwise(F.col("body")).alias("text")).distinct().groupBy("host", "key").agg(F.count("*").alias("docs")).filter(F.col("docs") >= 2))
+    whole = texts.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    own = counted.filter(F.col("docs") >= least).join(whole, "host").filter(F.col("docs") >= share * F.col("texts")).select("host", "key")
+    return own.unionByName(counted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= hosts).select(F.lit("*").alias("host"), "key"))

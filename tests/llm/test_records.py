@@ -237,12 +237,52 @@ def test_survivors_equal_brute_force(spark):
     assert survivors.survivors(g.limit(0), r).count() == 0
 
 
+POINTS = "group_id long, source_id long, recency long, total long, doi long, isbn long, notes long, zotero_item_key long"
+
+
+def made_points(n=300):
+    rng = random.Random(4)
+    out = []
+    for i in range(n):
+        worths = [rng.choice([None, 1]), rng.choice([None, 1]), rng.choice([None, 1, 2, 3]), rng.choice([None, 1])]
+        out.append((rng.randint(0, 5), i, rng.randint(0, 8), *worths))
+    return out
+
+
 def test_skyline_keeps_what_nothing_dominates(spark):
-    rng = np.random.default_rng(4)
-    pts = [(int(g), "f", int(w), int(r), int(i)) for i, (g, w, r) in enumerate(rng.integers(0, 6, (300, 3)))]
-    over = lambda p, q: p[0] == q[0] and p[2] >= q[2] and p[3] >= q[3] and p[4] <= q[4] and p != q
-    want = {p for p in pts if not any(over(q, p) for q in pts)}
-    assert {tuple(x) for x in survivors.skyline(spark.createDataFrame(pts, "group_id long, field string, worth long, recency long, source_id long"), 3).collect()} == want
+    for by_field in (True, False):
+        pts = [(*p[:3], sum((-1 if x is None else x) if by_field else x is not None for x in p[3:]), *p[3:]) for p in made_points()]
+        over = lambda p, q: p[0] == q[0] and p != q and all(x >= y for x, y in zip(survivors.criteria(p, by_field), survivors.criteria(q, by_field), strict=True))  # noqa: B023, E731
+        want = {p for p in pts if not any(over(q, p) for q in pts)}
+        assert {tuple(x) for x in survivors.skyline(spark.createDataFrame(pts, POINTS).repartition(5), by_field).collect()} == want and len(want) < 200
+
+
+def test_fields_are_filled_from_deeper_layers(spark):
+    """With one count as completeness, latest values may lie in lower layers; filled there, as by peeling layers one by one."""
+    pts = made_points()
+    fill = {"doi": "10.1234/a", "isbn": "978-0-306-40615-7", "zotero_item_key": "ABCD1234"}
+    value = lambda f, x: None if x is None else "n" * x if f == "notes" else fill[f]
+    rows = [(p[1], dt.datetime(2024, 1, 1) + dt.timedelta(p[2]), *[value(f, x) for f, x in zip(survivors.FIELDS, p[3:], strict=True)]) for p in pts]
+    records_ = spark.createDataFrame(rows, "id long, updated_at timestamp, doi string, isbn string, notes string, zotero_item_key string")
+    groups = spark.createDataFrame([(p[1], p[0]) for p in pts], "id long, group_id long")
+    want, deepest = {}, 0
+    for g in range(6):
+        left, depth = [p for p in pts if p[0] == g], 0
+        while left:
+            own = lambda p: (sum(x is not None for x in p[3:]), p[2], -p[1])
+            layer = [p for p in left if not any(q != p and all(x >= y for x, y in zip(own(q), own(p), strict=True)) for q in left)]
+            for k, f in enumerate(survivors.FIELDS):
+                usable = [p for p in layer if p[3 + k] is not None]
+                if (g, f) not in want and usable:
+                    want[g, f], deepest = max(usable, key=lambda p: (p[3 + k], p[2], -p[1]))[1], max(deepest, depth)  # noqa: B023
+            left, depth = [p for p in left if p not in layer], depth + 1
+    got = {(r.group_id, r.field): r.source_id for r in survivors.survivors(groups, records_, "count").collect()}
+    best = {(r.group_id, r.field): r.source_id for r in survivors.survivors(groups, records_).collect()}
+    assert got == want and best.keys() == got.keys()
+    few = spark.createDataFrame([(1, 1), (2, 1)], "id long, group_id long")  # the newer and fuller record lacks the identifier: it is filled from the second layer
+    two = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), "", "978-0-306-40615-7", "x", ""), (2, dt.datetime(2024, 1, 1), "10.1234/a", "", "", "")], records_.schema)
+    two = two.unionByName(spark.createDataFrame([(1, dt.datetime(2024, 1, 2), "", "978-0-306-40615-7", "x", "")], records_.schema))
+    assert {(r.field, r.source_id) for r in survivors.survivors(few.withColumn("id", 3 - F.col("id")), two.withColumn("id", 3 - F.col("id")), "count").collect()} == {("doi", 1), ("isbn", 2), ("notes", 2)}
 
 
 def test_a_familiar_form_may_be_a_name_of_its_own():

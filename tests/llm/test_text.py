@@ -91,6 +91,16 @@ def test_residue(spark):
     assert residue.residue(src(spark, [])).count() == 0
 
 
+def test_what_recurs_on_a_host_is_subtracted_whatever_it_says(spark):
+    """A sentence that stands on all pages of a host saves no error page; the same sentence on one page of another host does."""
+    sentence = "The Quillmere Press has published the records of the harbour and its readers since the year of 1871."
+    own = lambda k: f"Case {'abcdefgh'[k]} of the harbour was measured before the readers of the market could be examined."
+    pages = [{"id": 1 + k, "title": "A quiet title", "url": "https://a.test/x", "body_text": f"{sentence}\n{own(k)}"} for k in range(5)]
+    rows = [*pages, {"id": 20, "title": "A quiet title", "url": "https://a.test/y", "body_text": f"{sentence}\n404 Not Found"}, {"id": 21, "title": "A quiet title", "url": "https://b.test/y", "body_text": f"{own(6)}\n404 Not Found"}]
+    rows += [{"id": 30 + k, "title": "A quiet title", "url": "https://c.test/y", "body_text": f"{own(7)}\n404 Not Found"} for k in range(9)]  # copies of one text make nothing recur
+    assert {(r.source_id, r.part) for r in residue.residue(src(spark, rows)).collect()} == {(20, "body")}
+
+
 def page(i, rng):
     sentence = lambda: f"The {rng.choice(['harbour', 'reader', 'market'])} of case {rng.randint(1, 10**6)} was measured before the readers could be examined."
     lines, want = [], []
