@@ -1,23 +1,28 @@
 """Page boilerplate mixed with main content: a linear-chain conditional random field over the lines of a page.
 
-A body holds the text of the page's leaf blocks, one a line, without tags; text features, position, neighbours
-and recurrence over the corpus stand in for ancestor tags. The field is trained by gradient ascent on at most
-SAMPLE_PAGES pages (a documented bound; the pages of smallest hash, none over SAMPLE_LETTERS letters) whose lines are labelled by rules of a
-page's anatomy, and decodes every page by Viterbi.
+A body holds the text of the page's leaf blocks, one a line, without tags; what a line looks like, its words, its
+neighbours, position and recurrence over the corpus stand in for ancestor tags. The field is trained by gradient
+ascent on about SAMPLE_PAGES pages (a documented bound; those of smallest hash, none over SAMPLE_LETTERS letters)
+and decodes every page by Viterbi. The pages of the sample are labelled by distant evidence that is no feature of the
+field: sentences told from furnishing by cue words, agreement with the record's title, captions, and headings by where
+lines of one wording stand over the sample: within articles and never below their last sentence, as furniture does.
 
 Scale: one scan with a join of recurring lines; the weights are a few KB. Line recurrence is counted over all
-pages, pre-aggregated by hash of the line before its shuffle.
+different pages, pre-aggregated by hash of the line before its shuffle, and used as a share of the pages. Only the
+pages of the sample reach the driver.
 
-Defined cases: null, empty and blank bodies yield no rows; a body without main content yields none either; a
-repeated record yields its lines as often as it is repeated; a null title only removes that evidence; very long
-bodies are decoded whole; extra columns are ignored; on an empty table the field stays untrained and yields nothing.
+Defined cases: null, empty and blank bodies yield no rows; a body of which the field keeps no line of several words yields none
+either; a repeated record yields its lines as often as it is repeated; a null title only removes that evidence; very
+long bodies are decoded whole; extra columns are ignored; on an empty table the field stays untrained and yields nothing.
 """
 
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +36,20 @@ SAMPLE_PAGES, SAMPLE_LETTERS = 600, 50_000
 BUCKETS = 2048
 EPOCHS = 250
 RECURS = 4
+HEADING_TIMES = 30
 
-# Headings by which sample pages are labelled.
-HEADINGS = frozenset("introduction|abstract|background|methods|method|materials and methods|data|results|results and discussion|discussion|findings|conclusion|conclusions|sources|a note on sources|about the survey|home and archive|acknowledgements|notes|references|bibliography|appendix|summary|remarks|einleitung|methoden|ergebnisse|schluss|quellen|résumé|conclusion générale|méthodes|sources et méthodes|introducción|métodos|resultados|conclusiones|fuentes".split("|"))
-_NUMBERED = re.compile(r"^(?:\d+(?:\.\d+)*|[IVX]+|[A-Z])[.)]?\s+")
+_NUMBERED = re.compile(r"^(?:\d+(?:\.\d+)*[.)]?|(?:[IVX]+|[A-Z])[.)])\s+")
 _CAPTION = re.compile(r"^(?:figure|fig\.|table|abbildung|tabelle|tableau|figura|tabla|plate|map|chart)\s+[\dIVX]+\s*[.:]", re.IGNORECASE)
 _BULLET = re.compile(r"^\s*(?:[-–•*·‣]|\(?\d+[.)])\s+")
-_FLAGS = ["bias", "ended", "separated", "bullet", "caption", "numbered", "furnishing", "evidence", "title", "titled", "content", "upper", "at_sign", "digits", "url", "after_title", "in_prose", "next_content", "last_content", "gap_before", "gap_after", "recurs", "recurs_often", "first", "last"]
+_FLAGS = ["bias", "ended", "separated", "bullet", "numbered", "upper", "at_sign", "digits", "url", "gap_before", "gap_after", "ended_before", "ended_after", "below_first", "above_last", "recurs", "recurs_1000", "recurs_100", "lone", "lone_above", "lone_below", "shared_1", "shared_2", "shared_3", "shared_first"]
 _SIZES = [1, 2, 3, 4, 6, 9, 14, 25, 60]
-WIDTH = len(_FLAGS) + len(_SIZES) + 1 + BUCKETS
-PER_LINE = 26
+_PLACES = [0, 1, 2, 4, 8]
+_AT = {name: k for k, name in enumerate(_FLAGS)}
+_SIZE, _BEFORE, _AFTER = (len(_FLAGS) + k * (len(_SIZES) + 2) for k in range(3))
+_TOP, _END = (len(_FLAGS) + 3 * (len(_SIZES) + 2) + k * (len(_PLACES) + 1) for k in range(2))
+_HASHED = _END + len(_PLACES) + 1
+WIDTH = _HASHED + BUCKETS
+PER_LINE = 30
 
 
 def _words(line: str) -> list[str]:
@@ -70,58 +79,89 @@ def own_title(texts: list[str], title: str | None, prose: list[bool], recurs: li
     return next((k for k, x in enumerate(above) if not recurs[k] and len(x.split()) >= 5 and not re.search(r"[.!:;…]$", x) and not FURNISHING.search(x) and not _SEPARATED.search(x) and " / " not in x and not evidence(x)), None)
 
 
-def features(lines: list[str], title: str | None, recurs: dict[int, int]) -> tuple[list[int], np.ndarray, list[bool]]:
-    """Numbers of the non-blank lines, their feature indices (padded with WIDTH), and which of them are prose."""
+@functools.lru_cache(1 << 14)
+def _look(text: str) -> tuple[int, bool, list[int], list[int], frozenset[str]]:
+    """Of a line by itself: words, whether it ends as a sentence does, feature indices of its look and of its words, and its words as a set."""
+    n, tokens = len(text.split()), _words(text)
+    ended = bool(_ENDED.search(text))
+    on = [("ended", ended), ("separated", n > 2 and bool(_SEPARATED.search(text))), ("bullet", bool(_BULLET.match(text))), ("numbered", bool(_NUMBERED.match(text))), ("upper", text.isupper()), ("at_sign", "@" in text), ("digits", any(map(str.isdigit, text))), ("url", "://" in text)]
+    hashed = [_HASHED + zlib.crc32(w.encode()) % BUCKETS for w in dict.fromkeys([*tokens[:5], *tokens[-2:]])]
+    if n <= 4:
+        hashed.append(_HASHED + zlib.crc32(("=" + " ".join(tokens)).encode()) % BUCKETS)
+    return n, ended, [_AT[name] for name, f in on if f], hashed, frozenset(re.findall(r"\w+", text.casefold()))
+
+
+_BINS = [sum(n > s for s in _SIZES) for n in range(_SIZES[-1] + 2)]
+_PLACE = [sum(n > x for x in _PLACES) for n in range(_PLACES[-1] + 2)]
+
+
+def features(lines: list[str], title: str | None, recurs: dict[int, int], pages: int) -> tuple[list[int], np.ndarray, list[bool]]:
+    """Numbers of the non-blank lines, their feature indices (padded with WIDTH), and which of them are long sentences.
+
+    recurs gives the pages that hold a line, of all pages. Nothing of label() is a feature.
+    """
     at = [k for k, x in enumerate(lines) if x.strip()]
-    texts = [lines[k].strip() for k in at]
-    prose = [is_content(x) for x in texts]
-    mine = own_title(texts, title, prose, [recurs.get(k, 0) for k in at])
-    own = [k == mine for k in range(len(at))]
-    where = [k for k, p in enumerate(prose) if p]
-    first, last = (where[0], where[-1]) if where else (len(at), -1)
-    titled = next((k for k, o in enumerate(own) if o), len(at))
-    out = np.full((len(at), PER_LINE), WIDTH, dtype=np.int32)
-    for k, text in enumerate(texts):
-        words = text.split()
-        n = len(words)
-        on = {
-            "bias": True, "ended": bool(_ENDED.search(text)), "separated": bool(_SEPARATED.search(text)), "bullet": bool(_BULLET.match(text)), "caption": bool(_CAPTION.match(text)), "numbered": bool(_NUMBERED.match(text)),
-            "furnishing": bool(FURNISHING.search(text)), "evidence": not prose[k] and bool(evidence(text)), "title": own[k], "titled": n >= 5 and not own[k] and not _ENDED.search(text), "content": prose[k], "upper": text.isupper(), "at_sign": "@" in text,
-            "digits": any(c.isdigit() for c in text), "url": "://" in text, "after_title": k >= titled, "in_prose": first <= k <= last or first - 1 == k, "next_content": k + 1 < len(at) and prose[k + 1], "last_content": k > 0 and prose[k - 1],
-            "gap_before": k > 0 and at[k] - at[k - 1] > 1, "gap_after": k + 1 < len(at) and at[k + 1] - at[k] > 1, "recurs": recurs.get(at[k], 0) > 0, "recurs_often": recurs.get(at[k], 0) > 20, "first": k == 0, "last": k == len(at) - 1,
-        }
-        row = [i for i, f in enumerate(_FLAGS) if on[f]][:16]
-        row.append(len(_FLAGS) + sum(n > s for s in _SIZES))
-        base = len(_FLAGS) + len(_SIZES) + 1
-        tokens = _words(text)
-        row.extend(base + zlib.crc32(w.encode()) % BUCKETS for w in dict.fromkeys([*tokens[:5], *tokens[-2:]]))
-        if n <= 4:
-            row.append(base + zlib.crc32(("=" + " ".join(tokens)).encode()) % BUCKETS)
-        row = row[:PER_LINE]
-        out[k, : len(row)] = row
-    return at, out, prose
-
-
-def label(lines: list[str], title: str | None, recurs: dict[int, int]) -> list[int]:
-    """1 for each non-blank line of main content, by rules of a page's anatomy; for the pages of the sample only."""
-    out = []
+    looks = [_look(x) if len(x) < 80 else _look.__wrapped__(x) for x in (lines[k].strip() for k in at)]
+    count = len(at)
+    long_ = [x[0] >= 8 and x[1] for x in looks]
+    first = long_.index(True) if True in long_ else count
+    last = count - 1 - long_[::-1].index(True) if True in long_ else -1
+    bins = [_BINS[min(x[0], len(_BINS) - 1)] for x in looks]
+    titled = frozenset(re.findall(r"\w+", (title or "").casefold()))
+    edge = len(_SIZES) + 1
+    rows = []
+    shared_yet = False
+    for k, (n, ended, look, hashed, own) in enumerate(looks):
+        share = recurs.get(at[k], 0) / pages
+        row = [0, _SIZE + bins[k], _BEFORE + (bins[k - 1] if k else edge), _AFTER + (bins[k + 1] if k + 1 < count else edge), _TOP + _PLACE[min(k, len(_PLACE) - 1)], _END + _PLACE[min(count - 1 - k, len(_PLACE) - 1)], *look]
+        if k:
+            row += [_AT["gap_before"]] * (at[k] - at[k - 1] > 1) + [_AT["ended_before"]] * long_[k - 1]
+        if k + 1 < count:
+            row += [_AT["gap_after"]] * (at[k + 1] - at[k] > 1) + [_AT["ended_after"]] * long_[k + 1]
+        row += [_AT["below_first"]] * (k > first) + [_AT["above_last"]] * (k < last)
+        if share:
+            row += [_AT["recurs"]] + [_AT["recurs_1000"]] * (share > 0.001) + [_AT["recurs_100"]] * (share > 0.01)
+        else:
+            row += [_AT["lone"]] + [_AT["lone_above"]] * (k < first and n >= 4 and not ended) + [_AT["lone_below"]] * (k > last)
+        if titled and n > 2 and (both := len(own & titled) / max(len(own), len(titled))) >= 0.3:
+            row.append(_AT["shared_1" if both < 0.5 else "shared_2" if both < 0.75 else "shared_3"])
+            if both >= 0.5 and not shared_yet:
+                row.append(_AT["shared_first"])
+                shared_yet = True
+        row = (row[: PER_LINE - 8] + hashed)[:PER_LINE]
+        rows.append(row + [WIDTH] * (PER_LINE - len(row)))
+    return at, np.array(rows, dtype=np.int32).reshape(count, PER_LINE), long_
+
+
+def wording(line: str) -> str:
+    """A short line without its number, figures made alike; nothing for a longer one."""
+    bare = _NUMBERED.sub("", line.strip())
+    return re.sub(r"\d+", "#", bare.casefold()) if len(bare.split()) <= 6 else ""
+
+
+def headings(pages: list[list[str]]) -> frozenset[str]:
+    """Wordings of the sample's lines that are headings: that stand mostly between sentences of an article and never below the last."""
+    every, inside, below = Counter(), Counter(), Counter()
+    for lines in pages:
+        prose = [k for k, x in enumerate(lines) if is_content(x)]
+        if prose:
+            for k, x in enumerate(lines):
+                if x.strip() and (w := wording(x)):
+                    every[w] += 1
+                    inside[w] += prose[0] < k < prose[-1]
+                    below[w] += k > prose[-1]
+    return frozenset(w for w, n in every.items() if n >= HEADING_TIMES and not below[w] and inside[w] >= 0.5 * n)
+
+
+def label(lines: list[str], title: str | None, recurs: dict[int, int], known: frozenset[str]) -> list[int]:
+    """1 for each non-blank line of main content, for the pages of the sample only; known are the wordings of headings."""
     at = [k for k, x in enumerate(lines) if x.strip()]
     texts = [lines[k].strip() for k in at]
     prose = [is_content(x) for x in texts]
     mine = own_title(texts, title, prose, [recurs.get(k, 0) for k in at])
-    for k, text in enumerate(texts):
-        bare = _NUMBERED.sub("", text)
-        if prose[k]:
-            out.append(1)
-        elif k == mine:
-            out.append(1)
-        elif _CAPTION.match(text):
-            out.append(1)
-        elif bare.casefold() in HEADINGS and any(prose[k + 1 :]):
-            out.append(1)
-        else:
-            out.append(0)
-    return out
+    if not any(prose):
+        return [0] * len(at)
+    return [int(prose[k] or k == mine or bool(_CAPTION.match(x)) or wording(x) in known and any(prose[k + 1 :])) for k, x in enumerate(texts)]
 
 
 def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
@@ -185,25 +225,24 @@ def viterbi(score: np.ndarray, t: np.ndarray) -> list[int]:
 
 
 def pages_with_recurrence(sources: DataFrame) -> DataFrame:
-    """id, title, body_text, recurs: the pages, with the number of pages for each of their lines that recurs."""
+    """source_id, title, body_text, recurs: the pages, with the number of different pages for each of their lines that recurs."""
     pages = sources.filter(F.col("body_source").startswith("html") & (F.trim("body_text") != "")).select(F.col("id").cast("long").alias("source_id"), "title", "body_text")
-    lines = pages.select("source_id", F.posexplode(F.split("body_text", "\n")).alias("at", "line")).filter((F.length("line") < 160) & (F.trim("line") != "")).select("source_id", "at", line_key(F.col("line")).alias("key"))
-    often = cut(lines.groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") >= RECURS))
-    marked = join_small(lines, often, "key", "inner").groupBy("source_id").agg(F.map_from_entries(F.collect_set(F.struct("at", "docs"))).alias("recurs"))
+    keys = F.transform(F.split("body_text", "\n"), lambda x: F.when(F.trim(x) != "", line_key(x)))
+    lines = pages.select("source_id", F.xxhash64("body_text").alias("body"), F.posexplode(keys).alias("at", "key")).filter("key is not null")
+    often = cut(lines.select("key", "body").distinct().groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") >= RECURS))
+    marked = join_small(lines.select("source_id", "at", "key"), often, "key", "inner").groupBy("source_id").agg(F.map_from_entries(F.collect_set(F.struct("at", "docs"))).alias("recurs"))
     return pages.join(marked, "source_id", "left")
 
 
-def _decode(w: np.ndarray, t: np.ndarray):
+def _decode(w: np.ndarray, t: np.ndarray, pages: int):
     def run(batches):
         for batch in batches:
             ids: list[int] = []
             numbers: list[int] = []
             for i, title, text, recurs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, x, prose = features(text.split("\n"), title, dict(recurs or ()))
-                if not any(prose):
-                    continue
+                at, x, long_ = features(text.split("\n"), title, dict(recurs or ()), pages)
                 kept = viterbi(w[x].sum(1), t)
-                if not any(k and p for k, p in zip(kept, prose, strict=True)):
+                if not any(k and p for k, p in zip(kept, long_, strict=True)):
                     continue
                 drop = [a + 1 for a, k in zip(at, kept, strict=True) if not k]
                 numbers.extend(drop)
@@ -213,22 +252,28 @@ def _decode(w: np.ndarray, t: np.ndarray):
     return run
 
 
-def fit(pages: DataFrame, bound: int = SAMPLE_PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Train on at most bound pages, those of smallest hash."""
-    sample = pages.filter(F.length("body_text") <= SAMPLE_LETTERS).orderBy(F.xxhash64("source_id"), "source_id").limit(bound).select("title", "body_text", "recurs").collect()
+def examples(sample: list[tuple], pages: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of pages (title, text, recurs)."""
+    known = headings([text.split("\n") for _, text, _ in sample])
     found = []
     for title, text, recurs in sample:
-        lines = text.split("\n")
-        _, x, prose = features(lines, title, recurs or {})
-        if any(prose):
-            found.append((x, np.array(label(lines, title, recurs or {}))))
-    return train(found)
+        lines, often = text.split("\n"), dict(recurs or ())
+        found.append((features(lines, title, often, pages)[1], np.array(label(lines, title, often, known))))
+    return found
+
+
+def fit(pages: DataFrame, total: int, bound: int = SAMPLE_PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Train on about bound pages, at most twice as many: those of lowest hash."""
+    share = min(1.0, bound / max(1, total))
+    sample = pages.filter((F.length("body_text") <= SAMPLE_LETTERS) & (F.pmod(F.xxhash64("source_id"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("title", "body_text", "recurs").limit(2 * bound).collect()
+    return train(examples([tuple(r) for r in sample], total))
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     pages = cut(pages_with_recurrence(table(spark, directory, "sources")))
-    w, t = fit(pages)
-    return pages.mapInArrow(_decode(w, t), "source_id long, line_no int")
+    total = pages.count()
+    w, t = fit(pages, total)
+    return pages.mapInArrow(_decode(w, t, total), "source_id long, line_no int")
 
 
 QUERIES = {"p6_found": p6_found}

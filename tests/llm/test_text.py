@@ -119,12 +119,26 @@ def test_field_finds_furnishing_of_pages_it_was_not_trained_on(spark):
     made = [page(i, rng) for i in range(160)]
     df = src(spark, [p for p, _ in made] + [{"id": 900, "title": None, "body_text": None}, {"id": 901, "title": "t", "body_text": "Home\n404 Not Found\nLogin"}, {"id": 902, "title": "", "body_text": " "}])
     pages = boilerplate.pages_with_recurrence(df).cache()
-    w, t = boilerplate.fit(pages, 40)
-    got = {(r.source_id, r.line_no) for r in pages.mapInArrow(boilerplate._decode(w, t), "source_id long, line_no int").collect()}
+    w, t = boilerplate.fit(pages, 160, 40)
+    got = {(r.source_id, r.line_no) for r in pages.mapInArrow(boilerplate._decode(w, t, 160), "source_id long, line_no int").collect()}
     want = {x for _, k in made for x in k}
     assert len(got & want) / len(want) > 0.98 and len(got & want) / len(got) > 0.98 and not any(i >= 900 for i, _ in got)
 
 
+def test_headings_are_told_by_where_they_stand():
+    rng = random.Random(3)
+    pages = [(["Menu", PROSE.split("\n")[0], f"{k}. What came of it", PROSE.split("\n")[0], rng.choice(["More to read", PROSE.split("\n")[0]]), "More to read"]) for k in range(boilerplate.HEADING_TIMES)]
+    assert boilerplate.headings(pages) == {"what came of it"}
+    assert boilerplate.headings([]) == frozenset() == boilerplate.headings([["Menu"]] * 50)
+
+
+def test_no_label_is_a_feature():
+    """Lines that label() tells apart by cue words or captions alone look the same to the field but for their words."""
+    for a, b in (("Figure 2. Quiet readers, 1999", "Number 2. Quiet readers, 1999"), ("All rights reserved by the press of the harbour and its readers.", "Old rights observed by the press of the harbour and its readers.")):
+        one, two = (set(boilerplate.features([x], None, {}, 10)[1][0].tolist()) for x in (a, b))
+        assert {x for x in one ^ two if x < boilerplate._HASHED} == set()
+
+
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(0)
     for _ in range(30):
