@@ -3,11 +3,14 @@
 Words that stand in no trusted vocabulary are looked up by intersecting the Levenshtein automaton of the word
 with a trie of the vocabulary, so that every word within the distance is a candidate; candidates are ranked by
 the cost of the misreadings that explain them, then by how often they follow the word before (context) and by
-frequency. Then furniture is removed, broken words are joined and lines reflowed into paragraphs.
+frequency. Then furniture is removed, broken words are joined and lines reflowed into paragraphs. Running heads are the
+record's own title, journal and people, what recurs in a text, and the wordings that the scans themselves show to be heads.
 
 Scale: the vocabulary (words of at least MIN_DOCS trusted texts) is broadcast only when its counted rows are
-within the bound of join_small, else joined by shuffle. For the candidate search it is sharded by word length
-and, beyond SHARD_WORDS, by hash; words looked up go to every shard within the distance.
+within the bound of join_small, else joined by shuffle. For the candidate search up to SHARD_WORDS of it are broadcast,
+each task builds the tries of the lengths it needs, and the words looked up are dealt once; a larger vocabulary is
+sharded by length and hash, and words go to every shard within the distance. Pairs of words are counted only for those
+of which several candidates are as good.
 
 Defined cases: null, empty or blank texts yield no rows and keep their (null or blank) text; repeated records
 yield repeated work but distinct rows per id and line; a null title, journal or author list only removes that
@@ -36,8 +39,8 @@ MISREADINGS = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("9", "g"), ("8", "b"), ("†", "t"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"),
     ("c", "e"), ("e", "c"), ("f", "e"), ("á", "a"), ("í", "i"), ("l", "i"), ("i", "l"), ("|", "l"), ("!", "l"), ("d", "cl"), ("h", "li"), ("n", "ri"), ("w", "vv"), ("u", "ii"),
 ]
-# Headers used where a record has no journal.
-STAND_INS = ["working papers"]
+#: Wordings are running heads of their own if so many scans, and that share of all, hold them, and that share of these more than once.
+HEAD_DOCS, HEAD_SHARE, HEAD_TWICE = 5, 0.001, 0.2
 
 _ODD = re.compile(r"[^\W\d_][0-9†|]|[0-9†|][^\W\d_]|[ſﬀﬁﬂ†]")
 _BREAK = re.compile(r"([^\W\d_]+(?:[^\s\W]|[-†'\\])*)([-‐¬\xad])$")
@@ -77,10 +80,12 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
     """Positions of the lines that are only a running header, a running footer or a page number."""
     found, cores = set(), {}
     pairs = [(x, set(x.split())) for x in known if x]
-    for k, line in enumerate(lines):
-        bare = line.strip()
-        if not bare or len(bare) > 110:
-            continue
+    filled = [k for k, line in enumerate(lines) if line.strip()]
+    if not filled:
+        return found
+    width = sorted(len(lines[k]) for k in filled)[len(filled) // 2]
+    for k in filled:
+        bare = lines[k].strip()
         if bare[-1] not in ".,;:?!" and _BARE.match(bare) and any(c.isalnum() for c in bare) and (any(c.isdigit() for c in bare) or len(bare) < 12):
             found.add(k)
             continue
@@ -93,7 +98,7 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
         text = _fold(title)
         if not text:
             continue
-        if numbered and len(title.split()) <= 14:
+        if numbered and len(bare) <= 2 * width:
             found.add(k)
         elif (bare[-1] != "." or len(bare.split()) > 3 or re.search(r"\b[A-Z]\.$", bare)) and _resembles(text, text.split(), pairs):
             found.add(k)
@@ -102,8 +107,6 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
     for text, at in cores.items():  # what recurs under the same words
         if len(at) > 1 and len(text) > 3:
             found.update(at)
-    filled = [k for k, line in enumerate(lines) if line.strip()]
-    width = sorted(len(lines[k]) for k in filled)[len(filled) // 2]
     single = {k for at in cores.values() for k in at} - found
     for n, k in enumerate(filled):  # at the edge of a page, a line that ends early and not as a sentence does
         if k in single and lines[k].lstrip("\f")[0] not in " \t" and len(lines[k].strip()) < 0.8 * width and not re.search(r"[^\W\d_]{3}[.;,] ", lines[k]):
@@ -113,6 +116,19 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
     return found
 
 
+def running_heads(scans: DataFrame) -> list[str]:
+    """Wordings of short lines that stand more than once in a good share of the scans that hold them: heads no field of the record names.
+
+    HEAD_SHARE of all scans hold each, so that what reaches the driver is a few thousand wordings at most, at any size.
+    """
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col("line")), r"[^\p{L}\s]+", " "), r"\s+", " "))
+    lines = scans.select("id", F.explode(F.split("body_text", "\n")).alias("line")).filter(~F.col("line").rlike(r"[.,;:?!\-‐¬\u00ad]\s*$")).select("id", plain.alias("wording"))
+    lines = lines.filter((F.length("wording") > 3) & (F.size(F.split("wording", " ")) <= 6))
+    held = lines.groupBy("id", "wording").agg(F.count("*").alias("n")).groupBy("wording").agg(F.count("*").alias("docs"), F.sum((F.col("n") > 1).cast("int")).alias("twice"))
+    least = max(HEAD_DOCS, HEAD_SHARE * scans.count())
+    return sorted(r.wording for r in held.filter((F.col("docs") >= least) & (F.col("twice") >= HEAD_TWICE * F.col("docs"))).collect())
+
+
 def _title_words(*texts: str | None) -> set[str]:
     return {w for t in texts if t for w in re.findall(r"[^\W\d_]+", t.lower())}
 
@@ -125,11 +141,11 @@ def _tokens(line: str):
                 yield word
 
 
-def analyse(text: str, title: str | None, journal: str | None, authors: list[str] | None):
-    """Furniture lines, words by line, and line ends inside a word with the first piece of the next line of text."""
+def analyse(text: str, title: str | None, journal: str | None, authors: list[str] | None, heads: list[str] = ()):
+    """Furniture lines, words by line with the word before each, and line ends inside a word with the first piece of the next line of text and the word before."""
     lines = text.split("\n")
     people = [_fold(a) for a in authors or [] if a] + [_fold(" ".join(reversed(a.split(",", 1)))) for a in authors or [] if a and "," in a]
-    drop = furniture(lines, [_fold(x) for x in (title or "", journal or "")] + STAND_INS + people)
+    drop = furniture(lines, [_fold(x) for x in (title or "", journal or "", *heads)] + people)
     own = _title_words(title, journal, *(authors or []))
     body = [k for k, line in enumerate(lines) if line.strip() and k not in drop]
     words, breaks, cut_left, cut_right = [], [], set(), set()
@@ -142,7 +158,7 @@ def analyse(text: str, title: str | None, journal: str | None, authors: list[str
         left, right = lines[k].split()[-1][:-1].lstrip(_EDGES).lower(), nxt.rstrip(_EDGES).lower()
         left = re.split(r"’|(?<!\\)'", left)[-1]
         if left and right[:1].isalnum() or right[:1] in "†ſ":
-            breaks.append((k, m[2], left, right, body[at + 1]))
+            breaks.append((k, m[2], left, right, body[at + 1], next(reversed([*_tokens(" ".join(lines[k].split()[:-1]))]), "")))
             cut_left.add(k)
             cut_right.add(body[at + 1])
     for k in body:
@@ -153,21 +169,24 @@ def analyse(text: str, title: str | None, journal: str | None, authors: list[str
     return lines, drop, words, breaks
 
 
-_ROWS = "source_id long, line_no int, kind string, word string, compound string, lead string, rest string, next_no int"
-_ARROW = pa.schema([("source_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("word", pa.string()), ("compound", pa.string()), ("lead", pa.string()), ("rest", pa.string()), ("next_no", pa.int32())])
+_ROWS = "source_id long, line_no int, kind string, word string, compound string, lead string, rest string, next_no int, before string"
+_ARROW = pa.schema([("source_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("word", pa.string()), ("compound", pa.string()), ("lead", pa.string()), ("rest", pa.string()), ("next_no", pa.int32()), ("before", pa.string())])
 
 
-def _analyse_batches(batches):
-    for batch in batches:
-        out: list[tuple] = []
-        for i, text, title, journal, authors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not text or not text.strip():
-                continue
-            _, drop, words, breaks = analyse(text, title, journal, authors)
-            out.extend((i, k + 1, "running", None, None, None, None, None) for k in drop)
-            out.extend((i, k + 1, "word", w, p, None, None, None) for k, w, p in dict.fromkeys(words))
-            out.extend((i, k + 1, "break" if sign == "-" or sign == "‐" else "sign", left + right, f"{left}-{right}", left, right, nxt + 1) for k, sign, left, right, nxt in breaks)
-        yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*out, strict=True) if out else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
+def _analyse_batches(heads: list[str]):
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for i, text, title, journal, authors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not text or not text.strip():
+                    continue
+                _, drop, words, breaks = analyse(text, title, journal, authors, heads)
+                out.extend((i, k + 1, "running", None, None, None, None, None, None) for k in drop)
+                out.extend((i, k + 1, "word", w, None, None, None, None, p) for k, w, p in dict.fromkeys(words))
+                out.extend((i, k + 1, "break" if sign == "-" or sign == "‐" else "sign", left + right, f"{left}-{right}", left, right, nxt + 1, p) for k, sign, left, right, nxt, p in breaks)
+            yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*out, strict=True) if out else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
+
+    return run
 
 
 def vocabulary(texts: DataFrame, column: str = "body_text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -248,6 +267,36 @@ def plausible(cost: float, word: str) -> bool:
     return cost < 1.0 or bool(_ODD.search(word)) and cost <= 1.7
 
 
+_FOUND = pa.schema([("word", pa.string()), ("candidate", pa.string()), ("cost", pa.float64()), ("docs", pa.int64())])
+
+
+def _matches(word: str, tries, docs: dict[str, int], edits: int) -> list[tuple]:
+    near = [(word, c, misread_cost(word, c), docs[c]) for trie in tries if trie for c in intersect(trie, word, edits)]
+    return [x for x in near if plausible(x[2], word)]
+
+
+def _look_up(known, edits: int):
+    """Words against a broadcast vocabulary: a trie a length, built when the first word asks for it."""
+
+    def run(batches):
+        docs: dict[str, int] = known.value
+        by_length: dict[int, list[str]] = {}
+        for w in docs:
+            by_length.setdefault(len(w), []).append(w)
+        tries: dict[int, dict | None] = {}
+        for batch in batches:
+            rows: list[tuple] = []
+            for word in batch.column(0).to_pylist():
+                sizes = range(max(1, len(word) - edits), len(word) + edits + 1)
+                for n in sizes:
+                    if n not in tries:
+                        tries[n] = build_trie(by_length[n]) if n in by_length else None
+                rows.extend(_matches(word, [tries[n] for n in sizes], docs, edits))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _FOUND, strict=True)], schema=_FOUND)
+
+    return run
+
+
 def candidates(words: DataFrame, vocab: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """word, candidate, cost, docs: all vocabulary words that plausibly were misread as word, found by trie and automaton.
 
@@ -255,21 +304,25 @@ def candidates(words: DataFrame, vocab: DataFrame, edits: int = MAX_EDITS) -> Da
     """
     spark = words.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split = max(1, -(-vocab.count() // SHARD_WORDS))
-    left = vocab.select("word", "docs", F.length("word").alias("size"), F.pmod(F.xxhash64("word"), F.lit(split)).alias("part")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = words.select("word", F.pmod(F.xxhash64("word"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - edits), F.length("word") + edits)).alias("size")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long"))))
+    size = vocab.count()
+    sql = "word string, candidate string, cost double, docs long"
+    if size <= SHARD_WORDS:
+        known = spark.sparkContext.broadcast({r.word: r.docs for r in vocab.select("word", "docs").collect()})
+        return words.select("word").repartition(salts).mapInArrow(_look_up(known, edits), sql)
+    split = -(-size // SHARD_WORDS)
+    left = vocab.select("word", "docs", F.length("word").alias("size"), F.pmod(F.xxhash64("word"), F.lit(split)).alias("part"))
+    right = words.select("word", F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - edits), F.length("word") + edits)).alias("size")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long"))))
 
     def search(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
         if len(known) and len(asked):
             trie, docs = build_trie(known["word"].tolist()), dict(zip(known["word"], known["docs"], strict=True))
             for word in asked["word"]:
-                near = [(word, c, misread_cost(word, c), docs[c]) for c in intersect(trie, word, edits)]
-                rows.extend(x for x in near if plausible(x[2], word))
+                rows.extend(_matches(word, [trie], docs, edits))
         return pd.DataFrame(rows, columns=["word", "candidate", "cost", "docs"])
 
-    keys = ["salt", "size", "part"]
-    return left.repartition(salts, *keys).groupBy(*keys).cogroup(right.repartition(salts, *keys).groupBy(*keys)).applyInPandas(search, "word string, candidate string, cost double, docs long")
+    keys = ["size", "part"]
+    return left.repartition(max(salts, split), *keys).groupBy(*keys).cogroup(right.repartition(max(salts, split), *keys).groupBy(*keys)).applyInPandas(search, sql)
 
 
 def _scans(sources: DataFrame) -> DataFrame:
@@ -288,33 +341,49 @@ def study(sources: DataFrame) -> dict[str, DataFrame]:
     trusted = sources.filter(~F.col("body_source").startswith("pdf_ocr") & F.col("body_text").isNotNull())
     vocab = cut(vocabulary(trusted))
     sent = _scans(sources).select(F.col("id").cast("long"), "body_text", "title", "journal", "authors")
-    rows = cut(sent.mapInArrow(_analyse_batches, _ROWS))
+    rows = cut(sent.mapInArrow(_analyse_batches(running_heads(sent)), _ROWS))
 
-    words = rows.filter(F.col("kind") == "word").select("source_id", "line_no", "word", F.col("compound").alias("before"))
+    words = rows.filter(F.col("kind") == "word").select("source_id", "line_no", "word", "before")
     words = join_small(words, vocab.select("word"), "word", "left_anti")
     parts = words.select("source_id", "line_no", "word", "before", F.posexplode_outer(F.when(F.col("word").contains("-"), F.split("word", "-"))).alias("n", "part"))
     parts = _flag(parts, "part", vocab).groupBy("source_id", "line_no", "word", "before").agg(F.bool_and(F.col("part_known") & F.col("part").isNotNull()).alias("all_known"))
     unknown = parts.filter(~F.col("all_known")).select("source_id", "line_no", "word", "before")
 
-    ends = rows.filter(F.col("kind").isin("break", "sign")).select("source_id", "line_no", "kind", "word", "compound", "lead", "rest", "next_no")
+    ends = rows.filter(F.col("kind").isin("break", "sign")).select("source_id", "line_no", "kind", "word", "compound", "lead", "rest", "next_no", "before")
     for c in ("word", "compound", "lead", "rest"):
         ends = _flag(ends, c, vocab)
     own = (F.col("kind") == "break") & ~F.col("word_known") & (F.col("compound_known") | F.col("lead_known") & F.col("rest_known"))
     ends = cut(ends.withColumn("own", own))
     torn = ends.filter(~F.col("word_known") & ~F.col("own"))
-    wanted = cut(unknown.select("word").unionByName(torn.select("word")).unionByName(torn.filter(F.length("lead") >= 3).select(F.col("compound").alias("word"))).distinct())
-    found = cut(candidates(wanted, vocab))
-    best = found.groupBy("word").agg(F.min(F.struct("cost", (-F.col("docs")).alias("rare"), "candidate")).alias("best")).select("word", "best.candidate", "best.cost")
+    joined = torn.filter(F.length("lead") >= 3).select(F.col("compound").alias("word"), "before")
+    asked = cut(unknown.select("word", "before").unionByName(torn.select("word", "before")).unionByName(joined).distinct())
+    found = cut(candidates(asked.select("word").distinct(), vocab))
+    best = cut(in_context(asked, found, trusted))
 
-    torn = torn.join(best.select("word", F.col("candidate").alias("whole"), F.col("cost").alias("whole_cost")), "word", "left").join(best.select(F.col("word").alias("compound"), F.col("candidate").alias("joined"), F.col("cost").alias("joined_cost")), "compound", "left")
+    torn = torn.join(best.select("word", "before", F.col("candidate").alias("whole"), F.col("cost").alias("whole_cost")), ["word", "before"], "left").join(best.select(F.col("word").alias("compound"), "before", F.col("candidate").alias("joined"), F.col("cost").alias("joined_cost")), ["compound", "before"], "left")
     kept = F.col("joined").contains("-") & (F.coalesce("joined_cost", F.lit(9.0)) <= F.coalesce("whole_cost", F.lit(9.0))) & (F.col("kind") == "break")
     torn = torn.withColumn("kept", F.coalesce(kept, F.lit(False))).withColumn("truth", F.when(F.col("kept"), F.col("joined")).otherwise(F.col("whole")))
-    return {"trusted": trusted, "rows": rows, "unknown": unknown, "ends": ends, "torn": torn, "found": found, "best": best}
+    return {"rows": rows, "ends": ends, "torn": torn, "mended": unknown.join(best, ["word", "before"])}
+
+
+def in_context(asked: DataFrame, found: DataFrame, trusted: DataFrame) -> DataFrame:
+    """word, before, candidate, cost: of the candidates as good as the best by cost, the one that most often follows the word before in trusted texts, then the most frequent."""
+    least = found.groupBy("word").agg(F.min("cost").alias("least"))
+    close = found.join(least, "word").filter(F.col("cost") <= F.col("least") + 0.05).select("word", "candidate", "cost", "docs")
+    open_ = close.join(close.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word"), "word")
+    needed = cut(asked.filter("before <> ''").join(open_, "word").select("before", "candidate").distinct())
+    tokens = F.filter(F.split(F.lower("body_text"), r"[^\p{L}-]+"), lambda w: w != "")
+    texts = trusted.select(tokens.alias("t")).filter(F.size("t") > 1)
+    pairs = texts.select(F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("before"), F.slice("t", 2, F.size("t") - 1).alias("candidate"))).alias("p")).select("p.before", "p.candidate")
+    pairs = join_small(pairs, needed, ["before", "candidate"], "left_semi").groupBy("before", "candidate").agg(F.count("*").alias("pairs"))
+    ranked = asked.join(close, "word").join(pairs, ["before", "candidate"], "left")
+    pick = F.max(F.struct(F.coalesce("pairs", F.lit(0)).alias("pairs"), (-F.col("cost")).alias("minus"), "docs", "candidate"))
+    return ranked.groupBy("word", "before").agg(pick.alias("p")).select("word", "before", "p.candidate", (-F.col("p.minus")).alias("cost"))
 
 
 def damaged_lines(s: dict[str, DataFrame]) -> DataFrame:
     """source_id, line_no, kind of what was found out."""
-    hits = join_small(s["unknown"], s["best"].select("word"), "word", "left_semi").select("source_id", "line_no", F.lit("chars").alias("kind"))
+    hits = s["mended"].select("source_id", "line_no", F.lit("chars").alias("kind"))
     torn = s["torn"]
     in_lead = ~F.expr("startswith(truth, lead)")
     misread = torn.filter(F.col("truth").isNotNull()).select("source_id", F.when(in_lead, F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"), F.lit("chars").alias("kind"))
@@ -329,19 +398,6 @@ def diagnose(sources: DataFrame) -> DataFrame:
     return damaged_lines(study(sources))
 
 
-def ranked(s: dict[str, DataFrame]) -> DataFrame:
-    """source_id, line_no, word, candidate: of the candidates as good as the best by cost, the one that most often follows the word before, then the most frequent."""
-    found, least = s["found"], s["found"].groupBy("word").agg(F.min("cost").alias("least"))
-    close = cut(found.join(least, "word").filter(F.col("cost") <= F.col("least") + 0.05).select("word", "candidate", "docs"))
-    several = close.select("candidate").distinct()
-    tokens = F.filter(F.split(F.lower("body_text"), r"[^\p{L}-]+"), lambda w: w != "")
-    pairs = s["trusted"].select(F.explode(F.transform(tokens, lambda w, i: F.struct(F.get(tokens, i - 1).alias("before"), w.alias("candidate")))).alias("p")).select("p.*").filter("before is not null")
-    pairs = join_small(pairs, several, "candidate", "left_semi").groupBy("before", "candidate").agg(F.count("*").alias("pairs"))
-    both = s["unknown"].join(close, "word").join(pairs, ["before", "candidate"], "left")
-    pick = F.max(F.struct(F.coalesce("pairs", F.lit(0)).alias("pairs"), "docs", "candidate"))["candidate"]
-    return both.groupBy("source_id", "line_no", "word").agg(pick.alias("candidate"))
-
-
 def reflow(text: str, drop: set[int], joins: dict[int, bool], words: dict[tuple[int, str], str]) -> str:
     """Paragraphs of a scan: furniture out, words mended, torn words joined (with their hyphen if it is their own), lines run on."""
     out: list[str] = []
@@ -397,8 +453,9 @@ def repair(sources: DataFrame) -> DataFrame:
     joins = s["ends"].join(kept, ["source_id", "line_no"], "left").select("source_id", "line_no", (F.col("own") | F.coalesce("kept", F.lit(False))).alias("own"))
     halves = s["torn"].filter("truth is not null and not startswith(truth, lead) and length(truth) > length(rest)")
     lead = halves.select("source_id", "line_no", F.concat("lead", F.lit("-")).alias("word"), F.expr("concat(left(truth, length(truth) - length(rest)), '-')").alias("candidate"))
+    mended = s["mended"].groupBy("source_id", "line_no", "word").agg(F.max("candidate").alias("candidate"))
     texts = _scans(sources).select(F.col("id").cast("long").alias("source_id"), "body_text")
-    joined = texts.join(running, "source_id", "left").join(per(joins, "joins"), "source_id", "left").join(per(ranked(s).unionByName(lead), "words"), "source_id", "left")
+    joined = texts.join(running, "source_id", "left").join(per(joins, "joins"), "source_id", "left").join(per(mended.unionByName(lead), "words"), "source_id", "left")
     return joined.select("source_id", "body_text", "furniture", "joins", "words").mapInArrow(_reflow_batches, "source_id long, text string")
 
 
