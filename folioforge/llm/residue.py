@@ -43,19 +43,17 @@ def title_is_residue(title: str | None) -> bool:
 
 def body_lines(text: str | None) -> list[tuple[str, str]]:
     """The non-blank lines of a text that holds evidence, each with its kind: evidence, prose, furniture, or other; none of a text without evidence."""
-    found = []
-    for line in (text or "").split("\n"):
-        bare = line.strip()
-        if not bare:
-            continue
-        if evidence(bare):
-            kind = "evidence"
-        elif is_content(bare):
-            kind = "prose"
-        else:
-            kind = "other" if len(bare.split()) >= 5 and not _SEPARATED.search(bare) and not FURNISHING.search(bare) else "furniture"
-        found.append((kind, bare))
-    return found if any(kind == "evidence" for kind, _ in found) else []
+    lines = [bare for line in (text or "").split("\n") if (bare := line.strip())]
+    told = [bool(evidence(x)) for x in lines]
+    if not any(told):
+        return []
+
+    def kind(line: str) -> str:
+        if is_content(line):
+            return "prose"
+        return "other" if len(line.split()) >= 5 and not _SEPARATED.search(line) and not FURNISHING.search(line) else "furniture"
+
+    return [("evidence" if e else kind(x), x) for e, x in zip(told, lines, strict=True)]
 
 
 _SCHEMA = pa.schema([("source_id", pa.int64()), ("host", pa.string()), ("kind", pa.string()), ("line", pa.string())])

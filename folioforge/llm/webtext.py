@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,8 @@ def shape(line: str) -> str:
 def line_key(line: Column) -> Column:
     """The same normal form for columns, hashed, with host names made alike."""
     plain = F.regexp_replace(F.lower(F.trim(line)), r"\d+", "#")
-    return F.xxhash64(F.regexp_replace(F.regexp_replace(plain, r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", "@"), r"\s+", " "))
+    plain = F.when(plain.rlike(r"\.[a-z]{2}"), F.regexp_replace(plain, r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", "@")).otherwise(plain)
+    return F.xxhash64(F.regexp_replace(plain, r"\s+", " "))
 
 
 def host_of(url: Column) -> Column:
@@ -61,25 +64,39 @@ def is_filler(line: str) -> bool:
     words = re.findall(r"[^\W\d_]+", line.lower())
     if not words:
         return False
-    if len(words) >= 4 and sum(w in FILLER for w in words) >= 0.7 * len(words) and sum(w not in ("in", "do", "et", "est", "non", "sed", "id", "ut", "ex", "sit", "qui", "a") for w in words) >= 0.6 * len(words):
+    if len(words) >= 4 and sum(w in FILLER for w in words) >= 0.7 * len(words) and sum(w not in _COMMON for w in words) >= 0.6 * len(words):
         return True
     return all(w in STUBS or w == "object" for w in words) or len(words) >= 2 and set(words) <= STUBS | {"jkl", "asdf"}
 
 
+_POINTS = ".,;:!?()\"'“”‘’[]"
+_COMMON = frozenset(("in", "do", "et", "est", "non", "sed", "id", "ut", "ex", "sit", "qui", "a"))
+_FILLS = FILLER | STUBS | {"object", "jkl", "asdf"}
+_TELLING = _FILLS - _COMMON
+_MARKS = ("{", "<", "[", "%%", "@@", "__")
+#: Which beginnings of lines a notice or stand-in may go on from; most lines are told apart by these.
+_BEGINS = regex.compile(r"\W*(?:" + "|".join(NOTICES + STANDINS) + ")", regex.IGNORECASE)
+
+
+@functools.lru_cache(1 << 15)
+def _may_begin(start: str) -> bool:
+    return _BEGINS.match(start, partial=True) is not None
+
+
 def evidence(line: str) -> str:
     """notice, placeholder or filler if the line is nothing else; else nothing."""
     bare = line.strip()
-    form = shape(bare)
-    words = form.split()
+    words = bare.lower().split()
     if not words:
         return ""
-    if PLACEHOLDER.search(bare):
+    if any(m in bare for m in _MARKS) and PLACEHOLDER.search(bare):
         rest = _FRAME.sub(" ", PLACEHOLDER.sub(" ", bare))
         if len(re.findall(r"[^\W\d_]{2,}", rest)) <= 3:
             return "placeholder"
-    if is_filler(bare):
+    if (words[0].strip(_POINTS) in _FILLS or not words[0].isalpha() or not _TELLING.isdisjoint(words)) and is_filler(bare):
         return "filler"
-    if len(words) <= 30:
+    if len(words) <= 30 and _may_begin(shape(bare[:12])[:6]):
+        form = shape(bare)
         if _STANDIN.match(form):
             return "filler"
         if _NOTICE.match(form):
