@@ -79,7 +79,7 @@ def _flat_parse(text: str) -> object:
         else:
             opened, after = None, "next"
             if m := _STRING.match(text, pos) or _NUMBER.match(text, pos):
-                value = json.loads(m[0]) if c == '"' else float(m[0])
+                value = json.loads(m[0])
                 pos = m.end()
             else:
                 word = next((w for w in ("true", "false", "null") if text.startswith(w, pos)), None)
@@ -134,6 +134,29 @@ def walk(column: str, ordinal: int, value: object) -> Iterator[tuple[list[int],
         todo.extend(reversed(children))
 
 
+def leaves(column: str, ordinal: int, value: object) -> Iterator[tuple[list[int], int, str, int, str, str, str | None]]:
+    """Each value below value that is no object: label, length of the nearest object's label, path, length of its path, schema path, kind, text.
+
+    Texts that stand for what they encode are opened as by walk(). With the objects of walk() the leaves hold all of value.
+    """
+    todo = [(value, [ordinal], 0, column, 0, column)]
+    while todo:
+        at, label, above, path, above_path, schema = todo.pop()
+        while isinstance(at, str):
+            inner = parse_text(at) if len(at) > 1 else _INVALID
+            if inner is _INVALID:
+                break
+            at = inner
+        if isinstance(at, dict):
+            todo.extend(reversed([(v, [*label, i], len(label), f"{path}.{k}", len(path), f"{schema}.{k}") for i, (k, v) in enumerate(at.items())]))
+        elif isinstance(at, list) and at:
+            todo.extend(reversed([(v, [*label, i], above, f"{path}[{i}]", above_path, f"{schema}[]") for i, v in enumerate(at)]))
+        else:
+            kind = "array" if isinstance(at, list) else "null" if at is None else "boolean" if isinstance(at, bool) else "text" if isinstance(at, str) else "number"
+            yield label, above, path, above_path, schema, kind, at if kind == "text" else None if kind in ("array", "null") else json.dumps(at)
+
+
+_LEAVES = pa.schema([("record_id", pa.int64()), ("label", pa.list_(pa.int32())), ("parent_len", pa.int32()), ("path", pa.string()), ("parent_path_len", pa.int32()), ("schema_path", pa.string()), ("kind", pa.string()), ("value", pa.string())])
 _NODES = pa.schema([("record_id", pa.int64()), ("label", pa.list_(pa.int32())), ("parent_len", pa.int32()), ("path", pa.string()), ("parent_path_len", pa.int32()), ("schema_path", pa.string()), ("members", pa.map_(pa.string(), pa.string()))])
 
 
@@ -147,14 +170,24 @@ def _scalar(value: object) -> str | None:
 FLUSH = 4_000_000
 
 
-def _flatten(columns: list[str], structured: list[bool], members: bool):
+def _flatten(columns: list[str], structured: list[bool], members: bool, values: bool = False):
+    schema = _LEAVES if values else _NODES
+
     def batch_of(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cells, f.type) for cells, f in zip(out, _NODES, strict=True)], schema=_NODES)
+        return pa.RecordBatch.from_arrays([pa.array(cells, f.type) for cells, f in zip(out, schema, strict=True)], schema=schema)
+
+    def rows_of(record: int | None, column: str, ordinal: int, value: object) -> Iterator[tuple]:
+        if values:
+            for label, above, path, above_path, schema_path, kind, text in leaves(column, ordinal, value):
+                yield record, label, above, _clean(path), above_path, _clean(schema_path), kind, None if text is None else _clean(text)
+        else:
+            for label, above, path, above_path, schema_path, at in walk(column, ordinal, value):
+                yield record, label, above, _clean(path), above_path, _clean(schema_path), [(_clean(m), _scalar(v)) for m, v in at.items() if not isinstance(v, (dict, list))] if members else None
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out: list[list] = [[] for _ in _NODES]
+            out: list[list] = [[] for _ in schema]
             held = 0
             for k, column in enumerate(columns):
                 for record, text in zip(ids, batch.column(k + 1).to_pylist(), strict=True):
@@ -166,19 +199,33 @@ def _flatten(columns: list[str], structured: list[bool], members: bool):
                             value = json.loads(text)
                         except RecursionError:
                             value = _flat_parse(text)
-                    for label, above, path, above_path, schema, at in walk(column, k, value):
-                        row = (record, label, above, _clean(path), above_path, _clean(schema), [(_clean(m), _scalar(v)) for m, v in at.items() if not isinstance(v, (dict, list))] if members else None)
+                    for row in rows_of(record, column, k, value):
                         for cells, cell in zip(out, row, strict=True):
                             cells.append(cell)
-                        held += len(path) + len(label)
+                        held += len(row[3]) + len(row[1])
                         if held > FLUSH:
                             yield batch_of(out)
-                            out, held = [[] for _ in _NODES], 0
+                            out, held = [[] for _ in schema], 0
             yield batch_of(out)
 
     return run
 
 
+def _sent(df: DataFrame, key: str, columns: list[str], objects_only: bool) -> tuple[DataFrame, list[bool]]:
+    """Key and columns as JSON or text; with objects_only, of the texts only those that can hold an object leave the JVM."""
+    kinds = dict(zip(df.columns, (f.dataType for f in df.schema.fields), strict=True))
+    structured = [not isinstance(kinds[c], T.StringType) for c in columns]
+    picked = []
+    for c, nested in zip(columns, structured, strict=True):
+        text = F.to_json(F.col(c), {"ignoreNullFields": "false"}) if nested else F.col(c)
+        picked.append((F.when(text.rlike(r"\{|u007[bB]"), text) if objects_only else text).alias(c))
+    sent = df.select(F.col(key).cast("long").alias("record_id"), *picked).filter(F.coalesce(*[F.col(c) for c in columns]).isNotNull())
+    return sent, structured
+
+
+F_LABEL, F_PATH = "slice(label, 1, parent_len)", "substr(path, 1, parent_path_len)"
+
+
 def dewey_nodes(df: DataFrame, key: str, columns: list[str], members: bool = False) -> DataFrame:
     """One row per object below the columns: record_id, label, parent_label, path, parent_path, schema_path, members.
 
@@ -186,16 +233,28 @@ def dewey_nodes(df: DataFrame, key: str, columns: list[str], members: bool = Fal
     label and parent_label are Dewey labels (lists of ordinals); parents come from truncating label and path.
     members, if asked for, holds the scalar members as text.
     """
-    kinds = dict(zip(df.columns, (f.dataType for f in df.schema.fields), strict=True))
-    structured = [not isinstance(kinds[c], T.StringType) for c in columns]
-    picked = []
-    for c, nested in zip(columns, structured, strict=True):
-        text = F.to_json(F.col(c), {"ignoreNullFields": "false"}) if nested else F.col(c)
-        picked.append(F.when(text.rlike(r"\{|u007[bB]"), text).alias(c))
-    sent = df.select(F.col(key).cast("long").alias("record_id"), *picked).filter(F.coalesce(*[F.col(c) for c in columns]).isNotNull())
+    sent, structured = _sent(df, key, columns, True)
     schema = "record_id long, label array<int>, parent_len int, path string, parent_path_len int, schema_path string, members map<string,string>"
     nodes = sent.mapInArrow(_flatten(columns, structured, members), schema)
-    return nodes.select("record_id", "label", F.expr("slice(label, 1, parent_len)").alias("parent_label"), "path", F.expr("substr(path, 1, parent_path_len)").alias("parent_path"), "schema_path", "members")
+    return nodes.select("record_id", "label", F.expr(F_LABEL).alias("parent_label"), "path", F.expr(F_PATH).alias("parent_path"), "schema_path", "members")
+
+
+def dewey_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row per value below the columns that is no object, with the label of the object it belongs to: members, elements of arrays, plain texts, nulls and empty arrays.
+
+    record_id, label, parent_label, path, parent_path, schema_path, kind (text, number, boolean, null, array), value. A column
+    that is null gives no row.
+    """
+    sent, structured = _sent(df, key, columns, False)
+    schema = "record_id long, label array<int>, parent_len int, path string, parent_path_len int, schema_path string, kind string, value string"
+    found = sent.mapInArrow(_flatten(columns, structured, False, True), schema)
+    return found.select("record_id", "label", F.expr(F_LABEL).alias("parent_label"), "path", F.expr(F_PATH).alias("parent_path"), "schema_path", "kind", "value")
+
+
+def flat_table(nodes: DataFrame, schema_path: str, columns: list[str]) -> DataFrame:
+    """The flat table of a schema path, with a column for each of the scalar members named."""
+    own = nodes.filter(F.col("schema_path") == schema_path)
+    return own.select("record_id", "label", "parent_label", "path", "parent_path", *[F.col("members")[c].alias(c) for c in columns])
 
 
 def flat_tables(nodes: DataFrame, schema_paths: list[str]) -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioforge.operators.nested import _INVALID, _flat_parse, dewey_nodes, flat_tables, parse_text, walk
+from folioforge.operators.nested import _INVALID, _flat_parse, dewey_nodes, dewey_values, flat_table, flat_tables, leaves, parse_text, walk
 
 SCHEMA = "id long, trace array<struct<step:string,status:string,detail:string>>, raw string, claims array<string>"
 
@@ -81,6 +81,55 @@ def test_walk_equals_recursion_and_flat_parser_equals_json(value):
     assert _flat_parse("[" + text) is _INVALID
 
 
+def opened(value):
+    """value with every text that stands for what it encodes replaced by it."""
+    while isinstance(value, str) and len(value) > 1 and (inner := parse_text(value)) is not _INVALID:
+        value = inner
+    if isinstance(value, dict):
+        return {k: opened(v) for k, v in value.items()}
+    return [opened(v) for v in value] if isinstance(value, list) else value
+
+
+def rebuilt(objects, values):
+    """A column's value from the labels of its objects and values: (label, path) and (label, path, kind, text)."""
+    at = {}
+    for label, path in objects:
+        at[tuple(label)] = ({}, path)
+    for label, path, kind, text in values:
+        at[tuple(label)] = ([] if kind == "array" else None if kind == "null" else text if kind == "text" else json.loads(text), path)
+    for label in [k for k in at]:
+        for n in range(1, len(label)):
+            at.setdefault(label[:n], ([], None))
+    paths = {k: p for k, (_, p) in at.items()}
+    for label in sorted(at, key=lambda x: (-len(x), x)):
+        if paths[label] is None:  # an array: its path is that of an element without the position
+            inner = min(k for k in at if len(k) == len(label) + 1 and k[:-1] == label)
+            paths[label] = paths[inner][: paths[inner].rindex("[")]
+    for label in sorted(at):
+        if len(label) > 1:
+            above = at[label[:-1]][0]
+            above.append(at[label][0]) if isinstance(above, list) else above.__setitem__(paths[label][len(paths[label[:-1]]) + 1 :], at[label][0])
+    return at[min(at)][0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(json_values)
+def test_objects_and_values_hold_the_whole_record(value):
+    objects, values = [(x[0], x[2]) for x in walk("raw", 1, value)], [(x[0], x[2], x[5], x[6]) for x in leaves("raw", 1, value)]
+    assert rebuilt(objects, values) == opened(value)
+
+
+def test_values_of_arrays_and_plain_texts_are_kept(spark):
+    df = spark.createDataFrame([(1, [("s", None, '["a"]')], '{"t": ["a", "b"], "n": [1, null], "e": [], "o": {}}', ["plain", None]), (2, None, "text", None), (3, None, None, None)], SCHEMA).withColumns({"value": F.lit("x"), "kind": F.lit(9)})
+    got = {(r.record_id, r.path, tuple(r.parent_label), r.kind, r.value) for r in dewey_values(df, "id", ["trace", "raw", "claims"]).collect()}
+    want = {(1, "trace[0].step", (0, 0), "text", "s"), (1, "trace[0].status", (0, 0), "null", None), (1, "trace[0].detail[0]", (0, 0), "text", "a")}
+    want |= {(1, "raw.t[0]", (1,), "text", "a"), (1, "raw.t[1]", (1,), "text", "b"), (1, "raw.n[0]", (1,), "number", "1"), (1, "raw.n[1]", (1,), "null", None), (1, "raw.e", (1,), "array", None)}
+    want |= {(1, "claims[0]", (), "text", "plain"), (1, "claims[1]", (), "null", None), (2, "raw", (), "text", "text")}
+    assert got == want and dewey_values(df.limit(0), "id", ["raw"]).count() == 0
+    steps = flat_table(dewey_nodes(df, "id", ["trace"], members=True), "trace[]", ["step", "detail"]).collect()
+    assert [(r.record_id, r.path, r.step, r.detail) for r in steps] == [(1, "trace[0]", "s", '["a"]')]
+
+
 def test_what_is_no_json():
     for text in ("NaN", "{a: 1}", "[1,]", '{"a":1} x', "12", "null", "[NaN]", "", '"open', "[Infinity]"):
         assert parse_text(text) is _INVALID
