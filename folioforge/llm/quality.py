@@ -17,6 +17,7 @@ repeated rows; extra columns are ignored; texts of any length are read whole.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ _SPACE = " \t\n\r\x0b\x0c"
 _SYMBOL = regex.compile(r"[^\p{L}\p{N} \t\n\r\x0b\x0c]")
 _STRIP = regex.compile(r"^[^\p{L}]+|[^\p{L}]+$")
 _ENDS = tuple(".!?…:;\"”»)")
-_WORD_SPACE = regex.compile(r"[ \t\n\r\x0b\x0c]+")
+_PARAGRAPH = regex.compile(r"\n[ \t\r]*\n")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), *((c, pa.float64()) for c in ("mean_word_len", "symbol_ratio", "punct_line_share", "common_share", "dup_line_share", "dup_para_share", "top_ngram_share", "prose_share"))])
 SCHEMA = "doc_id long, words long, mean_word_len double, symbol_ratio double, punct_line_share double, common_share double, dup_line_share double, dup_para_share double, top_ngram_share double, prose_share double"
 
@@ -42,43 +43,73 @@ def _repeated(parts: list[str]) -> float:
 def _top_ngram(words: list[str]) -> float:
     """Share of the words' signs under the most frequent run of 1 to 4 words, of those that come three times and more."""
     total = sum(map(len, words))
-    best = 0
-    for n in range(1, 5):
-        runs = Counter(zip(*(words[k:] for k in range(n)), strict=False))
-        if not runs:
+    runs = Counter(words)
+    best = max((times * len(w) for w, times in runs.items() if times >= 3), default=0)
+    for n in range(2, 5):  # a longer run comes no more often than its parts
+        longer = Counter(zip(words, words[1:], strict=False)) if n == 2 else Counter(tuple(words[k : k + n]) for k in starts if k + n <= len(words))
+        again = {run for run, times in longer.items() if times >= 3}
+        if not again:
             break
-        often = [(run, times) for run, times in runs.items() if times >= 3]
-        if not often:
-            break  # a longer run comes no more often than its parts
-        best = max(best, min(total, max(times * sum(map(len, run)) for run, times in often)))
-    return best / total
+        best = max(best, *(longer[run] * sum(map(len, run)) for run in again))
+        firsts = {run[0] for run in again}
+        starts = [k for k, w in enumerate(words) if w in firsts and tuple(words[k : k + n]) in again]
+    return min(total, best) / total
 
 
-def statistics(text: str | None, common: list[frozenset[str]]) -> tuple:
-    words = [w for w in _WORD_SPACE.split(text or "") if w]
+@functools.lru_cache(1 << 15)
+def _is_symbol(sign: str) -> bool:
+    return bool(_SYMBOL.match(sign))
+
+
+def known_words(common: list[frozenset[str]]):
+    """A function from a word as typed to a bit for each list that holds it stripped of signs, and a bit above these if it holds a figure."""
+    bits: dict[str, int] = {}
+    for k, words in enumerate(common):
+        for w in words:
+            bits[w] = bits.get(w, 0) | 1 << k
+    figure = 1 << len(common)
+
+    @functools.lru_cache(1 << 16)
+    def look(word: str) -> int:
+        bare = word if word.isalpha() else _STRIP.sub("", word)
+        return bits.get(bare.lower(), 0) | (figure if any(map(str.isdigit, word)) else 0)
+
+    return look
+
+
+def statistics(text: str | None, common: list[frozenset[str]], look=None) -> tuple:
+    spaced = functools.reduce(lambda t, c: t.replace(c, " "), _SPACE.replace(" ", "").replace("\n", ""), text or "")
+    by_line = [[w for w in line.split(" ") if w] for line in spaced.split("\n")]
+    words = [w for own in by_line for w in own]
     if not words:
         return (0, *[None] * 8)
-    bare = [_STRIP.sub("", w).lower() for w in words]
-    every = frozenset().union(*common)
+    look = look or known_words(common)
+    figure = 1 << len(common)
     lines = [x.strip(_SPACE) for x in text.split("\n")]
     lines = [x for x in lines if x]
-    paragraphs = [p for p in (x.strip(_SPACE) for x in regex.split(r"\n[ \t\r]*\n", text)) if p]
+    paragraphs = [p for p in (x.strip(_SPACE) for x in _PARAGRAPH.split(text)) if p] if "\n" in text else [text]
+    times: Counter = Counter()
     signs = prose = 0
-    for line in lines:
-        own = _WORD_SPACE.split(line)
-        hits = sum(_STRIP.sub("", w).lower() in every for w in own)
+    for line, own_words in zip(lines, filter(None, by_line), strict=True):
+        own = Counter(map(look, own_words))
+        for k, v in own.items():
+            times[k] += v
+        n = len(own_words)
+        hits = n - own[0] - own[figure]
         signs += len(line)
-        figures = sum(any(c.isdigit() for c in w) for w in own)
-        if len(own) >= 3 and hits >= 0.15 * len(own) and figures < 0.4 * len(own):
+        if n >= 3 and hits >= 0.15 * n and sum(v for k, v in own.items() if k & figure) < 0.4 * n:
             prose += len(line)
-    return (len(words), sum(map(len, words)) / len(words), len(_SYMBOL.findall(text)) / len(text), sum(x.endswith(_ENDS) for x in lines) / len(lines), max((sum(w in c for w in bare) for c in common), default=0) / len(words), _repeated(lines), _repeated(paragraphs), _top_ngram([w.lower() for w in words]), prose / signs)
+    shares = [sum(v for k, v in times.items() if k >> lang & 1) for lang in range(len(common))]
+    symbols = sum(n for sign, n in Counter(text).items() if _is_symbol(sign))
+    return (len(words), sum(map(len, words)) / len(words), symbols / len(text), sum(x.endswith(_ENDS) for x in lines) / len(lines), max(shares, default=0) / len(words), _repeated(lines), _repeated(paragraphs), _top_ngram([w.lower() for w in words]), prose / signs)
 
 
 def _measure(common: list[list[str]]):
     def run(batches):
         sets = [frozenset(c) for c in common]
+        look = known_words(sets)
         for batch in batches:
-            rows = [(i, *statistics(t, sets)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(i, *statistics(t, sets, look)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_SCHEMA), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return run

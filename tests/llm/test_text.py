@@ -168,6 +168,29 @@ def test_streamed_tokens_equal_the_whole(monkeypatch):
         assert machine.encode(text) == whole(text)
 
 
+def test_long_pieces_are_read_in_windows(monkeypatch):
+    machine = tokenize.Transducer(RANKS)
+    whole = machine.encoding.encode_ordinary
+    monkeypatch.setattr(tokenize, "CHUNK", 256)
+    monkeypatch.setattr(tokenize, "LONG_PIECE", 64)
+    rng = random.Random(12)
+    run = lambda: rng.choice(["你好世界", "aeinrst", "!?='-*", "0123456789", " ", "\n", "é", "'s", "🙂", " \n\t"])
+    for _ in range(60):
+        text = "".join("".join(rng.choice(signs) for _ in range(rng.choice([1, 2, 5, 700, 3000]))) for signs in (run() for _ in range(rng.randint(1, 9))))
+        assert machine.encode(text) == whole(text)
+        assert not machine.tail and not machine.head and machine.run is None
+
+
+def test_memory_is_bounded_in_texts_without_a_blank():
+    machine, rng, most, count = tokenize.Transducer(RANKS), random.Random(1), 0, 0
+    block = "".join(rng.choice("的一是不了人我在有他这为之大来以个中上们") for _ in range(tokenize.CHUNK))
+    for k in range(60):  # 12 MB
+        count += len(machine.feed(block[k:] + block[:k]))
+        most = max(most, len(machine.tail) * 4 + len(machine.head))
+    count += len(machine.finish())
+    assert most < 8 * tokenize.CHUNK and count > tokenize.CHUNK
+
+
 def test_tokens_of_rows(spark):
     df = clashing(spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, " \n"), (1, "Hello world"), (5, "<|endoftext|>")], "doc_id long, text string").withColumn("ids", F.lit(1)))
     got = sorted((r.doc_id, r.ids) for r in tokenize.encode(df).collect())
