@@ -92,15 +92,12 @@ class Transducer:
 
     def _split(self) -> list[int]:
         """Pieces that no continuation changes; the last, if long, is opened and read on in windows."""
-        starts = [m.start() for m in _PIECES.finditer(self.tail)]
-        last = starts[-1]
-        if len(self.tail) - last <= CHUNK // 2:
-            cut = starts[max(0, len(starts) - 3)]
-            out = self.encoding.encode_ordinary(self.tail[:cut])
-            self.tail = self.tail[cut:]
+        pieces = _PIECES.findall(self.tail)
+        ready, opened = (pieces[:-1], pieces[-1]) if len(pieces[-1]) > CHUNK // 2 else (pieces[:-3], "")
+        out = [i for piece in ready for i in self._merge(piece.encode())]  # piece by piece: split anew, blanks at the end would join
+        self.tail = self.tail[sum(map(len, ready)) :]
+        if not opened:
             return out
-        out = self.encoding.encode_ordinary(self.tail[:last])
-        opened = self.tail[last:]
         self.run = next(rest for whole, rest in _RUNS if whole.fullmatch(opened))
         kept = -1 if self.run is _BLANKS else len(opened)  # the last blank may belong to what follows
         self.head, self.tail = opened[:kept].encode(), opened[kept:]
