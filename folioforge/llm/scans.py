@@ -19,7 +19,9 @@ evidence; extra columns are ignored; a very long text is read whole.
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import functools
 import re
 
 import pandas as pd
@@ -62,24 +64,42 @@ def _fold(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", text.translate(_PLAIN).casefold()))
 
 
-def _resembles(core: str, words: list[str], known: list[tuple[str, set[str]]]) -> bool:
-    """core is the beginning of a known text, or nearly so; only texts that share half of its words are compared letter by letter."""
-    if len(core) < 4:
-        return False
-    for text, parts in known:
-        if text.startswith(core):
+class Known:
+    """Texts that lines are held against, sorted for prefixes and indexed by word."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = sorted({x for x in texts if x})
+        self.by_word: dict[str, list[int]] = {}
+        for k, x in enumerate(self.texts):
+            for w in set(x.split()):
+                self.by_word.setdefault(w, []).append(k)
+
+    def resembles(self, core: str) -> bool:
+        """core is the beginning of a known text, or nearly so; only texts that hold half of its words are compared letter by letter."""
+        if len(core) < 4:
+            return False
+        at = bisect.bisect_left(self.texts, core)
+        if at < len(self.texts) and self.texts[at].startswith(core):
             return True
-        if len(core) >= 8 and 2 * sum(w in parts for w in words) >= len(words):
-            for d in (0, 2):
-                if difflib.SequenceMatcher(None, core, text[: len(core) + d], autojunk=False).ratio() >= 0.85:
-                    return True
-    return False
+        if len(core) < 8:
+            return False
+        words = core.split()
+        shared: dict[int, int] = {}
+        for w in words:
+            for k in self.by_word.get(w, ()):
+                shared[k] = shared.get(k, 0) + 1
+        for k, n in shared.items():
+            if 2 * n >= len(words):
+                for d in (0, 2):
+                    if difflib.SequenceMatcher(None, core, self.texts[k][: len(core) + d], autojunk=False).ratio() >= 0.85:
+                        return True
+        return False
 
 
 def furniture(lines: list[str], known: list[str]) -> set[int]:
     """Positions of the lines that are only a running header, a running footer or a page number."""
     found, cores = set(), {}
-    pairs = [(x, set(x.split())) for x in known if x]
+    names = Known(known)
     filled = [k for k, line in enumerate(lines) if line.strip()]
     if not filled:
         return found
@@ -100,7 +120,7 @@ def furniture(lines: list[str], known: list[str]) -> set[int]:
             continue
         if numbered and len(bare) <= 2 * width:
             found.add(k)
-        elif (bare[-1] != "." or len(bare.split()) > 3 or re.search(r"\b[A-Z]\.$", bare)) and _resembles(text, text.split(), pairs):
+        elif (bare[-1] != "." or len(bare.split()) > 3 or re.search(r"\b[A-Z]\.$", bare)) and names.resembles(text):
             found.add(k)
         if k in found or (bare[-1] not in ".,;:?!-‐¬\xad" and not _HEADING.match(bare)):
             cores.setdefault(text, []).append(k)
@@ -133,12 +153,19 @@ def _title_words(*texts: str | None) -> set[str]:
     return {w for t in texts if t for w in re.findall(r"[^\W\d_]+", t.lower())}
 
 
-def _tokens(line: str):
-    for raw in line.split():
-        for piece in re.split(r"’|(?<!\\)'", raw) if "’" in raw or "'" in raw else (raw,):
-            word = piece.strip(_EDGES).lstrip("-").lower()
-            if len(word) > 1 and any(c.isalpha() for c in word) and not _ROMAN.match(word) and "@" not in word and "://" not in word:
-                yield word
+@functools.lru_cache(1 << 16)
+def _pieces(raw: str) -> tuple[str, ...]:
+    """The words of what stands between blanks."""
+    found = []
+    for piece in re.split(r"’|(?<!\\)'", raw) if "’" in raw or "'" in raw else (raw,):
+        word = piece.strip(_EDGES).lstrip("-").lower()
+        if len(word) > 1 and any(c.isalpha() for c in word) and not _ROMAN.match(word) and "@" not in word and "://" not in word:
+            found.append(word)
+    return tuple(found)
+
+
+def _tokens(line: str) -> list[str]:
+    return [w for raw in line.split() for w in _pieces(raw)]
 
 
 def analyse(text: str, title: str | None, journal: str | None, authors: list[str] | None, heads: list[str] = ()):
@@ -158,13 +185,13 @@ def analyse(text: str, title: str | None, journal: str | None, authors: list[str
         left, right = lines[k].split()[-1][:-1].lstrip(_EDGES).lower(), nxt.rstrip(_EDGES).lower()
         left = re.split(r"’|(?<!\\)'", left)[-1]
         if left and right[:1].isalnum() or right[:1] in "†ſ":
-            breaks.append((k, m[2], left, right, body[at + 1], next(reversed([*_tokens(" ".join(lines[k].split()[:-1]))]), "")))
+            breaks.append((k, m[2], left, right, body[at + 1], (["", *_tokens(" ".join(lines[k].split()[:-1]))])[-1]))
             cut_left.add(k)
             cut_right.add(body[at + 1])
     for k in body:
         line = lines[k].split()
         line = line[1 if k in cut_right else 0 : len(line) - (k in cut_left)]
-        found = list(_tokens(" ".join(line)))
+        found = _tokens(" ".join(line))
         words.extend((k, w, p) for p, w in zip(["", *found], found, strict=False) if w not in own)
     return lines, drop, words, breaks
 
@@ -371,11 +398,11 @@ def in_context(asked: DataFrame, found: DataFrame, trusted: DataFrame) -> DataFr
     least = found.groupBy("word").agg(F.min("cost").alias("least"))
     close = found.join(least, "word").filter(F.col("cost") <= F.col("least") + 0.05).select("word", "candidate", "cost", "docs")
     open_ = close.join(close.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word"), "word")
-    needed = cut(asked.filter("before <> ''").join(open_, "word").select("before", "candidate").distinct())
+    several = cut(open_.select("candidate").distinct())
     tokens = F.filter(F.split(F.lower("body_text"), r"[^\p{L}-]+"), lambda w: w != "")
     texts = trusted.select(tokens.alias("t")).filter(F.size("t") > 1)
     pairs = texts.select(F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("before"), F.slice("t", 2, F.size("t") - 1).alias("candidate"))).alias("p")).select("p.before", "p.candidate")
-    pairs = join_small(pairs, needed, ["before", "candidate"], "left_semi").groupBy("before", "candidate").agg(F.count("*").alias("pairs"))
+    pairs = join_small(pairs, several, "candidate", "left_semi").groupBy("before", "candidate").agg(F.count("*").alias("pairs"))
     ranked = asked.join(close, "word").join(pairs, ["before", "candidate"], "left")
     pick = F.max(F.struct(F.coalesce("pairs", F.lit(0)).alias("pairs"), (-F.col("cost")).alias("minus"), "docs", "candidate"))
     return ranked.groupBy("word", "before").agg(pick.alias("p")).select("word", "before", "p.candidate", (-F.col("p.minus")).alias("cost"))
