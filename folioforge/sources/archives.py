@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions.markup import tex_to_text
+from folioforge.functions.latex import tex_to_text
 
 # Bounds of an archive.
 MAX_FILES, MAX_TOTAL, MAX_TEX, MAX_IMAGE = 4000, 80 << 20, 8 << 20, 24 << 20

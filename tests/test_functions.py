@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from folioforge.functions import citations as C
 from folioforge.functions import scores as S
 from folioforge.functions import text as T
-from folioforge.functions.markup import align, blocks, plain_text, realign, tex_to_text
+from folioforge.functions.latex import tex_to_text
+from folioforge.functions.markup import align, blocks, plain_text, realign
 from folioforge.functions.similarity import at_most, common_length, ratio
 from folioforge.operators import activity as A
 from folioforge.operators import checks as K
@@ -125,6 +126,11 @@ def test_tex():
     text = tex_to_text("\\documentclass{a} % c\n\\title{T \\& U}\n\\begin{document}\n\\maketitle\n\\section{One} Hello\\footnote{n} \\emph{w} --- ``q'' \\cite{k} 5\\% % gone\n\\begin{figure}x\\end{figure}\\begin{enumerate}\\item a \\item b\\end{enumerate}\\end{document} after")
     assert text.startswith("# T & U\n\n# One\n\n Hello (n) *w* — “q” (k) 5%") and "1. a\n2. b" in text and "after" not in text and "gone" not in text
     assert tex_to_text(None) == "" and tex_to_text("plain") == "plain"
+    nested = "\\begin{itemize}\\item one \\begin{enumerate}\\item[x] in\\end{enumerate}\\item two\\end{itemize}"
+    assert tex_to_text(nested) == "- one\n\n1. in\n- two"
+    cases = {"a\\\\[2pt]b": "a\nb", "\\href{http://a.b/\\_c}{\\textbf{t}}": "[**t**](http://a.b/_c)", "\\citep[see][p. 2]{k,l}": "(k,l)", "\\foo[o]{kept} \\bar x": "kept x", "\\begin{center}c\\end{center}": "centerccenter", "\\label{x}y~z": "y z", "{\\it a}": "a", "\\begin{equation*}x\\begin{equation}y\\end{equation}\\end{equation*}z": "z", "\\section[s]{Two \\emph{w}}": "# Two *w*", "a\\,b \\, c": "ab \\, c", "\\begin{figure}open": "figureopen", "{" * 500 + "x" + "}" * 500: "x", "\\emph{" * 300 + "x" + "}" * 300: None}
+    for tex, want in cases.items():
+        assert want is None or tex_to_text(tex) == want, tex
 
 
 def test_similarity():
