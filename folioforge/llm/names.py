@@ -3,7 +3,8 @@
 Each distinct name is rewritten by rules: case, accents and transliterated umlauts folded, titles and roles dropped,
 order of parts, nicknames, initials, legal forms and abbreviations of organisations, and every deletion of one
 letter (two names within one edit or swap share one). Equal forms link. A link is scored by the rarity of its
-rewriting: a form that many names attest is a name of its own and no misspelling of another; an initial links
+rewriting: a form attested by more than SELDOM of the names that attest the other is a name of its own and no misspelling (FEW
+spellings are always few); an initial links
 only if one person of the surname bears it, or, if the surname so spelt has no bearer, if the bearers one letter away
 have one given name and only one spelling of the surname, of all that meet, is attested by many.
 
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm.records import pairs_in_groups
 from folioforge.operators.graphs import components
 from folioforge.runtime import cut, table
 
@@ -32,6 +34,7 @@ GIVEN_SHARE = 0.001
 GIVEN_LEAST = 8
 OWN_NAME = 0.5
 FEW = 2
+SELDOM = 0.25
 
 # Given names and their familiar forms.
 NICKNAMES = """alexander: alex sasha; andrea: andy; andrew: andy drew; anthony: tony; anton: toni; barbara: barb; beatrice: bea trixie; benjamin: ben; catherine: cathy kate; charles: charlie chuck; christopher: chris kit; daniel: dan danny; david: dave; dorothy: dot dolly; edward: ed ned ted; elizabeth: betty beth liz; frederick: fred fritz; gregory: greg; henry: hank harry; isabel: bella izzy; jacob: jake; james: jamie jim; jennifer: jen jenny; johanna: hanna; john: jack johnny; jonathan: jon; joseph: joe; katherine: kate kathy; kenneth: ken; lawrence: larry; leopold: leo; margaret: maggie meg peggy; matthew: matt; michael: mick mike; nicholas: nick; nikolai: kolya; patricia: pat trish; patrick: paddy pat; peter: pete; philip: phil; rebecca: becky; richard: dick rick; robert: bob rob; ronald: ron; samuel: sam; stephen: steve; susan: sue susie; teresa: tess; theodore: ted theo; thomas: tom; timothy: tim; viktor: vic; walter: walt; william: bill will"""
@@ -278,8 +281,8 @@ def name_clusters(sources: DataFrame, column: str = "authors") -> DataFrame:
     own = keys.join(spelt, "surname", "left").select("pk", F.when(F.col("kind").isin("initials", "single"), F.greatest("support", "attested")).otherwise(F.col("support")).alias("support"))
     forms = forms.join(own, "pk")
     met = cut(forms.withColumn("well", (F.col("rule") == "known").cast("int")))
-    top = met.groupBy("form").agg(F.max(F.struct("support", "well", "pk")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("form", F.col("top.pk").alias("root"))
-    weak = met.filter(f"rule <> 'known' and support <= {FEW}").join(top, "form").filter("pk <> root")
+    top = met.groupBy("form").agg(F.max(F.struct("support", "well", "pk")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("form", F.col("top.pk").alias("root"), F.col("top.support").alias("best"))
+    weak = met.filter("rule <> 'known'").join(top, "form").filter((F.col("pk") != F.col("root")) & (F.col("support") <= F.greatest(F.lit(FEW), SELDOM * F.col("best"))))
     roots = cut(components(weak.select("pk", "root"), "pk", "root").withColumnRenamed("node", "pk"))
     placed = best.join(roots, "pk", "left").withColumn("root", F.coalesce("root", "pk"))
     placed = cut(placed)
@@ -307,9 +310,7 @@ def name_clusters(sources: DataFrame, column: str = "authors") -> DataFrame:
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    found = cut(name_clusters(table(spark, directory, "sources")))
-    other = found.select(F.col("name").alias("name_b"), "cluster")
-    return found.select(F.col("name").alias("name_a"), "cluster").join(other, "cluster").filter("name_a < name_b").select("name_a", "name_b")
+    return pairs_in_groups(cut(name_clusters(table(spark, directory, "sources"))), "cluster", "name", "name_a", "name_b")
 
 
 QUERIES = {"p4_found": p4_found}
