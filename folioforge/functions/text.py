@@ -127,13 +127,20 @@ def ticket_date(c: str | Column) -> Column:
 
 
 def free_text_query(c: str | Column) -> Column:
-    """A request stripped of its polite frame, eight patterns repeated (four rounds reach the fixpoint of any nesting met)."""
-    out = F.btrim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", " "))
-    for _ in range(4):
+    """A request stripped of its polite frame: eight patterns, repeated until nothing changes.
+
+    A round that changes anything takes out a word at least, so as many rounds as the text has words reach the fixpoint; rounds after it cost a comparison.
+    """
+    start = F.btrim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", " "))
+
+    def strip(text: Column) -> Column:
         for p in REQUEST_FRAMES:
-            out = F.regexp_replace(out, p, "")
-        out = F.btrim(F.regexp_replace(out, r"(?U)\s+", " "))
-    return out
+            text = F.regexp_replace(text, p, "")
+        return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+    first = F.struct(start.alias("text"), F.lit(False).alias("done"))
+    step = lambda s, _: F.when(s["done"], s).otherwise(F.struct(strip(s["text"]).alias("text"), (strip(s["text"]) == s["text"]).alias("done")))
+    return F.aggregate(F.sequence(F.lit(0), F.size(F.split(start, " "))), first, step)["text"]
 
 
 # The frames of requests for citations.

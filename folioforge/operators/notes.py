@@ -23,6 +23,12 @@ def clean_note(df: DataFrame) -> DataFrame:
     )
 
 
+def _spans(df: DataFrame, p: str) -> DataFrame:
+    """Spans that are none of length 0, a row for each bin of the text they touch."""
+    spans = df.filter(F.col("end_offset") > F.col("start_offset")).select("source_id", "note_scope", (F.col("id") if "id" in df.columns else F.lit(None)).alias(f"{p}_id"), F.col("start_offset").alias(f"{p}_start"), F.col("end_offset").alias(f"{p}_end"))
+    return spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / BIN), F.floor((F.col(f"{p}_end") - 1) / BIN))))
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """a_id, b_id, source_id, note_scope of spans that overlap (touching ones do not), a_id < b_id.
 
@@ -30,11 +36,7 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     is reported in the bin where the later of its two begins.
     """
 
-    def binned(df: DataFrame, p: str) -> DataFrame:
-        spans = df.filter(F.col("end_offset") > F.col("start_offset")).select("source_id", "note_scope", F.col("id").alias(f"{p}_id"), F.col("start_offset").alias(f"{p}_start"), F.col("end_offset").alias(f"{p}_end"))
-        return spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / BIN), F.floor((F.col(f"{p}_end") - 1) / BIN))))
-
-    pairs = binned(a, "a").join(binned(b, "b"), ["source_id", "note_scope", "bin"])
+    pairs = _spans(a, "a").join(_spans(b, "b"), ["source_id", "note_scope", "bin"])
     meets = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start")) & (F.col("a_id") < F.col("b_id"))
     return pairs.filter(meets & (F.col("bin") == F.floor(F.greatest("a_start", "b_start") / BIN))).select("a_id", "b_id", "source_id", "note_scope")
 
@@ -47,10 +49,13 @@ def realigned(notes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def insertable(new: DataFrame, sources: DataFrame, existing: DataFrame) -> DataFrame:
-    """New notes with a reason each why it cannot be stored, or '': source, scope, range, texts, overlap."""
+    """New notes with a reason each why it cannot be stored, or '': source, scope, range, texts, overlap with a stored note of another id.
+
+    Spans meet in bins of the text, as in overlaps().
+    """
     known = sources.select(F.col("id").alias("source_id"), F.length(F.coalesce("body_text", F.lit(""))).alias("size"))
-    taken = existing.select("source_id", "note_scope", F.col("start_offset").alias("x_start"), F.col("end_offset").alias("x_end"))
-    hit = new.join(taken, ["source_id", "note_scope"]).filter((F.col("start_offset") < F.col("x_end")) & (F.col("end_offset") > F.col("x_start"))).select("id").distinct().withColumn("hit", F.lit(True))
+    hit = _spans(new, "a").join(_spans(existing, "b"), ["source_id", "note_scope", "bin"]).filter("a_start < b_end and a_end > b_start and not a_id <=> b_id")
+    hit = hit.select(F.col("a_id").alias("id")).distinct().withColumn("hit", F.lit(True))
     rows = new.join(known, "source_id", "left").join(hit, "id", "left")
     reason = (
         F.when(F.col("size").isNull(), "source not found")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import trim
 from folioforge.operators.dedupe import first_by
+from folioforge.runtime import cut
 
 
 def upsert(existing: DataFrame, changes: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
@@ -59,11 +60,55 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, on: str = "external_id
     found = wanted.join(existing.groupBy(on).agg(F.min("id").alias("id")), on, "left")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = found.filter("id is null").select(on, "name")
-    numbered = fresh.rdd.map(tuple).sortByKey().zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(f"{on} string, name string, n long") if fresh.limit(1).count() else fresh.withColumn("n", F.lit(0).cast("long"))
-    new = numbered.crossJoin(F.broadcast(top)).select(on, "name", (F.col("top") + F.col("n")).alias("id"))
+    ranged = cut(fresh.repartitionByRange(on).withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = counts.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(on))
+    numbered = ranged.withColumn("own", own).join(F.broadcast(before), "part")
+    new = numbered.crossJoin(F.broadcast(top)).select(on, "name", (F.col("top") + F.col("before") + F.col("own")).alias("id"))
     return found.filter("id is not null").select(on, "name", "id").unionByName(new)
 
 
+def upsert_vectors(existing: DataFrame, changes: DataFrame, order: str) -> DataFrame:
+    """Vectors (id, input_text, embedding) in place of those of equal id; a blank input or an empty vector changes nothing."""
+    usable = changes.filter((trim("input_text") != "") & (F.size("embedding") > 0))
+    return upsert(existing, usable, "id", order)
+
+
+def append_log(log: DataFrame, entries: DataFrame, kind: str, payload: list[str]) -> DataFrame:
+    """The log with a row an entry (source_id, input_text and the payload columns): numbered after the largest id, payload as JSON."""
+    rows = entries.select(F.lit(kind).alias("run_type"), "source_id", "input_text", F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}).alias("output_json"), "created_at")
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    numbered = rows.withColumn("n", F.monotonically_increasing_id() + 1).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n"))
+    return log.unionByName(numbered.select(*log.columns))
+
+
+def start_sessions(sessions: DataFrame, starts: DataFrame, sources: DataFrame) -> DataFrame:
+    """Sessions with the started ones (id, task_label, source_id, type, duration_sec, started_at) added, open; a source that does not exist becomes NULL."""
+    known = sources.select(F.col("id").alias("source_id"), F.lit(True).alias("known_")).distinct()
+    new = starts.join(known, "source_id", "left").withColumn("source_id", F.when(F.col("known_"), F.col("source_id")))
+    given = {"completed": F.lit(False), "abandoned": F.lit(False), "notes": F.lit(""), "ended_at": F.lit(None)}
+    kinds = dict(sessions.dtypes)
+    return sessions.unionByName(new.select(*[(given[c] if c in given else F.col(c)).cast(kinds[c]).alias(c) for c in sessions.columns]))
+
+
+def autosave_notes(sessions: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Notes of open sessions as drafted (id, notes, saved_at; the last counts); ended ones stay as they are."""
+    new = first_by(drafts, ["id"], F.desc("saved_at")).select("id", F.col("notes").alias("draft_"))
+    joined = sessions.join(new, "id", "left")
+    return joined.select(*[F.when(F.col("ended_at").isNull(), F.coalesce("draft_", "notes")).otherwise(F.col("notes")).alias(c) if c == "notes" else F.col(c) for c in sessions.columns])
+
+
+def toggle_items(items: DataFrame, tickets: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items with their done flag as patched (id, done, at; the last counts), and tickets touched at the time of the last patch of an item."""
+    last = first_by(patches, ["id"], F.desc("at")).select("id", F.col("done").alias("done_"), F.col("at").alias("at_"))
+    joined = items.join(last, "id", "left")
+    touched = joined.filter("at_ is not null").groupBy(F.col("ticket_id").alias("id")).agg(F.max("at_").alias("touched_"))
+    changed = joined.select(*[F.coalesce("done_", "done").alias(c) if c == "done" else F.col(c) for c in items.columns])
+    parents = tickets.join(touched, "id", "left").select(*[F.coalesce("touched_", "updated_at").alias(c) if c == "updated_at" else F.col(c) for c in tickets.columns])
+    return changed, parents
+
+
 def by_name(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted names with the id of the smallest project of that name, capitals or not; NULL where there is none."""
     ids = existing.groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"))

@@ -12,7 +12,7 @@ from folioforge.operators.dedupe import newest_first
 from folioforge.operators.notes import clean_note
 from folioforge.operators.store import markdown_mirror
 from folioforge.plans import sql as Q
-from folioforge.runtime import table
+from folioforge.runtime import join_small, table
 
 
 def list_sources_newest(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def source_lookup(spark: SparkSession, d: str) -> DataFrame:
 def projects_for_sources(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "source_project").distinct()
     names = table(spark, d, "projects").select(F.col("id").alias("project_id"), "name")
-    listed = links.join(F.broadcast(names), "project_id").groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "project_id"))), lambda x: x["name"]), "; ").alias("projects"))
+    listed = join_small(links, names, "project_id", "inner").groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "project_id"))), lambda x: x["name"]), "; ").alias("projects"))
     return listed
 
 

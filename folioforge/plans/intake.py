@@ -12,7 +12,7 @@ from folioforge.operators import dedupe as D
 from folioforge.operators import vectors as V
 from folioforge.plans import bibliography as B
 from folioforge.plans import sql as Q
-from folioforge.runtime import cut, table
+from folioforge.runtime import cut, join_small, table
 from folioforge.sources import formats, library
 
 QUERY_STEP = 20
@@ -59,7 +59,7 @@ def collection_links(spark: SparkSession, d: str) -> DataFrame:
     """Items to projects by the external keys of collections."""
     c = _items(spark, d).select("id", F.explode("r.project_external_keys").alias("external_id"))
     p = table(spark, d, "projects").filter("external_id <> ''").groupBy("external_id").agg(F.min("id").alias("project_id"))
-    return c.join(F.broadcast(p), "external_id", "left").groupBy("id").agg(F.count("*").alias("collections"), F.count("project_id").alias("known"))
+    return join_small(c, p, "external_id").groupBy("id").agg(F.count("*").alias("collections"), F.count("project_id").alias("known"))
 
 
 def candidate_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -93,9 +93,9 @@ def note_realign(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Each note against its source and all other notes stored."""
     n = first_by(table(spark, d, "source_notes"), ["id"], F.desc("updated_at"), F.desc("created_at"), "source_id", "start_offset")
-    nothing = n.limit(0)
-    return N.insertable(n, table(spark, d, "sources"), nothing).groupBy("reason").agg(F.count("*").alias("notes"))
+    return N.insertable(n, table(spark, d, "sources"), n).groupBy("reason").agg(F.count("*").alias("notes"))
 
 
 def highlight_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +219,7 @@ SQL = {
     "month_header": "WITH b AS (SELECT date_trunc('month', min(created_at))::DATE AS b FROM projects), m AS (SELECT strftime(b + to_months(i::INTEGER), '%Y') AS year FROM b, range(30) t(i)) SELECT year, count(*) AS months FROM m GROUP BY 1",
     "note_overlaps": "WITH n AS (SELECT DISTINCT id, source_id, note_scope, start_offset, end_offset FROM source_notes WHERE end_offset > start_offset) SELECT DISTINCT a.id AS a_id, b.id AS b_id, a.source_id, a.note_scope FROM n a JOIN n b ON a.source_id = b.source_id AND a.note_scope = b.note_scope AND a.id < b.id AND a.start_offset < b.end_offset AND a.end_offset > b.start_offset",
     "note_checks": f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, created_at DESC, source_id, start_offset) AS rn FROM source_notes), r AS (
-        SELECT CASE WHEN s.id IS NULL THEN 'source not found' WHEN note_scope NOT IN ('body', 'reading_guide') THEN 'invalid scope' WHEN end_offset <= start_offset THEN 'invalid range' WHEN note_scope = 'body' AND end_offset > length(coalesce(body_text, '')) THEN 'range exceeds text' WHEN {Q.trim('quote_text')} = '' OR {Q.trim('note_text')} = '' THEN 'texts required' ELSE '' END AS reason FROM n LEFT JOIN (SELECT id, body_text FROM sources) s ON s.id = n.source_id WHERE rn = 1)
+        SELECT CASE WHEN s.id IS NULL THEN 'source not found' WHEN note_scope NOT IN ('body', 'reading_guide') THEN 'invalid scope' WHEN end_offset <= start_offset THEN 'invalid range' WHEN note_scope = 'body' AND end_offset > length(coalesce(body_text, '')) THEN 'range exceeds text' WHEN {Q.trim('quote_text')} = '' OR {Q.trim('note_text')} = '' THEN 'texts required' WHEN EXISTS (SELECT 1 FROM n x WHERE x.rn = 1 AND x.id <> n.id AND x.source_id = n.source_id AND x.note_scope = n.note_scope AND x.end_offset > x.start_offset AND x.start_offset < n.end_offset AND x.end_offset > n.start_offset) THEN 'overlaps' ELSE '' END AS reason FROM n LEFT JOIN (SELECT id, body_text FROM sources) s ON s.id = n.source_id WHERE rn = 1)
         SELECT reason, count(*) AS notes FROM r GROUP BY 1""",
     "run_history": f"""WITH r AS (SELECT DISTINCT id, created_at, output_json AS j FROM assistant_runs WHERE run_type = 'reader_synthesis') SELECT id, created_at, CASE WHEN json_valid(j) THEN coalesce(j ->> '$.synthesis.verdict', 'skim') ELSE 'skim' END AS verdict,
         CASE WHEN json_valid(j) THEN substr({Q.trim("coalesce(j ->> '$.synthesis.why_now', j ->> '$.synthesis.verdict_reason')")}, 1, 180) ELSE '' END AS preview FROM r ORDER BY created_at DESC, id DESC LIMIT 20""",

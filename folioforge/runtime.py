@@ -7,11 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast after it was counted; a row here is a few dozen bytes.
-BROADCAST_ROWS = 200_000
+#: Rows up to which a side may be broadcast after it was counted, and bytes that these may have.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _WRITTEN: list[str] = []
 
 
@@ -51,5 +51,15 @@ def clear(spark: SparkSession) -> None:
 
 
 def join_small(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a written side, broadcast if its row count is within the bound, else by shuffle."""
-    return df.join(F.broadcast(side) if side.count() <= rows else side, on, how)
+    """Join a side, broadcast if its rows and their bytes, counted first, are within the bounds, else by shuffle."""
+    size = F.coalesce(F.sum(sum((_bytes(F.col(f"`{n}`"), t) for n, t in side.dtypes), F.lit(0))), F.lit(0))
+    n, held = side.select(F.count("*"), size).first()
+    return df.join(F.broadcast(side) if n <= rows and held <= BROADCAST_BYTES else side, on, how)
+
+
+def _bytes(column: Column, kind: str) -> Column:
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)).cast("long")
+    return F.lit(16).cast("long")

@@ -7,12 +7,14 @@ import tarfile
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions.guide import complete_guide, natural_key
 from folioforge.functions.similarity import ratio
 from folioforge.functions.text import norm_text
-from folioforge.operators import activity, dedupe, notes, reader, store, vectors
+from folioforge import runtime
+from folioforge.operators import activity, dedupe, graphs, notes, reader, store, vectors
 from folioforge.operators.graphs import components
 from folioforge.plans import intake
 from folioforge.sources import archives, formats, library, pages, providers
@@ -39,6 +41,51 @@ def test_components_equal_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs_and_without_end(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HUB", 3)
+    monkeypatch.setattr(graphs, "HUB_SHARE", 0.1)
+    edges = [(0, k) for k in range(1, 60)] + [(k, k + 100) for k in range(1, 60)] + [(500, 501), (501, 502)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in components(df).collect()}
+    assert got == {x: 0 if x < 400 else 500 for e in edges for x in e}
+    with pytest.raises(RuntimeError):
+        components(df, rounds=1)
+
+
+def test_a_side_is_broadcast_only_within_its_bounds(spark):
+    side = spark.createDataFrame([(k, "x" * 100, [k]) for k in range(50)], "id long, t string, l array<long>")
+    big = spark.range(100)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(runtime.join_small(big, side, "id")) and "broadcast" not in plan(runtime.join_small(big, side, "id", rows=10))
+    assert runtime.join_small(big, side.limit(0), "id").count() == 100
+
+
+def test_logs_vectors_sessions_and_items(spark):
+    log = spark.createDataFrame([(7, "a", 1, "i", "{}", dt.datetime(2024, 1, 1))], "id long, run_type string, source_id long, input_text string, output_json string, created_at timestamp")
+    entries = spark.createDataFrame([(2, "q", "v", dt.datetime(2024, 2, 1)), (None, "r", None, None)], "source_id long, input_text string, verdict string, created_at timestamp")
+    rows = store.append_log(log, entries, "digest", ["verdict"]).orderBy("id").collect()
+    assert len({r.id for r in rows}) == 3 and min(r.id for r in rows) == 7 and [r.output_json for r in rows[1:]] == ['{"verdict":"v"}', '{"verdict":null}']
+    have = spark.createDataFrame([(1, "t", [1.0])], "id long, input_text string, embedding array<double>")
+    new = spark.createDataFrame([(1, " ", [2.0], 1), (1, "u", [], 2), (2, "w", [3.0], 1), (2, "x", [4.0], 2)], "id long, input_text string, embedding array<double>, at int")
+    assert {(r.id, r.input_text) for r in store.upsert_vectors(have, new, "at").collect()} == {(1, "t"), (2, "x")}
+    sessions = spark.createDataFrame([(1, "l", 5, "work", 10, True, False, "n", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)), (2, "l", 5, "work", 10, False, False, "n", dt.datetime(2024, 1, 1), None)], "id long, task_label string, source_id long, type string, duration_sec int, completed boolean, abandoned boolean, notes string, started_at timestamp, ended_at timestamp")
+    starts = spark.createDataFrame([(3, "s", 9, "work", 60, dt.datetime(2024, 3, 1))], "id long, task_label string, source_id long, type string, duration_sec int, started_at timestamp")
+    started = {r.id: r for r in store.start_sessions(sessions, starts, spark.createDataFrame([(5,)], "id long")).collect()}
+    assert started[3].source_id is None and started[3].ended_at is None and started[3].notes == "" and started[1].source_id == 5
+    drafts = spark.createDataFrame([(1, "late", 1), (2, "one", 1), (2, "two", 2)], "id long, notes string, saved_at int")
+    assert {r.id: r.notes for r in store.autosave_notes(sessions, drafts).collect()} == {1: "n", 2: "two"}
+    items = spark.createDataFrame([(1, 10, False), (2, 10, True), (3, 11, False)], "id long, ticket_id long, done boolean")
+    tickets = spark.createDataFrame([(10, dt.datetime(2024, 1, 1)), (11, dt.datetime(2024, 1, 1))], "id long, updated_at timestamp")
+    patches = spark.createDataFrame([(1, False, dt.datetime(2024, 2, 1)), (1, True, dt.datetime(2024, 2, 2))], "id long, done boolean, at timestamp")
+    changed, touched = store.toggle_items(items, tickets, patches)
+    assert {r.id: r.done for r in changed.collect()} == {1: True, 2: True, 3: False} and {r.id: r.updated_at.month for r in touched.collect()} == {10: 2, 11: 1}
+    projects = spark.createDataFrame([(4, "e4", "old")], "id long, external_id string, name string")
+    wanted = spark.createDataFrame([(f"e{k}", f"n{k}") for k in range(4, 40)] + [("", "x")], "external_id string, name string")
+    made = {r.external_id: r.id for r in store.get_or_create(projects, wanted).collect()}
+    assert made["e4"] == 4 and sorted(made.values()) == list(range(4, 40)) and [k for k in sorted(made) if k != "e4"] == sorted((k for k in made if k != "e4"), key=made.get)
+    assert store.get_or_create(projects, wanted.filter("external_id = 'e4'")).count() == 1
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8 if i % 7 else 5)]) for i in range(150)] + [(200, [0.0] * 8), (201, None), (202, [])]
