@@ -111,6 +111,13 @@ def split_list(c: str | Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), trim), lambda x: x != "")
 
 
+def choose_isbn(numbers: str | Column) -> Column:
+    """Of a list of book numbers as found the first that has thirteen digits, else the first that has ten, else ''."""
+    bare = F.transform(F.coalesce(col(numbers), F.array().cast("array<string>")), lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), "[^0-9Xx]", ""))
+    first = lambda n: F.get(F.filter(bare, lambda x: F.length(x) == n), 0)
+    return F.coalesce(first(13), first(10), F.lit(""))
+
+
 def is_stale(c: str | Column, days: int, now: Column) -> Column:
     moment = F.try_to_timestamp(trim(c))
     return moment.isNull() | (moment < now - F.make_dt_interval(F.lit(days)))

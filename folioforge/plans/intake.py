@@ -215,6 +215,21 @@ def _words(x: str, least: int) -> str:
     return f"list_distinct(list_filter(regexp_split_to_array(lower({Q.trim(x)}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda w: strlen(w) >= {least}))"
 
 
+_WIDE = r"[\s\x0B\x{1C}-\x{1F}\x{85}\p{Z}]"
+
+
+def _squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WIDE}+', ' ', 'g'))"
+
+
+def _frames(x: str) -> str:
+    """One round of the request frames, with classes as wide as the library's."""
+    for p in text.REQUEST_FRAMES:
+        wide = p.replace("(?iU)", "(?i)").replace(r"\s", _WIDE).replace("'", "''")
+        x = f"regexp_replace({x}, '{wide}', '', 'g')"
+    return _squeeze(x)
+
+
 SQL = {
     "item_records": f"WITH {_ITEMS} SELECT id, {_ITEM_TYPE} AS type, coalesce(j ->> '$.data.title', '') AS title, array_to_string({_ITEM_AUTHORS}, '; ') AS authors, regexp_extract(coalesce(j ->> '$.data.date', ''), '\\b(19|20)\\d{{2}}\\b') AS year, coalesce(j ->> '$.data.DOI', '') AS doi, {Q.trim("'Imported from Zotero. ' || coalesce(j ->> '$.data.extra', '')")} AS notes, j ->> '$.key' AS zotero_item_key, array_to_string(list_transform({_listed('$.data.collections')}, lambda c: c ->> '$'), ',') AS collections FROM i",
     "collection_links": f"WITH {_ITEMS}, c AS (SELECT id, unnest(list_transform({_listed('$.data.collections')}, lambda c: c ->> '$')) AS x FROM i), p AS (SELECT DISTINCT external_id FROM projects WHERE external_id <> '') SELECT id, count(*) AS collections, count(external_id) AS known FROM c LEFT JOIN p ON external_id = x GROUP BY 1",
@@ -240,4 +255,13 @@ SQL = {
     "similar_sources": _top(5).format("q.vec_id % 20 = 0"),
     "claim_links_top3": "SELECT query_id AS claim_id, vec_id AS source_id, rank, score AS confidence FROM (" + _top(3).format("q.vec_id % 20 = 0") + ")",
     "claim_lines": f"WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r]'), lambda x: {Q.trim('x')}), lambda x: x <> '') AS ls FROM documents WHERE source = 'claim_drafts') SELECT doc_id, len(ls) AS claims, list_max(list_transform(ls, lambda x: length(x))) AS longest FROM l WHERE len(ls) > 0",
+    "grounded_records": f"""WITH s AS (SELECT id, doi, isbn, lower(coalesce(body_text, '')) AS t, {Q.trim('doi')} AS d, {Q.isbn('isbn')} AS n, {Q.trim('title')} AS title, coalesce(authors, []) AS a FROM sources),
+        w AS (SELECT *, regexp_replace(t, '[^0-9Xx]', '', 'g') AS digits, list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda w: length(w) > 4) AS ws, list_transform(a, lambda x: regexp_split_to_array(lower({Q.trim("split_part(x, ',', 1)")}), '\\s+')[-1]) AS names FROM s),
+        h AS (SELECT *, d <> '' AND contains(t, lower(d)) AS hd, length(n) >= 10 AND contains(digits, n) AS hi, title <> '' AND (len(ws) = 0 OR len(list_filter(ws, lambda w: contains(t, w))) > 0) AS ht, len(list_filter(names, lambda x: length(x) >= 3 AND contains(t, x))) > 0 AS ha, strlen({Q.trim('t')}) < 200 AS short FROM w)
+        SELECT id, short OR hd OR hi OR ht OR ha AS kept, CASE WHEN short OR hd THEN coalesce(doi, '') ELSE '' END AS doi, CASE WHEN short OR hi THEN coalesce(isbn, '') ELSE '' END AS isbn FROM h""",
+    "candidate_merge": f"""WITH {_ITEMS}, r AS (SELECT id, {_ITEM_TYPE} AS type, coalesce(j ->> '$.data.title', '') AS title, {_ITEM_AUTHORS} AS authors, regexp_extract(coalesce(j ->> '$.data.date', ''), '\\b(19|20)\\d{{2}}\\b') AS year, {Q.first_said("j ->> '$.data.publisher'", "j ->> '$.data.libraryCatalog'")} AS publisher, coalesce(j ->> '$.data.DOI', '') AS doi FROM i)
+        SELECT s.id, CASE WHEN coalesce(s.type, '') IN ('', '0') THEN coalesce(r.type, 'website') ELSE s.type END AS type, {Q.first_said('s.title', 'r.title')} AS title, array_to_string(CASE WHEN len(coalesce(s.authors, [])) > 0 THEN s.authors ELSE coalesce(r.authors, []) END, '; ') AS authors, {Q.first_said('s.year', 'r.year')} AS year, {Q.first_said('s.publisher', 'r.publisher')} AS publisher, {Q.first_said('s.doi', 'r.doi')} AS doi
+        FROM (SELECT id, type, title, authors, year, publisher, doi FROM sources) s LEFT JOIN r ON r.id = s.id""",
+    "free_text_queries": f"""WITH RECURSIVE s AS (SELECT id, 0 AS n, {_squeeze('coalesce(raw_input, $$$$)')} AS q FROM (SELECT id, raw_input FROM sources WHERE {_KIND} = 'text') UNION ALL SELECT id, n + 1, {_frames('q')} FROM s WHERE {_frames('q')} <> q)
+        SELECT id, arg_max(q, n) AS query FROM s GROUP BY 1""",
 }

@@ -66,6 +66,14 @@ def open_library(answer: str, isbn: str | Column) -> Column:
     return _candidate(type=F.lit("book"), title=b["title"], authors=_names(F.transform(b["authors"], lambda a: trim(a["name"]))), year=extract_year_wide(b["publish_date"]), publisher=first_said(_first(b["publishers"])["name"]), isbn=F.col(isbn) if isinstance(isbn, str) else isbn, url=b["url"])
 
 
+def title_searches(title: Column, author: Column) -> Column:
+    """What to ask a library for a title, the strictest first: the exact title with the author, the exact title, the words; nothing for a blank title."""
+    t = trim(title)
+    exact = F.concat(F.lit('"'), t, F.lit('"'))
+    asked = F.when(author != "", F.array(F.concat(exact, F.lit(" "), author), exact, F.concat(t, F.lit(" "), author))).otherwise(F.array(exact, t))
+    return F.when(t != "", asked).otherwise(F.array().cast("array<string>"))
+
+
 CATALOGUE = "pnx struct<display:struct<title:array<string>,type:array<string>,creator:array<string>,creationdate:array<string>,publisher:array<string>,identifier:array<string>>,addata:struct<au:array<string>,date:array<string>,isbn:array<string>,btitle:array<string>,pub:array<string>,doi:array<string>>>"
 
 
