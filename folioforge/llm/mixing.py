@@ -9,7 +9,8 @@ these go through a reduction tree of FAN_IN partitions a step to the last, which
 
 Scale: tokens are counted in one scan and written; sizes are pre-aggregated; only a row a target reaches the driver
 (mix_targets is small and fixed). The tree moves a row a partition and source. A source that holds a third of all
-rows is spread over all partitions. Draws are hashes of ids, so a task run again gives the same copies.
+rows is spread over all partitions. Rows are dealt by a hash of their id into as many partitions as their number asks for
+and draws are hashes of ids, so that a task run again, or another cluster, gives the same copies.
 
 Defined cases: null or empty texts have 0 tokens and get the whole copies alone; sources without a target (also null
 ones) get no copies and are left out; targets without text report 0; a null or negative target counts as 0, a null cap
@@ -29,6 +30,9 @@ from folioforge.llm.tokenize import VOCABULARIES, count_tokens
 from folioforge.runtime import cut, table
 
 FAN_IN = 32
+ROWS_A_PART = 20_000
+#: Targets are read to the driver and broadcast; more than these are refused.
+MOST_TARGETS = 100_000
 SEED = 17
 
 
@@ -98,17 +102,20 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, folder: str = VOCABULARIES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, copies, n_tokens) of the texts in the mix, and the report a target."""
     counted = cut(count_tokens(documents, folder=folder))
+    if targets.count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     wanted = [(r["source"], max(0.0, r["target_share"] or 0.0), 1 if r["max_repeats"] is None else r["max_repeats"]) for r in targets.filter(F.col("source").isNotNull()).collect()]
     sizes = {r[0]: r[1] for r in counted.groupBy("source").agg(F.sum("n_tokens")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").collect()}
     copies = plan(sizes, wanted, total)
     spark = documents.sparkSession
     rates = spark.createDataFrame([(s, int(math.floor(c)), c - math.floor(c)) for s, c in copies.items()], "source string, copies long, open double")
-    rows = cut(counted.join(F.broadcast(rates), "source").select("doc_id", "source", "n_tokens", "copies", "open").mapInArrow(_round(seed, False), _ROWS))
+    parts = max(1, math.ceil(counted.count() / ROWS_A_PART))
+    dealt = counted.join(F.broadcast(rates), "source").select("doc_id", "source", "n_tokens", "copies", "open").repartition(parts, "doc_id").sortWithinPartitions("source", "doc_id", "n_tokens")
+    rows = cut(dealt.mapInArrow(_round(seed, False), _ROWS))
     settled, open_ = rows.filter("open = 0"), rows.filter("open > 0")
-    parts = max(1, counted.rdd.getNumPartitions())
     while True:
         parts = -(-parts // FAN_IN)
-        step = cut(open_.repartition(parts, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).sortWithinPartitions("source", "doc_id").mapInArrow(_round(seed + parts, parts == 1), _ROWS))
+        step = cut(open_.repartition(parts, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).sortWithinPartitions("source", "doc_id", "n_tokens").mapInArrow(_round(seed + parts, parts == 1), _ROWS))
         settled, open_ = settled.unionByName(step.filter("open = 0")), step.filter("open > 0")
         if parts == 1:
             break

@@ -230,6 +230,18 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets)[0].count() == 0 and mixing.mix(df, targets.limit(0))[0].count() == 0
 
 
+def test_a_mix_is_the_same_however_the_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_A_PART", 7)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["quiet", "harbour", "of", "readers"]) for _ in range(rng.randint(1, 30))), rng.choice("ab")) for i in range(120)]
+    targets = spark.createDataFrame([("a", 0.8, 3), ("b", 0.2, 2)], "source string, target_share double, max_repeats int")
+    mixes = [{tuple(r) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n), targets)[0].collect()} for n in (1, 5)]
+    assert mixes[0] == mixes[1] and mixes[0]
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(mixing, "MOST_TARGETS", 1)
+        mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), targets)
+
+
 def test_quality(spark):
     common = spark.createDataFrame([("en", w, k) for k, w in enumerate("the of and a in to is was that it for as with were by be not this before".split())], "lang string, word string, word_rank int")
     prose = "the measure of the harbour was not what it was before and it is still with us"
