@@ -14,6 +14,11 @@ boundary its ball overlaps, so that no close pair is lost between shards. In a s
 and all its views search it at once. Pairs within the radii are exact; there is no other source of candidates. They
 are then checked on the fields themselves and grouped by connected components.
 
+Where more than DENSE records have one and the same view, the search gives no pairs but the members of that cell, its
+neighbours among them. Each member is first held against the cell's first one; then those that did not come into the cell's
+largest group are held against all others of the cell. So no pair outside one group stays untested, and a third of all
+records that record one work costs a test each.
+
 Scale: records with equal fields are one row throughout. A view is 32 bytes in one shuffle, times the copies (about 1.2
 a level of shards); shards are sized by SHARD, and one that stays larger, as when a third of all records
 have one view, is dealt into blocks, of which each pair is searched by itself. What reaches the driver is the sample and
@@ -42,7 +47,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.residue import title_is_residue
 from folioforge.operators.graphs import components
-from folioforge.runtime import cut, table
+from folioforge.runtime import cut, join_small, table
 
 RADIUS, PAIRED = 1, 6
 LEAST = 16
@@ -53,6 +58,7 @@ SAMPLE = 4096
 COMMON = 0.001
 RARE_SHARE = 0.004
 BLOCK = 2000
+DENSE = 64
 
 # Titles that many works share.
 GENERIC = frozenset("book review|book reviews|review|reviews|editorial|introduction|einleitung|preface|foreword|vorwort|conclusion|conclusions|correspondence|letters|letter|notes|notes and comments|comments|abstract|contents|index|appendix|obituary|news|announcements|acknowledgements|references|bibliography|avant propos|introducción|prólogo|reseña|compte rendu|rezension|nachruf|titelei|front matter|back matter|untitled".split("|"))
@@ -381,21 +387,41 @@ def _block(ids: np.ndarray, blocks) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.asarray(blocks, dtype=np.uint64)).astype(np.int64)
 
 
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())])
+_FOUND_SQL = "a long, b long, cell long"
+
+
 def _pairs(rows: pa.Table, blocks: int) -> pa.RecordBatch:
-    """a, b: the close pairs of one shard, or of one pair of its blocks."""
+    """The close pairs (a, b) of one shard or of one pair of its blocks, and the members (cell, a) of its dense cells."""
     ids, low, high, facts = (rows.column(c).to_numpy() for c in ("id", "low", "high", "fact"))
+    low, high, own = low.view(np.uint64), high.view(np.uint64), rows.column("own").to_numpy()
     key = rows.column("key")[0].as_py()
     across = (key >> 20 & 0xFFFFF) != (key & 0xFFFFF)
-    own = rows.column("own").to_numpy()
     side = _block(ids, blocks)
-
-    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        kept = (ids[a] != ids[b]) & may_agree(facts[a], facts[b])
-        return kept & (side[a] != side[b]) if across else kept
-
-    a, b = close_pairs(low.view(np.uint64), high.view(np.uint64), own, agree)
-    both = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
+    _, first, view, count = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    view = view.ravel()
+    dense = (count > DENSE)[view]
+    at = np.flatnonzero(~dense | (first[view] == np.arange(len(view))))  # of a dense cell one stands for all
+
+    def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = at[x], at[y]
+        kept = (ids[x] != ids[y]) & may_agree(facts[x], facts[y])
+        return (kept & (side[x] != side[y]) if across else kept) | dense[x] | dense[y]
+
+    a, b = (at[x] for x in close_pairs(low[at], high[at], own[at], agree))
+    hot = dense[a] | dense[b]
+    both = np.unique(np.stack([np.minimum(ids[a], ids[b])[~hot], np.maximum(ids[a], ids[b])[~hot]], axis=1), axis=0)
+    order = np.argsort(view, kind="stable")
+    ends = np.searchsorted(view[order], np.arange(len(count))), np.searchsorted(view[order], np.arange(len(count)) + 1)
+    members = lambda v: ids[order[ends[0][v] : ends[1][v]]]
+    name = lambda v: xxhash.xxh64_intdigest(low[first[v]].tobytes() + high[first[v]].tobytes()) - (1 << 63)
+    cells = [(name(v), members(v)) for v in np.flatnonzero(count > DENSE) if own[first[v]]]
+    cells += [(name(view[x]), members(view[y])) for p, q in zip(a[hot], b[hot], strict=True) for x, y in ((p, q), (q, p)) if dense[x]]
+    cell = np.concatenate([np.full(len(m), c, dtype=np.int64) for c, m in cells]) if cells else np.zeros(0, dtype=np.int64)
+    member = np.concatenate([m for _, m in cells]) if cells else np.zeros(0, dtype=np.int64)
+    nothing = lambda n: pa.nulls(n, pa.int64())
+    columns = [pa.concat_arrays([pa.array(both[:, 0], pa.int64()), pa.array(member, pa.int64())]), pa.concat_arrays([pa.array(both[:, 1], pa.int64()), nothing(len(member))]), pa.concat_arrays([nothing(len(both)), pa.array(cell, pa.int64())])]
+    return pa.RecordBatch.from_arrays(columns, schema=_FOUND)
 
 
 def _search(shards: list[int]):
@@ -437,12 +463,27 @@ def top_tree(records: DataFrame, total: int) -> TopTree:
     return tree
 
 
-def candidate_pairs(records: DataFrame, total: int) -> DataFrame:
-    """a, b: pairs of ids that have a view within the radii."""
+def candidates(records: DataFrame, total: int) -> DataFrame:
+    """a, b, cell: pairs of ids that have a view within the radii, and ids (a) of the dense cells."""
     tree = top_tree(records, total)
     tasks = sum(b * (b + 1) // 2 for b in tree.shards)
     routed = records.select("id", "plain", "marks", "generic", "names", "tail", "year").mapInArrow(_route(tree), _VIEW_SQL)
-    return routed.repartition(4 * tasks, "key").sortWithinPartitions("key").mapInArrow(_search(tree.shards), "a long, b long").distinct()
+    return routed.repartition(4 * tasks, "key").sortWithinPartitions("key").mapInArrow(_search(tree.shards), _FOUND_SQL).distinct()
+
+
+def open_pairs(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b: the pairs of each cell (cell, id) that the links leave in different groups; members of a cell's largest group are not paired with each other."""
+    grouped = cells.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    grouped = cut(grouped)
+    sizes = grouped.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("cell").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    known = join_small(grouped, most.select("cell", "main", blocks("all").alias("ys"), blocks("others").alias("xs")), "cell", "inner")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = known.filter("root <> main").select("cell", F.col("id").alias("p"), F.col("root").alias("p_root"), block("xs").alias("x"), every("ys").alias("y"))
+    two = known.select("cell", F.col("id").alias("q"), F.col("root").alias("q_root"), every("xs").alias("x"), block("ys").alias("y"))
+    return one.join(two, ["cell", "x", "y"]).filter("p_root <> q_root").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def _grams(plain: str) -> Counter:
@@ -536,7 +577,16 @@ def work_groups(sources: DataFrame) -> DataFrame:
     total = records.count()
     common = common_tokens(records, total)
     sides = [records.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _FIELDS]) for s in ("a", "b")]
-    edges = candidate_pairs(records, total).join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(common), "a long, b long")
+    tested = lambda pairs: pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(common), "a long, b long")
+    found = cut(candidates(records, total))
+    cells = found.filter("cell is not null").select("cell", F.col("a").alias("id"))
+    pairs = found.filter("cell is null").select("a", "b")
+    if cells.isEmpty():
+        edges = tested(pairs)
+    else:
+        star = join_small(cells, cells.groupBy("cell").agg(F.min("id").alias("a")), "cell", "inner").filter("a <> id").select("a", F.col("id").alias("b"))
+        first = cut(tested(pairs.unionByName(star).distinct()))
+        edges = first.unionByName(tested(open_pairs(cells, first)))
     alone = F.col("generic") & (F.col("tail") == "") & (F.col("plain").isin("", *GENERIC) | (F.size("names") == 0))
     copied = records.filter((F.col("n") > 1) & ~alone).select("same", F.col("id").alias("rep"))
     copies = prepared.select("id", "same").join(copied, "same").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))

@@ -142,6 +142,32 @@ def test_a_hot_work_is_one_group_whatever_its_authors(spark):
     assert got == set(range(1, 81))
 
 
+def test_dense_cells_give_the_groups_of_all_pairs(spark, monkeypatch):
+    """Many records with one view: an edited work, and works of other people under the same words."""
+    rng = random.Random(21)
+    rows = hot_edits(rng)
+    rows += [(5000 + k, "Harbour Customs Weaving Ledgers Vol. " + str(k % 3 + 1), [f"{'abcdefghij'[k % 10] * 6}ov, Otto"], str(1900 + k % 40), "") for k in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    groups = lambda: {(r.id, r.group_id) for r in records.work_groups(frame).collect()}
+    monkeypatch.setattr(records, "DENSE", 10**9)
+    want = groups()
+    ready = frame.mapInArrow(records._prepare, records._PREPARED_SQL)
+    for dense, block in ((3, 2000), (0, 5)):
+        monkeypatch.setattr(records, "DENSE", dense)
+        monkeypatch.setattr(records, "BLOCK", block)
+        found = records.candidates(ready, len(rows)).collect()
+        assert sum(r.cell is not None for r in found) > 50
+        assert groups() == want
+
+
+def test_the_main_group_of_a_cell_is_not_paired_within(spark):
+    cells = spark.createDataFrame([(1, k) for k in range(200)] + [(2, 7), (2, 500)], "cell long, id long")
+    links = spark.createDataFrame([(0, k) for k in range(1, 197)], "a long, b long")
+    got = {tuple(r) for r in records.open_pairs(cells, links).collect()}
+    want = {tuple(sorted((k, m))) for k in (197, 198, 199) for m in range(200) if m != k} | {(7, 500)}
+    assert got == want
+
+
 def test_recall_against_all_pairs(spark):
     """Of all pairs that the exact test on the fields accepts, those in one group: every pair of the records is tested."""
     rows = spark.read.parquet("/root/testdata/sf0.001/sources.parquet").select("id", "title", "authors", "year", "doi").collect() if os.path.exists("/root/testdata/sf0.001") else []
