@@ -597,7 +597,7 @@ def work_groups(sources: DataFrame) -> DataFrame:
 def pairs_in_groups(members: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
     """first, second: all pairs of different values of each group, smaller first. Large groups are dealt into blocks, so that no task holds more than two of them."""
     sizes = members.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes.filter("blocks > 1"), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64(value), F.col("blocks")).cast("int"))
+    dealt = join_small(members, cut(sizes.filter("blocks > 1")), group).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64(value), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     one = dealt.select(group, F.col(value).alias(first), F.col("mine").alias("x"), every.alias("y"))
     two = dealt.select(group, F.col(value).alias(second), every.alias("x"), F.col("mine").alias("y"))
