@@ -28,7 +28,7 @@ def bibtex_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ris_records(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sources").filter(text.looks_like_ris("raw_input")).select("id", formats.ris_udf("raw_input").alias("r"))
+    s = formats.ris_record(table(spark, d, "sources").filter(text.looks_like_ris("raw_input")).select("id", "raw_input"), "raw_input", "r")
     return s.select("id", "r.type", "r.title", F.array_join("r.authors", "; ").alias("authors"), "r.year")
 
 

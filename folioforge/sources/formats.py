@@ -6,8 +6,10 @@ import html
 import re
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import extract_year, first_said, normalize_isbn, trim
 from folioforge.schemas import CANDIDATE
 
 _EMPTY = {f.name: ([] if f.name == "authors" else "") for f in CANDIDATE}
@@ -70,6 +72,8 @@ def parse_bibtex(text: str | None) -> dict | None:
     return _EMPTY | found
 
 
+#: The same line for columns.
+_RIS_LINE = r"(?U)^\s*([A-Z0-9]{2})\s*-\s*(.*)\s*$"
 _TAG = re.compile(r"^\s*([A-Z0-9]{2})\s*-\s*(.*)\s*$")
 # Kinds of records by tag.
 RIS_TYPES = {"book": "book", "jour": "article", "jfull": "article", "video": "video"}
@@ -94,6 +98,23 @@ def parse_ris(text: str | None) -> dict | None:
     return _EMPTY | found
 
 
+def ris_record(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with the record of the tagged lines of a column, by columns; NULL without one. The same as parse_ris()."""
+    tagged = F.transform(F.split(F.col(column), r"\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]"), lambda x: F.struct(F.regexp_extract(x, _RIS_LINE, 1).alias("tag"), trim(F.regexp_extract(x, _RIS_LINE, 2)).alias("value")))
+    lines = df.withColumn("_tagged", F.filter(tagged, lambda x: x["tag"] != ""))
+    every = lambda name: F.transform(F.filter("_tagged", lambda x: x["tag"] == name), lambda x: x["value"])
+    one = lambda name: F.coalesce(F.get(every(name), 0), F.lit(""))
+    kind, own = F.lower(one("TY")), F.lit("other")
+    for name, known in RIS_TYPES.items():
+        own = F.when(kind == name, known).otherwise(own)
+    fields = {
+        "type": own, "title": first_said(one("TI"), one("T1")), "authors": F.filter(F.concat(every("AU"), every("A1")), lambda x: ~x.isin("", "0")), "year": extract_year(first_said(one("PY"), one("Y1"))),
+        "publisher": first_said(one("PB"), one("CY")), "journal": first_said(one("JO"), one("T2")), "volume": one("VL"), "issue": one("IS"), "pages": F.concat(one("SP"), F.when(one("EP") != "", F.concat(F.lit("-"), one("EP"))).otherwise("")),
+        "doi": first_said(one("DO"), one("M3")), "isbn": normalize_isbn(one("SN")), "url": first_said(one("UR"), one("L1")),
+    }
+    return lines.withColumn(out, F.when(F.size("_tagged") > 0, F.struct(*[v.alias(k) for k, v in fields.items()]))).drop("_tagged")
+
+
 def _records(parse):
     @F.pandas_udf(CANDIDATE)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -104,4 +125,3 @@ def _records(parse):
 
 
 bibtex_udf = _records(parse_bibtex)
-ris_udf = _records(parse_ris)

@@ -235,6 +235,16 @@ def test_formats(spark):
     assert [x.r.title if x.r else None for x in df.select(formats.bibtex_udf("t").alias("r")).collect()] == ["x", None]
 
 
+def test_ris_by_columns_equals_the_parser(spark):
+    texts = ["TY  - JOUR\r\nT1  - T\nA1  - B, C\nAU  - \nAU  - D\nY1  - 2001/02\nSP  - 1\nEP  - 9\nSN  - 1234-567X", "ty - x", "", None, "  TY  - book\u2028TI  - One\x85TI  - Two\nPY  - n.d.\nDO  - \nM3  - 10.1/x\nUR  - 0\nL1  - u", "TI  -\nT1  - late \nPB  - \nCY  - Town"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string")
+    got = {r.id: r.r and r.r.asDict() for r in formats.ris_record(df, "t", "r").collect()}
+    for k, t in enumerate(texts):
+        want = formats.parse_ris(t)
+        assert (got[k] is None) == (want is None) and (want is None or all(want[f] == got[k][f] for f in got[k])), (t, want, got[k])
+    assert formats.ris_record(df.limit(0), "t", "r").count() == 0
+
+
 def test_pages(spark):
     html = '<title>Site</title><meta name="citation_title" content="A &amp; B"><meta name="citation_author" content="X"><meta name="citation_author" content="Y"><meta name="citation_date" content="2003/1"><meta content="no" name="author"><meta name="citation_firstpage" content="5">'
     df = spark.createDataFrame([(html, "https://a.b")], "h string, u string")
