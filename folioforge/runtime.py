@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,28 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _WRITTEN: list[str] = []
 
 
+class Cached:
+    """A function of one value with a bounded memory. Unlike the library's caches it travels to workers by value, with an empty memory."""
+
+    def __init__(self, function: Callable, size: int) -> None:
+        self.function, self.size, self.known = function, size, {}
+
+    def __call__(self, value):
+        found = self.known.get(value)
+        if found is None:
+            if len(self.known) >= self.size:
+                self.known.clear()
+            found = self.known[value] = self.function(value)
+        return found
+
+    def __reduce__(self):
+        return Cached, (self.function, self.size)
+
+
+def cached(size: int) -> Callable[[Callable], Cached]:
+    return lambda function: Cached(function, size)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 

@@ -18,3 +18,43 @@ def test_join_small_either_way(spark):
     a, b = spark.range(20), cut(spark.range(5, 9))
     assert join_small(a, b, "id", "inner").count() == join_small(a, b, "id", "inner", rows=1).count() == 4
     assert "BroadcastHashJoin" in join_small(a, b, "id", "inner")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_caches_are_bounded_and_travel_empty():
+    from pyspark import cloudpickle
+
+    from folioforge.runtime import cached
+
+    asked = []
+    double = cached(3)(lambda x: asked.append(x) or 2 * x)
+    assert [double(x) for x in (1, 2, 1, 3, 4, 1)] == [2, 4, 2, 6, 8, 2] and asked == [1, 2, 3, 4, 1] and len(double.known) <= 3
+    there = cloudpickle.loads(cloudpickle.dumps(double))
+    assert there(5) == 10 and list(there.known) == [5]
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """All queries' functions run in workers that cannot import the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.driver.host", "127.0.0.1").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+queries = entry.queries()
+for name in ("p1_values", "tex_plain", "markdown_plain", "note_realign", "bibtex_records", *(n for n in queries if n[0] == "p" and n.endswith("_found")), "p2_repaired", "p8_ids", "p9_report"):
+    if name in queries:
+        queries[name](spark, "/root/testdata/sf0.001").count()
+print("all ran")
+"""
+    if not os.path.exists("/root/testdata/sf0.001"):
+        return
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
