@@ -19,7 +19,6 @@ long bodies are decoded whole; extra columns are ignored; on an empty table the
 from __future__ import annotations
 
 import difflib
-import functools
 import re
 import zlib
 from collections import Counter
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.webtext import _ENDED, _SEPARATED, FURNISHING, evidence, is_content, line_key
-from folioforge.runtime import cut, join_small, table
+from folioforge.runtime import cached, cut, join_small, table
 
 SAMPLE_PAGES, SAMPLE_LETTERS = 600, 50_000
 BUCKETS = 2048
@@ -79,7 +78,7 @@ def own_title(texts: list[str], title: str | None, prose: list[bool], recurs: li
     return next((k for k, x in enumerate(above) if not recurs[k] and len(x.split()) >= 5 and not re.search(r"[.!:;…]$", x) and not FURNISHING.search(x) and not _SEPARATED.search(x) and " / " not in x and not evidence(x)), None)
 
 
-@functools.lru_cache(1 << 14)
+@cached(1 << 14)
 def _look(text: str) -> tuple[int, bool, list[int], list[int], frozenset[str]]:
     """Of a line by itself: words, whether it ends as a sentence does, feature indices of its look and of its words, and its words as a set."""
     n, tokens = len(text.split()), _words(text)
@@ -101,7 +100,7 @@ def features(lines: list[str], title: str | None, recurs: dict[int, int], pages:
     recurs gives the pages that hold a line, of all pages. Nothing of label() is a feature.
     """
     at = [k for k, x in enumerate(lines) if x.strip()]
-    looks = [_look(x) if len(x) < 80 else _look.__wrapped__(x) for x in (lines[k].strip() for k in at)]
+    looks = [_look(x) if len(x) < 80 else _look.function(x) for x in (lines[k].strip() for k in at)]
     count = len(at)
     long_ = [x[0] >= 8 and x[1] for x in looks]
     first = long_.index(True) if True in long_ else count

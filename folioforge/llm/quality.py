@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.runtime import table
+from folioforge.runtime import cached, table
 
 _SPACE = " \t\n\r\x0b\x0c"
 _SYMBOL = regex.compile(r"[^\p{L}\p{N} \t\n\r\x0b\x0c]")
@@ -56,7 +56,7 @@ def _top_ngram(words: list[str]) -> float:
     return min(total, best) / total
 
 
-@functools.lru_cache(1 << 15)
+@cached(1 << 15)
 def _is_symbol(sign: str) -> bool:
     return bool(_SYMBOL.match(sign))
 
@@ -69,7 +69,7 @@ def known_words(common: list[frozenset[str]]):
             bits[w] = bits.get(w, 0) | 1 << k
     figure = 1 << len(common)
 
-    @functools.lru_cache(1 << 16)
+    @cached(1 << 16)
     def look(word: str) -> int:
         bare = word if word.isalpha() else _STRIP.sub("", word)
         return bits.get(bare.lower(), 0) | (figure if any(map(str.isdigit, word)) else 0)

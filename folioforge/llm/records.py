@@ -32,7 +32,6 @@ titles are read whole, with views in proportion to their words.
 from __future__ import annotations
 
 import difflib
-import functools
 import math
 import re
 import unicodedata
@@ -47,7 +46,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.residue import title_is_residue
 from folioforge.operators.graphs import components
-from folioforge.runtime import cut, join_small, table
+from folioforge.runtime import cached, cut, join_small, table
 
 RADIUS, PAIRED = 1, 6
 LEAST = 16
@@ -166,7 +165,7 @@ _PAIR_BITS = np.uint64(0xFFFFFFFF)
 _LETTER_BITS = np.uint64(0xFFFFFFFF00000000)
 
 
-@functools.lru_cache(1 << 16)
+@cached(1 << 16)
 def _word_code(word: str) -> tuple[bytes, int]:
     """Letter counts (modulo 256) and parities of the letter pairs of a word."""
     counts, pairs = [0] * _LETTERS, 0

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import bisect
 import difflib
-import functools
 import re
 
 import pandas as pd
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.runtime import cut, join_small, table
+from folioforge.runtime import cached, cut, join_small, table
 
 MIN_DOCS = 3
 MAX_EDITS = 3
@@ -153,7 +152,7 @@ def _title_words(*texts: str | None) -> set[str]:
     return {w for t in texts if t for w in re.findall(r"[^\W\d_]+", t.lower())}
 
 
-@functools.lru_cache(1 << 16)
+@cached(1 << 16)
 def _pieces(raw: str) -> tuple[str, ...]:
     """The words of what stands between blanks."""
     found = []

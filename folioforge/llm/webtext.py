@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.runtime import cut
+from folioforge.runtime import cached, cut
 
 # Filler words of typesetters.
 FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
@@ -78,7 +77,7 @@ _MARKS = ("{", "<", "[", "%%", "@@", "__")
 _BEGINS = regex.compile(r"\W*(?:" + "|".join(NOTICES + STANDINS) + ")", regex.IGNORECASE)
 
 
-@functools.lru_cache(1 << 15)
+@cached(1 << 15)
 def _may_begin(start: str) -> bool:
     return _BEGINS.match(start, partial=True) is not None
 
