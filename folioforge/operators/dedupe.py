@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.scores import duplicate_signal, survival_score
 from folioforge.functions.similarity import ratio, title_similarity
-from folioforge.functions.text import first_author, norm_text, normalize_isbn, trim
+from folioforge.functions.text import WS, first_author, norm_text, normalize_isbn, trim
 from folioforge.operators.graphs import components
 from folioforge.runtime import cut
 
 BLOCK = 1500
+#: Rows of a block that are compared at once, how often a letter is counted for itself, and the pairs up to which neither is worth the while.
+ROWS, LEVELS, FEW = 250, 16, 2500
 LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
 FIELDS = ["id", "title", "authors", "year", "doi", "isbn", "zotero_item_key", "created_at"]
 
@@ -42,16 +44,54 @@ def exact_links(sources: DataFrame) -> DataFrame:
 
 
 def letter_counts(titles: list[str]) -> np.ndarray:
-    return np.array([[t.count(c) for c in LETTERS] for t in titles], dtype=np.int16).reshape(len(titles), len(LETTERS))
+    signs = np.frombuffer("".join(titles).encode("ascii", "replace"), dtype=np.uint8)
+    rows = np.repeat(np.arange(len(titles)), np.array([len(t) for t in titles], dtype=np.int64))
+    return np.bincount(128 * rows + signs, minlength=128 * len(titles)).reshape(len(titles), 128)[:, [ord(c) for c in LETTERS]].astype(np.int32)
+
+
+def _levels(x: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A column for each letter and each number up to most of it: whether a title has the letter so often. Products of two such rows count the letters shared."""
+    return np.concatenate([x[:, k, None] >= np.arange(1, most[k] + 1) for k in range(len(LETTERS))], 1).astype(np.float32)
 
 
 def can_reach(a: list[str], b: list[str], least: float) -> np.ndarray:
-    """Positions (in a, in b) of pairs that share letters enough for the threshold, in any order."""
-    x, y = letter_counts(a), letter_counts(b)
-    shared = np.zeros((len(a), len(b)), dtype=np.int16)
-    for k in range(len(LETTERS)):
-        shared += np.minimum.outer(x[:, k], y[:, k])
-    return np.argwhere(2 * shared >= least * (x.sum(1)[:, None] + y.sum(1)[None, :]) - 1e-9)
+    """Positions (in a, in b) of pairs that share letters enough for the threshold, in any order; if b is a, each pair once, the smaller position first.
+
+    Both sides are ordered by length, so that rows of a meet only the b of lengths near enough. Letters beyond LEVELS in a title
+    are bounded by their sum; the pairs that are left are counted exactly.
+    """
+    x = letter_counts(a)
+    y = x if a is b else letter_counts(b)
+    if len(a) * len(b) <= FEW:
+        pairs = np.argwhere(2 * np.minimum(x[:, None], y).sum(2) >= least * (x.sum(1)[:, None] + y.sum(1)) - 1e-9)
+        return pairs[pairs[:, 0] < pairs[:, 1]] if a is b else pairs
+    by_x, by_y = (np.argsort(n, kind="stable") for n in (x.sum(1), y.sum(1)))
+    x, y = x[by_x], y[by_y]
+    long_x, long_y = x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64)
+    most = np.minimum(np.minimum(x.max(0, initial=0), y.max(0, initial=0)), LEVELS)
+    more_x, more_y = (np.maximum(n - LEVELS, 0).sum(1, dtype=np.int64).astype(np.float32) for n in (x, y))
+    in_x, in_y = _levels(x, most), _levels(y, most).T.copy()
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for at in range(0, len(x), ROWS):
+        to = min(at + ROWS, len(x))
+        low = np.searchsorted(long_y, long_x[at] * least / (2 - least) - 1e-6, "left")
+        high = np.searchsorted(long_y, long_x[to - 1] * (2 - least) / least + 1e-6, "right")
+        low = max(low, at) if a is b else low
+        if low >= high:
+            continue
+        shared = in_x[at:to] @ in_y[:, low:high]
+        if more_x[at:to].any() and more_y[low:high].any():
+            shared += np.minimum.outer(more_x[at:to], more_y[low:high])
+        near = least / 2 * (1 - 1e-6)  # numbers of 32 bits are rounded
+        shared -= (long_x[at:to, None] * near - 0.01).astype(np.float32)
+        i, j = np.nonzero(shared >= (long_y[low:high] * near).astype(np.float32))
+        i, j = i + at, j + low
+        exact = 2 * np.minimum(x[i], y[j]).sum(1, dtype=np.int64) >= least * (long_x[i] + long_y[j]) - 1e-9
+        found.append(np.stack([by_x[i[exact]], by_y[j[exact]]], 1))
+    pairs = np.concatenate(found)
+    if a is b:
+        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], 1), axis=0)
+    return pairs
 
 
 def _compare(least: float):
@@ -66,13 +106,12 @@ def _compare(least: float):
             right = left if within else right
             if len(rows) < 2 or not right:
                 return
-            for i, j in can_reach([r[0] for r in left], [r[0] for r in right], least).tolist():
-                if within and i >= j:
-                    continue
+            titles = [r[0] for r in left]
+            for i, j in can_reach(titles, titles if within else [r[0] for r in right], least).tolist():
                 p, q = left[i], right[j]
                 if (p[2], p[1]) < (q[2], q[1]):
                     p, q = q, p
-                if p[1] != q[1] and ratio(p[0], q[0]) >= least:
+                if p[1] != q[1] and ratio(p[0], q[0], least) >= least:
                     out.append((p[1], q[1]))
 
         def batch_of() -> pa.RecordBatch:
@@ -144,27 +183,103 @@ def keep_choice(groups: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.groupBy("group_id").agg(F.count("*").alias("size"), F.max(F.struct("score", "created_at", "id")).alias("best")).select("group_id", "size", F.col("best.id").alias("keep_id"), F.round("best.score", 2).alias("keep_score"))
 
 
+#: Written: length of its grams and distance of their places, and the length from which a text holds a gram of every remainder.
+GRAM, STEP = 12, 16
+LONG = GRAM + STEP - 1
+BLANKS = WS.encode()
 MERGED = ["title", "year", "publisher", "journal", "volume", "issue", "pages", "doi", "isbn", "url", "accessed_at", "raw_input"]
 
 
+class Written:
+    """A growing text (bytes) that tells what it contains, without reading it again for each question.
+
+    Of the text the grams at every STEP-th place are kept. An occurrence of a longer text holds all its grams of one
+    remainder of places, so the rarest of these says where it can begin. Shorter texts are named first (short), and
+    met letter by letter as the text grows.
+    """
+
+    def __init__(self, text: bytes, short: set[bytes]) -> None:
+        self.text, self.places, self.indexed, self.met = bytearray(), {}, 0, set()
+        self.short: dict[int, set[bytes]] = {}
+        for t in short:
+            self.short.setdefault(len(t), set()).add(t)
+        self.add(text)
+
+    def add(self, more: bytes) -> None:
+        before = len(self.text)
+        self.text += more
+        for n, wanted in self.short.items():
+            start = max(0, before - n + 1)
+            part = bytes(memoryview(self.text)[start:])
+            self.met.update(wanted.intersection(part[i : i + n] for i in range(len(part) - n + 1)))
+        for at in range(self.indexed, len(self.text) - GRAM + 1, STEP):
+            self.places.setdefault(bytes(self.text[at : at + GRAM]), []).append(at)
+            self.indexed = at + STEP
+
+    def __contains__(self, text: bytes) -> bool:
+        if len(text) < LONG:
+            return text in self.met
+        for offset in range(STEP):
+            rarest = None
+            for at in range(offset, len(text) - GRAM + 1, STEP):
+                found = self.places.get(text[at : at + GRAM])
+                if found is None:
+                    break
+                if rarest is None or len(found) < len(rarest[0]):
+                    rarest = found, at
+            else:
+                places, at = rarest
+                if any(p >= at and self.text.startswith(text, p - at) for p in places):
+                    return True
+        return False
+
+
+def appended(notes: list[tuple[int, bytes]]) -> bytes:
+    """The first of the notes (id, text) and those of the others that what is written so far does not contain, each under the id of its record. What is contained once stays so: each text is looked for once."""
+    kept = notes[0][1]
+    later: dict[bytes, int] = {}
+    for i, note in notes[1:]:
+        later.setdefault(note.strip(BLANKS), i)
+    later.pop(b"", None)
+    so_far = Written(kept.rstrip(BLANKS), {t for t in later if len(t) < LONG})
+    start = len(so_far.text)
+    for text, i in later.items():
+        if text not in so_far:
+            so_far.add(b"\n\nMerged from source #%d:\n" % i + text)
+    return bytes(so_far.text) if len(so_far.text) > start else kept
+
+
+def _append(batches):
+    held: list = [None, []]
+    for batch in batches:
+        out: list[tuple[int, bytes]] = []
+        for group, i, note in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != held[0]:
+                if held[1]:
+                    out.append((held[0], appended(held[1])))
+                held = [group, []]
+            held[1].append((i, note))
+        yield _noted(out)
+    if held[1]:
+        yield _noted([(held[0], appended(held[1]))])
+
+
+def _noted(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["group_id", "notes"])
+
+
 def merge_groups(groups: DataFrame, sources: DataFrame, keep: DataFrame) -> DataFrame:
     """The kept record of each group with blanks filled from the dropped ones in order of id, authors united, notes appended unless contained, external key adopted.
 
-    A field is an aggregate (the first non-blank by order), so no group is gathered but for its authors and notes.
+    A field is an aggregate (the first non-blank by order), so no group is gathered but for its authors and notes; notes are appended in time proportional to their length.
     """
     rows = groups.join(keep.select("group_id", "keep_id"), "group_id").join(sources, "id").withColumn("ord", F.when(F.col("id") == F.col("keep_id"), F.lit(-1)).otherwise(F.col("id")))
     firsts = [F.coalesce(F.min(F.when(trim(f) != "", F.struct("ord", F.col(f).alias("v")))).getField("v"), F.lit("")).alias(f) for f in [*MERGED, "zotero_item_key"]]
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("authors", F.array().cast("array<string>")).alias("a")))), lambda x: x["a"])
-    notes = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("notes", F.lit("")).alias("n"), F.col("id").alias("i")))), lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n")))
-    merged = rows.groupBy("group_id", F.col("keep_id").alias("id")).agg(*firsts, F.array_distinct(F.flatten(listed)).alias("authors"), notes.alias("all_notes"))
-
-    def append(so_far, note):
-        text = trim(note["n"])
-        added = F.concat(F.regexp_replace(so_far, r"[ \t\n\r\x0B\x00]+\z", ""), F.lit("\n\nMerged from source #"), note["i"].cast("string"), F.lit(":\n"), text)
-        return F.when((text == "") | so_far.contains(text), so_far).otherwise(added)
-
-    kept_note = F.try_element_at("all_notes", F.lit(1))["n"]
-    return merged.withColumn("notes", F.aggregate(F.slice("all_notes", F.lit(2), F.greatest(F.size("all_notes") - 1, F.lit(0))), kept_note, append)).drop("all_notes")
+    merged = rows.groupBy("group_id", F.col("keep_id").alias("id")).agg(*firsts, F.array_distinct(F.flatten(listed)).alias("authors"))
+    notes = rows.select("group_id", "ord", "id", F.coalesce("notes", F.lit("")).cast("binary").alias("n")).repartition("group_id").sortWithinPartitions("group_id", "ord", "n", "id")
+    notes = notes.select("group_id", "id", "n").mapInArrow(_append, "group_id long, notes binary").select("group_id", F.col("notes").cast("string").alias("notes"))
+    return merged.join(notes, "group_id")
 
 
 def scan(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
